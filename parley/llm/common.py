@@ -17,9 +17,9 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BATCH = "spark.sql.execution.arrow."
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound Arrow batches for whole-text operators and make the package importable on executors."""
-    spark.conf.set(_BATCH + "maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set(_BATCH + "maxRecordsPerBatch", str(rows))
     spark.conf.set(_BATCH + "maxBytesPerBatch", str(ARROW_BYTES))
     ship_package(spark)
 
