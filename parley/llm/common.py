@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.plans.scratch import ship_package
+from parley.plans.scratch import save, ship_package
 
 #: Rows and bytes in one Arrow batch. Long texts make row counts a poor bound on memory.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
+#: Ids up to this many are broadcast (16 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 100_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BATCH = "spark.sql.execution.arrow."
 
@@ -59,3 +62,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without rows whose id is in ``gone`` (column gone); rows without an id stay."""
+    gone = save(gone, "gone-ids")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone.withColumnRenamed("gone", "_parley_gone"), named(id_col).cast("long") == F.col("_parley_gone"), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import id_text, map_batches, named
+from parley.llm.common import id_text, map_batches, without_ids
 from parley.plans.scratch import save
 
 #: Bytes: no cut before MIN_CHUNK, one is forced at MAX_CHUNK, about MEAN_CHUNK apart between.
@@ -109,7 +109,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without rows whose text equals that of a row with a larger id; all columns kept."""
+    """``docs`` without rows whose text equals that of a row with a larger id; all columns kept.
+
+    Rows without an id, and rows that repeat the id of the row that stays, are kept.
+    """
     groups = exact_groups(docs, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_parley_gone"))
-    return docs.join(gone, named(id_col).cast("long") == F.col("_parley_gone"), "left_anti")
+    return without_ids(docs, groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")), id_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, decontamination, exact_dedup, lm, pii, quality, sharding, simhash, token_store
+from parley.llm import bpe, decontamination, exact_dedup, lm, pii, quality, repeats, sharding, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_lm_score, op3_simhash, op5_exact_dedup, op6_bpe, op7_sharding, op8_token_store, op9_quality, op10_decontamination)
+    for f in (op1_pii, op2_lm_score, op3_simhash, op4_repeats, op5_exact_dedup, op6_bpe, op7_sharding, op8_token_store, op9_quality, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from parley.llm.common import id_text, map_batches, named, prepare
+from parley.llm.common import id_text, map_batches, prepare, without_ids
 from parley.llm.components import components
 from parley.plans.scratch import save
 
@@ -178,5 +178,4 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = M
     Rows without an id are kept, as no other row can stand for them.
     """
     groups = near_groups(docs, shingle, most_bits, id_col, text_col)
-    gone = save(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_parley_gone")), "near-copies")
-    return docs.join(gone, named(id_col).cast("long") == F.col("_parley_gone"), "left_anti")
+    return without_ids(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), id_col)
