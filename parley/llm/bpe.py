@@ -14,7 +14,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from parley.llm.common import id_text, map_batches
 
-#: Words longer than this (in bytes) are streamed; shorter ones are remembered, so many at a time.
+#: Words longer than this (in bytes) are streamed; shorter ones are remembered, in two generations of so many.
 STREAM_FROM, REMEMBERED = 64, 400_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -42,6 +42,20 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else rest[b]) for b in range(256)]
 
 
+class Memory(dict):
+    """Ids of words; a word that is missing is looked up in the older generation, or encoded."""
+
+    def __init__(self, encode: Callable[[str], list[int]], older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: str) -> bytes:
+        known = self.older.get(word) or np.array(self.encode(word), "<u4").tobytes()
+        if len(word) <= STREAM_FROM:
+            self[word] = known
+        return known
+
+
 class BpeTable:
     """Vocabulary and merges of a tokenizer file, with what the transducer needs of them."""
 
@@ -61,7 +75,7 @@ class BpeTable:
         self.strings = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.lookahead = self._lookahead(ids, model["merges"])
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory(self.word_ids, {})
 
     def _lookahead(self, ids: dict[str, int], merges: list) -> int:
         """Characters right of a token's end that can still change whether it forms.
@@ -141,18 +155,9 @@ class BpeTable:
     def width(self, token: int) -> int:
         return len(self.strings[token].removesuffix(self.end))
 
-    def word(self, word: str) -> bytes:
-        """Ids of one word as little-endian 32-bit integers."""
-        known = self.memory.get(word)
-        if known is None:
-            data = word.encode()
-            ids = list(self.stream(data)) if len(data) > STREAM_FROM else self.merge(self.symbols(data, True))
-            known = np.array(ids, "<u4").tobytes()
-            if len(data) <= STREAM_FROM:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
-                self.memory[word] = known
-        return known
+    def word_ids(self, word: str) -> list[int]:
+        data = word.encode()
+        return list(self.stream(data)) if len(data) > STREAM_FROM else self.merge(self.symbols(data, True))
 
     def words(self, text: str) -> list[str]:
         """The words that are merged on their own: canonical composition, lower case by character, split."""
@@ -170,8 +175,10 @@ class BpeTable:
         )
 
     def _plain(self, text: str) -> bytes:
-        memory, word = self.memory, self.word
-        return b"".join([memory.get(w) or word(w) for w in self.words(text)])
+        if len(self.memory) >= REMEMBERED:
+            older = dict(self.memory)
+            self.memory = Memory(self.word_ids, older)
+        return b"".join(map(self.memory.__getitem__, self.words(text)))
 
 
 class Decoder:

@@ -8,7 +8,6 @@ holds the first global position of each file; positions inside a file are stored
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,71 +19,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from parley.llm.bpe import BpeTable, default_path
 from parley.llm.common import id_text, prepare
 from parley.plans.scratch import new_path
 
 END_ID = 1
-#: Words remembered by a worker, each of so many characters at most.
-REMEMBERED, LONGEST = 400_000, 48
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 _SCHEMA = "part int, seq long, doc_id long, local_start long, n_tokens int, ids array<int>"
-#: Characters that str.split() takes for white space but the tokenizer's pattern may not.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
-_SPACE = re.compile("[ \t\n\r\f\v]+")
 
 
-class WordEncoder:
-    """The library's encoding of a text, with words between white space remembered.
-
-    No merge and no normalisation reaches across white space, so a text's ids are those of its words in a row.
-    """
+class LibraryTable(BpeTable):
+    """Texts are split as ``BpeTable`` does; the library's model merges each word that is not remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        long = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, ids in zip(part, self._encode(part), strict=True):
-                (self.known if len(w) <= LONGEST else long)[w] = ids
-        known = self.known if not long else {**self.known, **long} if len(long) > 1000 else _Two(self.known, long)
-        return [b"".join([known[w] for w in words]) for words in split]
-
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
 
-class _Two(dict):
-    """Reads of a small table first, then of a large one."""
-
-    def __init__(self, large: dict, small: dict) -> None:
-        super().__init__(small)
-        self.large = large
-
-    def __missing__(self, key):
-        return self.large[key]
+    def word_ids(self, word: str) -> list[int]:
+        shown = word if word.isascii() and word.isprintable() else "".join([self.letters[c] for c in word.encode()])
+        return [t.id for t in self.model.tokenize(shown)]
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
-def _default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+def encoder(path: str) -> LibraryTable:
+    return LibraryTable(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -96,7 +56,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     """
     spark = docs.sparkSession
     prepare(spark)
-    tokenizer = tokenizer or _default_path()
+    tokenizer = tokenizer or default_path()
     struct = StructType.fromDDL(_SCHEMA)
     arrow = to_arrow_schema(struct)
 
@@ -106,7 +66,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
         part, seq, at = TaskContext.get().partitionId(), 0, 0
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            ids = [np.frombuffer(x + end, "<i4") for x in encoder(tokenizer).batch(b.column("text").to_pylist())]
+            table = encoder(tokenizer)
+            ids = [np.frombuffer(table.encode(x) + end, "<i4") for x in b.column("text").to_pylist()]
             n = len(ids)
             if not n:
                 continue
