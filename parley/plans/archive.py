@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from parley.operators import circles, media, paging, people, sessions, tapbacks, threads
-from parley.sources import catalog as c
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Register a function of (spark, sf_dir) under its name, with SQL over the named views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            body = sql.strip()
-            ORACLE[f.__name__] = f"{c.with_views(*views)}{', ' if body.upper().startswith('CTE ') else ' '}{body[4:] if body.upper().startswith('CTE ') else body}" if views else body
-        return f
-
-    return add
+from parley.operators import circles, media, paging, people, sessions, tapbacks, threads
+from parley.plans.register import Registry
+from parley.sources import catalog as c
 
+registered = Registry()
+query = registered.query
+QUERIES, ORACLE = registered.queries, registered.oracle
 
 _MONTH = "strftime(ts, '%Y-%m')"
 _INBOUND = f"CTE m AS (SELECT person, {_MONTH} AS month, count(*) AS n FROM fx_msg_ord WHERE is_from_me = 0 GROUP BY ALL)"

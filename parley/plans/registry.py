@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import archive
+from parley.plans import archive, texts
 
-MODULES = (archive,)
+MODULES = (archive, texts)
 
 
 def queries() -> dict:
