@@ -33,7 +33,7 @@ def phrase_counts(messages: DataFrame, text: str = "body", low: int = 2, high: i
     words = messages.select(voice_tokens(F.col(text)).alias("toks"))  # a column of its own: spans refer to it many times
     spans = words.select(F.explode(_spans(F.col("toks"), low, high)).alias("s")).select("s.span")
     edge = lambda c: F.coalesce(c.isin(*PHRASE_EDGES), F.lit(True))
-    kept = spans.where(~edge(F.element_at("span", 1)) & ~edge(F.element_at("span", -1)) & F.forall("span", lambda w: F.length(w) >= 2))
+    kept = spans.where(~edge(F.try_element_at("span", F.lit(1))) & ~edge(F.try_element_at("span", F.lit(-1))) & F.forall("span", lambda w: F.length(w) >= 2))
     counts = kept.groupBy(F.array_join("span", " ").alias("phrase")).agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= min_count)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import archive, texts
+from parley.plans import archive, datasets, operations, texts
 
-MODULES = (archive, texts)
+MODULES = (archive, texts, datasets, operations)
 
 
 def queries() -> dict:
