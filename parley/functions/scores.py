@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from parley.plans.scratch import ship_package
+from parley.plans.scratch import arrow_batches
 
 NGRAMS, LENGTH_WEIGHT, ROUGE_WEIGHT = 6, 0.5, 0.3
 SPAM_CHARS, SPAM_RATIO = 25, 0.35
@@ -74,7 +74,7 @@ def trim_spam(text: str | None, keep: int = 2) -> str:
 
 
 def _udf(fn, kind: str, *columns: Column | str) -> Column:
-    ship_package(SparkSession.active())
+    arrow_batches(SparkSession.active())
     if len(columns) == 1:
 
         @F.pandas_udf(kind)

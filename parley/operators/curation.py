@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import turns as X
+from parley.plans.scratch import arrow_batches
 
 TRAIN, VALID = 0.80, 0.10
 MAX_COPIES, MAX_SHORT_COPIES = 4, 2
@@ -90,6 +91,7 @@ def split_stratified(examples: DataFrame, train: float = TRAIN, valid: float = V
             out.append(name)
         return g.assign(split=out)[["chat_id", "session_no", "chunk", "split"]]
 
+    arrow_batches(examples.sparkSession)
     dealt = units.withColumn("h", F.xxhash64("chat_id", "session_no", "chunk")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(deal, "chat_id long, session_no long, chunk int, split string")
     previous = F.lag("split").over(Window.partitionBy("chat_id", "session_no").orderBy("chunk"))
     dealt = dealt.withColumn("previous", previous)

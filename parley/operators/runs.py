@@ -79,7 +79,7 @@ def stalled(before: DataFrame, after: DataFrame, key: str = "run", counter: str
 def parse_checkpoint(c: Column) -> dict[str, Column]:
     """model/run/step."""
     parts = F.split(c, "/")
-    return {"model": F.get(parts, F.lit(0)), "run": F.get(parts, F.lit(1)), "step": F.expr("1") * F.get(parts, F.lit(2)).try_cast("int")}
+    return {"model": F.get(parts, F.lit(0)), "run": F.get(parts, F.lit(1)), "step": F.get(parts, F.lit(2)).try_cast("int")}
 
 
 def newest_run(runs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.stem import stem
 from parley.functions.text import escape_html
-from parley.plans.scratch import save, ship_package
+from parley.plans.scratch import arrow_batches, save
 
 K1, B, LIMIT = 1.2, 0.75, 300
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -30,7 +30,7 @@ def analyse(term: str, stemming: bool = True) -> str:
 
 
 def _analysed(term: str) -> Column:
-    ship_package(SparkSession.active())
+    arrow_batches(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(terms: pd.Series) -> pd.Series:

@@ -43,6 +43,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_batches(spark: SparkSession, rows: int = 10_000) -> None:
+    """Rows in an Arrow batch from now on; operators that need other bounds set their own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the Python workers, once per application."""
     app = spark.sparkContext.applicationId
