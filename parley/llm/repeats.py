@@ -313,4 +313,7 @@ def _spans(covered: np.ndarray, text: bytes) -> tuple[list[tuple[int, int]], byt
 def repeats_digest(docs: DataFrame) -> DataFrame:
     """The report of ``op4``."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return remove_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = save(found, "repeats-digest")  # under the batch size of whole blocks
+    prepare(docs.sparkSession)
+    return out
