@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MIN_DROP, PATIENCE, MIN_EVALS = 0.01, 6, 3
@@ -84,3 +84,15 @@ def parse_checkpoint(c: Column) -> dict[str, Column]:
 
 def newest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("created"), "run").limit(1)
+
+
+def registry(spark: SparkSession, root: str, name: str = "run.json") -> DataFrame:
+    """(run, created, and what the file holds): one row for each run folder under ``root``, newest first."""
+    schema = "created timestamp, model string, status string"
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/{name}")
+    return rows.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)).orderBy(F.desc("created"), "run")
+
+
+def checkpoint_steps(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, step) of files whose name begins with the number of a step."""
+    return paths.withColumn("step", F.regexp_extract(path, r"/0*(\d+)_[^/]*$", 1).try_cast("int")).where("step IS NOT NULL")
