@@ -1,10 +1,10 @@
 """Exact deduplication by content-defined chunk recipes.
 
 Each text is normalised and cut where a rolling hash of its content says so.
-A chunk is named by two independent digests and its length. The chunk table
-keeps each name once and is checked for names that disagree; a document is then
-only its ordered list of names, and texts are equal when their lists are. The
-texts themselves are read once and never shuffled.
+A chunk is named by two independent digests and its length. The table of
+chunks keeps each name once and verifies that short identifiers stand for one name each; a
+document is then only its ordered list of identifiers, and texts are equal when their lists
+are. The texts themselves are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import id_text, map_batches, without_ids
@@ -92,22 +92,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are marked kept. A null id is smaller than any other: it stays only where its
     group has no other id (keep_id is then null). Other columns are not read.
     """
-    found = save(
-        recipes(docs, id_col, text_col).select(
-            "doc_id",
-            "text_sha256",
-            # names have 44 bytes each, in order: equal lists are equal texts
-            F.sha2(F.array_join(F.transform("recipe", lambda c: F.hex(c)), "").cast("binary"), 256).alias("list_id"),
-            F.size("recipe").alias("n_chunks"),
-        ),
-        "recipes",
-    )
-    keep = save(found.groupBy("list_id", "n_chunks").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "keepers")
-    return found.join(keep, ["list_id", "n_chunks"]).select(
+    found = save(recipes(docs, id_col, text_col), "recipes")
+    each = save(found.withColumn("ids", identifiers(found)).select("doc_id", "text_sha256", "ids"), "identifier-lists")
+    keep = save(each.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "keepers")
+    return each.join(keep, "ids").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
+def identifiers(found: DataFrame) -> Column:
+    """The ordered identifiers of each recipe's chunks.
+
+    An identifier is a 64-bit hash of the chunk's name, verified on the chunk table: no two of its names may share
+    one. Should any do, which one corpus in millions would see, the names themselves are the identifiers.
+    """
+    chunks = found.select(F.explode("recipe").alias("chunk")).distinct()
+    shared = chunks.groupBy(F.xxhash64("chunk").alias("id")).agg(F.count("*").alias("names")).where("names > 1")
+    return F.transform("recipe", lambda c: F.xxhash64(c)) if shared.isEmpty() else F.transform("recipe", lambda c: F.hex(c))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without rows whose text equals that of a row with a larger id; all columns kept.
 
