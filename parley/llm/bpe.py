@@ -13,7 +13,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -21,16 +20,28 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from parley.llm.common import id_text, map_batches
 
 #: Words longer than this (in bytes) are streamed; shorter ones are remembered, in two generations of so many.
 STREAM_FROM, REMEMBERED = 64, 400_000
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: The same pattern for texts of these characters only, by the faster engine; there a letter is any \w but 0-9 and _.
+# Letters and numbers of later Unicode versions, which the tokenizer takes for signs.
+_LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 "
+    "16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 "
+    "1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+_SIGNS = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in _LATER.split())
+_SPLIT = regex.compile(
+    r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[@]]+|[\p{N}--[@]]|[[^\s\p{L}\p{N}]||[@]]+".replace("@", _SIGNS)
+)
+#: The same pattern for lower-case texts of these characters only, by the faster engine and with letters first.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ſ‘’“”–—]*")
-_PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ſ]+")
+_PLAIN_SPLIT = re.compile(r"[a-zÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9À-ÖØ-öø-ſ]+")
 
 
 @cache
@@ -64,6 +75,7 @@ class BpeTable:
             spec = json.load(f)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
+        self.normaliser = Tokenizer.from_file(path).normalizer
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = byte_letters()
@@ -160,11 +172,12 @@ class BpeTable:
         return list(self.stream(data)) if len(data) > STREAM_FROM else self.merge(self.symbols(data, True))
 
     def words(self, text: str) -> list[str]:
-        """The words that are merged on their own: canonical composition, lower case by character, split."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # str.lower() alone would make a final sigma
-        return (_PLAIN_SPLIT if _PLAIN.fullmatch(text) else _SPLIT).findall(text)
+        """The words that are merged on their own: canonical composition, lower case by character, split.
+
+        Plain texts are composed already. Others go through the tokenizer's own normaliser, whose Unicode tables are not Python's.
+        """
+        low = text.lower()
+        return _PLAIN_SPLIT.findall(low) if _PLAIN.fullmatch(low) else _SPLIT.findall(self.normaliser.normalize_str(text))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
