@@ -35,10 +35,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parley/{uuid.uuid4().hex}/{name}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+#: Rows of a narrow table in one file, where their number is known.
+FILE_ROWS = 200_000
+
+
+def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    With ``rows``, about how many narrow rows there are, it is written in so many tasks and files as they need.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
