@@ -30,11 +30,20 @@ def _spans(tokens: Column, low: int, high: int) -> Column:
 
 def phrase_counts(messages: DataFrame, text: str = "body", low: int = 2, high: int = MAX_N, min_count: int = 1) -> DataFrame:
     """(phrase, n): n-grams that neither start nor end with an edge word and have no one-letter word."""
-    words = messages.select(voice_tokens(F.col(text)).alias("toks"))  # a column of its own: spans refer to it many times
-    spans = words.select(F.explode(_spans(F.col("toks"), low, high)).alias("s")).select("s.span")
-    edge = lambda c: F.coalesce(c.isin(*PHRASE_EDGES), F.lit(True))
-    kept = spans.where(~edge(F.try_element_at("span", F.lit(1))) & ~edge(F.try_element_at("span", F.lit(-1))) & F.forall("span", lambda w: F.length(w) >= 2))
-    counts = kept.groupBy(F.array_join("span", " ").alias("phrase")).agg(F.count("*").alias("n"))
+    words = messages.select(voice_tokens(F.col(text)).alias("toks"))  # a column of its own: it is used many times
+    # a row for each word with those that follow it, then a row for each phrase that begins there
+    shifted = [F.slice("toks", k, F.greatest(F.size("toks") - k + 1, F.lit(0))) for k in range(1, high + 1)]
+    rows = words.where(F.size("toks") > 0).select(F.inline(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted, 1)))))
+    w = [F.col(c) for c in rows.columns]
+    inner = lambda c: F.length(c) >= 2
+    found = []
+    for k in range(low, high + 1):
+        fits = w[k - 1].isNotNull() & ~w[k - 1].isin(*PHRASE_EDGES)
+        for c in w[:k]:
+            fits = fits & inner(c)
+        found.append(F.when(fits, F.concat_ws(" ", *w[:k])))
+    kept = rows.where(~w[0].isin(*PHRASE_EDGES)).select(F.explode(F.array_compact(F.array(*found))).alias("phrase"))
+    counts = kept.groupBy("phrase").agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= min_count)
 
 
