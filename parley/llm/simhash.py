@@ -1,6 +1,6 @@
-"""SimHash near-duplicates through tables of distances to reference fingerprints.
+"""SimHash near-duplicates through tables of distances to pivot fingerprints.
 
-A fingerprint's Hamming distances to the reference fingerprints (pivots) are precomputed: the
+A fingerprint's Hamming distances to fixed fingerprints (pivots) are precomputed: the
 zero pivot, and for each of eight 8-bit regions eight pivots with a Walsh pattern of bits
 there. A pivot's distance less the zero pivot's is a coordinate that only its region can
 change. Two fingerprints at most two bits apart differ in two regions at most, so
