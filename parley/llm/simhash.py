@@ -132,10 +132,12 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
                 keys = np.concatenate([keys, np.asarray(b.column("key"))])
                 fps = np.concatenate([fps, np.asarray(b.column("fp"))])
             cut = len(keys) if b is None else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if not cut:  # no rows, or a group that goes on in the next batch
+                continue
             done, values = keys[:cut], fps[:cut]
             keys, fps = keys[cut:], fps[cut:]
             out = []
-            starts = np.flatnonzero(np.r_[True, done[1:] != done[:-1]]) if len(done) else []
+            starts = np.flatnonzero(np.r_[True, done[1:] != done[:-1]])
             for s, e in zip(starts, [*starts[1:], len(done)], strict=True):
                 if e - s > 1:
                     group = np.unique(values[s:e])

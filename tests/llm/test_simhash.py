@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from parley.llm.components import components
 from parley.llm.simhash import distances, drop_near_copies, fingerprint, group_links, links, near_groups, pivots
@@ -55,6 +56,16 @@ def test_links_connect_what_brute_force_connects(spark):
     assert {f: roots.get(f, f) for f in signed} == want
 
 
+def test_links_of_a_group_over_several_batches(spark):
+    fps = spark.range(1500).select(F.col("id").alias("fp"))  # all share the upper six regions; a batch has 512 rows
+    roots = {r.node: r.root for r in components(links(fps)).collect()}
+    assert roots == {k: 0 for k in range(1500)}
+
+
+def test_links_of_nothing(spark):
+    assert links(spark.range(0).select(F.col("id").alias("fp"))).collect() == []
+
+
 def test_group_links_is_a_forest():
     fps = np.unique(np.random.default_rng(1).integers(0, 1 << 7, 60).astype(np.uint64))
     assert len(group_links(fps, 2)) < len(fps)
