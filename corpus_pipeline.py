@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, decontamination, exact_dedup, quality, simhash
+from parley.llm import bpe, decontamination, exact_dedup, near_dedup, quality
 from parley.plans.scratch import save
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,8 +27,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near copies, the document with the smallest id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest id stays.
+
+    The two bits of operator 3 are for its query only.
+    """
+    return near_dedup.drop_near_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

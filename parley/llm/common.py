@@ -70,3 +70,12 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone.withColumnRenamed("gone", "_parley_gone"), named(id_col).cast("long") == F.col("_parley_gone"), "left_anti")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` without rows whose id and ``key``, a digest of the text, are in ``gone`` (columns gone, gone_key); rows without an id stay."""
+    gone = save(gone.distinct(), "gone-rows")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    gone = gone.select(F.col("gone").alias("_parley_gone"), F.col("gone_key").alias("_parley_key"))
+    return docs.join(gone, (named(id_col).cast("long") == F.col("_parley_gone")) & (key == F.col("_parley_key")), "left_anti")
