@@ -96,7 +96,7 @@ def low_signal_share(spark, sf):
 
 @query()
 def low_signal_capped(spark, sf):
-    t = c.conversation_turns(spark, sf).withColumn("reply", F.left("text", F.lit(12)))
+    t = c.conversation_turns(spark, sf).withColumn("reply", F.col("text"))
     return curation.cap_low_signal_share(t, 0.2).select("chat_id", "msg_no")
 
 
