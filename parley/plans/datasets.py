@@ -229,13 +229,13 @@ def distinct_bigrams(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return scoring.bootstrap(_predictions(spark, sf).withColumn("v", F.char_length("gold")), "v", "id", rounds=300)
+    return scoring.bootstrap(_predictions(spark, sf).withColumn("v", F.char_length("gold")), "v", "id")
 
 
 @query()
 def paired_win_rate(spark, sf):
     rows = _predictions(spark, sf).withColumns({"a": F.char_length("gold"), "b": F.char_length("pred")})
-    return scoring.paired_win_rate(rows, "a", "b", "id", rounds=300)
+    return scoring.paired_win_rate(rows, "a", "b", "id")
 
 
 @query()

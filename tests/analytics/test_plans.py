@@ -1,3 +1,6 @@
+import pytest
+
+from parley.operators import scoring
 from parley.plans import datasets
 
 
@@ -6,3 +9,13 @@ def test_low_signal_capped_reads_whole_replies(spark, monkeypatch):
     table = spark.createDataFrame(rows, "chat_id long, msg_no long, sec long, text string")
     monkeypatch.setattr(datasets.c, "conversation_turns", lambda spark, sf: table)
     assert {r.msg_no for r in datasets.low_signal_capped(spark, "").collect()} == {*range(8), 14, 15}
+
+
+@pytest.mark.parametrize("query, operator", [("bootstrap_ci", "bootstrap"), ("paired_win_rate", "paired_win_rate")])
+def test_resampling_queries_run_the_operators_rounds(spark, monkeypatch, query, operator):
+    table = spark.createDataFrame([(1, "a", "b")], "id long, gold string, pred string")
+    monkeypatch.setattr(datasets, "_predictions", lambda spark, sf: table)
+    seen = {}
+    monkeypatch.setattr(scoring, operator, lambda *a, rounds=scoring.BOOTSTRAP, **k: seen.setdefault("rounds", rounds))
+    datasets.QUERIES[query](spark, "")
+    assert seen == {"rounds": 1000}
