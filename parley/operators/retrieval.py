@@ -18,10 +18,10 @@ def index_rows(pairs: DataFrame) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, index: DataFrame, k: int = K) -> DataFrame:
-    """(qid, id, score, place): the k most similar index rows of each query (columns qid, query, peer).
+    """(qid, id, score, place): the k most similar index rows of each query (columns qid, query, peer, and exclude_replies if there are any).
 
     Score: cosine of token sets, times 0.5 to 1 for recency, times a boost for the same peer. The query itself
-    does not count. The join is on tokens, so pairs without a common token never meet.
+    does not count, nor do rows with a reply in the query's array exclude_replies. The join is on tokens, so pairs without a common token never meet.
     """
     q = queries.withColumn("toks", F.array_distinct(T.word_tokens(F.col("query"))))
     left = q.select("qid", F.size("toks").alias("qn"), F.explode("toks").alias("tok"))
@@ -30,6 +30,9 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = K) -> DataFrame:
     newest = index.agg(F.max("sec").alias("newest"))
     rows = common.join(index.select("id", F.col("query").alias("iq"), F.col("peer").alias("ip"), "sec"), "id").join(q.select("qid", "query", F.col("peer").alias("qp")), "qid").crossJoin(F.broadcast(newest))
     rows = rows.where(F.col("iq") != T.strip(F.col("query")))
+    if "exclude_replies" in queries.columns:
+        barred = F.transform(F.coalesce("exclude_replies", F.array().cast("array<string>")), lambda r: T.strip(T.text_or_empty(r)))
+        rows = rows.join(q.select("qid", barred.alias("barred")), "qid").join(index.select("id", F.col("reply").alias("ir")), "id").where(~F.array_contains("barred", F.col("ir")))
     recency = recency_weight((F.col("newest") - F.col("sec")) / 86400.0)
     boost = F.when((F.col("qp") != "") & (F.col("qp") == F.col("ip")), PEER_BOOST).otherwise(1.0)
     score = F.col("inter") / (F.sqrt("qn") * F.sqrt("rn")) * (0.5 + 0.5 * recency) * boost

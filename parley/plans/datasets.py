@@ -148,7 +148,7 @@ def retrieve_topk(spark, sf):
 def retrieved_shots(spark, sf):
     ex = save(_examples(spark, sf).withColumn("qid", F.col("chat_id") * 1000 + F.col("turn_no")), "examples")
     index = save(retrieval.index_rows(_pairs(spark, sf)), "retrieval-index")
-    found = retrieval.retrieve(index.select(F.col("id").alias("qid"), "query", "peer"), index)
+    found = retrieval.retrieve(index.select(F.col("id").alias("qid"), "query", "peer", F.array("reply").alias("exclude_replies")), index)
     return retrieval.with_shots(ex, found, index).select("qid", F.size("messages").alias("messages"))
 
 

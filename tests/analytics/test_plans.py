@@ -1,6 +1,6 @@
 import pytest
 
-from parley.operators import scoring
+from parley.operators import retrieval, scoring
 from parley.plans import datasets
 
 
@@ -19,3 +19,10 @@ def test_resampling_queries_run_the_operators_rounds(spark, monkeypatch, query,
     monkeypatch.setattr(scoring, operator, lambda *a, rounds=scoring.BOOTSTRAP, **k: seen.setdefault("rounds", rounds))
     datasets.QUERIES[query](spark, "")
     assert seen == {"rounds": 1000}
+
+
+def test_retrieval_leaves_out_barred_replies(spark):
+    index = retrieval.index_rows(spark.createDataFrame([(k, f"are you coming {k}", r, "", 100) for k, r in enumerate(["yes", "yes ", "no", "later"])], "id long, query string, reply string, peer string, sec long"))
+    q = spark.createDataFrame([(7, "are you coming", "", [" yes"]), (8, "are you coming", "", None)], "qid long, query string, peer string, exclude_replies array<string>")
+    got = [(r.qid, r.id) for r in retrieval.retrieve(q, index).orderBy("qid", "place").collect()]
+    assert got == [(7, 2), (7, 3), (8, 0), (8, 1)]
