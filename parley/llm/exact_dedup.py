@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import id_text, map_batches, without_ids
+from parley.llm.common import ascii_lower, id_text, map_batches, named, without_rows
 from parley.plans.scratch import save
 
 #: Bytes: no cut before MIN_CHUNK, one is forced at MAX_CHUNK, about MEAN_CHUNK apart between.
@@ -114,7 +114,9 @@ def identifiers(found: DataFrame) -> Column:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without rows whose text equals that of a row with a larger id; all columns kept.
 
-    Rows without an id, and rows that repeat the id of the row that stays, are kept.
+    Rows without an id are kept, and so are equal rows that repeat the id of the row that stays. Of rows that share an id,
+    only those whose text has a copy with a larger id go.
     """
     groups = exact_groups(docs, id_col, text_col)
-    return without_ids(docs, groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")), id_col)
+    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_key"))
+    return without_rows(docs, gone, id_col, F.sha2(ascii_lower(F.coalesce(named(text_col), F.lit(""))).cast("binary"), 256))

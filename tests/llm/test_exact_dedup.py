@@ -34,3 +34,9 @@ def test_drop_and_chunks(odd_docs):
     assert left == {1, 2, 5, 6, 7, 8, 9, 10, 11, None}
     chunks = verified_chunks(recipes(odd_docs)).collect()
     assert all(c.verified for c in chunks) and max(c.uses for c in chunks) == 4
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "Same é text"), (2, "same é TEXT"), (1, "another text"), (1, None)]
+    left = drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(2, "same é TEXT"), (1, "another text"), (1, None)}
