@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.plans.scratch import save, ship_package
+from parley.plans.scratch import new_path, save, ship_package
 
 #: Rows and bytes in one Arrow batch. Long texts make row counts a poor bound on memory.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
@@ -79,3 +81,40 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, key: Column) ->
         gone = F.broadcast(gone)
     gone = gone.select(F.col("gone").alias("_parley_gone"), F.col("gone_key").alias("_parley_key"))
     return docs.join(gone, (named(id_col).cast("long") == F.col("_parley_gone")) & (key == F.col("_parley_key")), "left_anti")
+
+
+#: Parts that the blocks of one task are dealt to, so that later passes over them have more tasks than the first.
+SPREAD = 16
+
+
+def part_of(task: int, batch: int) -> int:
+    """The part of a task's block; ``part // SPREAD`` is the task again."""
+    return task * SPREAD + batch % SPREAD
+
+
+def blocks_by_part(blocks: DataFrame, name: str) -> DataFrame:
+    """``blocks`` (with a column part, see ``part_of``) written once and bucketed by part, so that joins on it leave them in place."""
+    spark = blocks.sparkSession
+    # no fewer buckets than shuffle partitions: Spark would deal both sides of a join anew
+    buckets = max(2 * blocks.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"parley_{name}_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(min(buckets, 100_000), "part").option("path", new_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # only its name: the files and their buckets stay with ``found``
+    return found
+
+
+def with_answers(blocks: DataFrame, answers: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Blocks, unmoved, with the answers (part, batch, columns) to each as an array of structs; empty where there are none."""
+    own = answers.groupBy("part").agg(F.collect_list(F.struct("batch", *columns)).alias("_found"))
+    joined = blocks.join(own.hint("shuffle_hash"), "part", "left")
+    mine = F.filter("_found", lambda x: x["batch"] == F.col("batch"))
+    return joined.withColumn(name, F.coalesce(F.transform(mine, lambda x: F.struct(*(x[c].alias(c) for c in columns))), F.array())).drop("_found")
+
+
+def by_bucket(bucket_of: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """Entries ordered by bucket, and where each bucket that has any begins and ends."""
+    order = np.argsort(bucket_of, kind="stable")
+    b = bucket_of[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)]), len(b)].tolist()
+    return order, {int(b[s]): (s, e) for s, e in zip(edges, edges[1:], strict=False)}

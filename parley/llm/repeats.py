@@ -19,7 +19,6 @@ the answers without moving the texts again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from parley.llm.common import id_text, prepare
-from parley.plans.scratch import new_path, save
+from parley.llm.common import SPREAD, blocks_by_part, by_bucket, id_text, part_of, prepare, with_answers
+from parley.plans.scratch import save
 
 LENGTH, ANCHOR = 100, 37
 #: Documents in a block at most (bytes are bounded too), units for each bucket on average, and units of one anchor sorted in one group.
@@ -282,7 +281,7 @@ def _write_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         for k, b in enumerate(batches):
             if b.num_rows:
                 ids = np.asarray(b.column("doc_id"))
@@ -291,15 +290,10 @@ def _write_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 data, sizes = b"".join([texts[i] for i in order]), np.array([len(texts[i]) for i in order], np.int64)
                 first, count, left = find_units(data, sizes)
                 units = first.astype("<u4").tobytes() + (count - 1).astype(np.uint8).tobytes() + left.astype(np.uint8).tobytes()
-                row = [[part], [k], [len(first)], [ids[order]], [sizes], [data], [units]]
+                row = [[part_of(task, k)], [k], [len(first)], [ids[order]], [sizes], [data], [units]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, arrow, strict=True)], schema=arrow)
 
-    buckets = max(1, min(100_000, rows.rdd.getNumPartitions()))
-    name = f"parley_blocks_{uuid.uuid4().hex}"
-    rows.mapInArrow(run, struct).write.bucketBy(buckets, "part").option("path", new_path(spark, "repeat-blocks")).option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # only its name: the files and their buckets stay with ``blocks``
-    return blocks
+    return blocks_by_part(rows.mapInArrow(run, struct), "repeat_blocks")
 
 
 def _block(b: pa.RecordBatch, k: int) -> Block:
@@ -312,17 +306,9 @@ def _bucket_of(digit: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((digit * _PRIME >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
 
 
-def _by_bucket(bucket_of: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
-    """Entries ordered by bucket, and where each bucket that has any begins and ends."""
-    order = np.argsort(bucket_of, kind="stable")
-    b = bucket_of[order]
-    edges = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)]), len(b)].tolist()
-    return order, {int(b[s]): (s, e) for s, e in zip(edges, edges[1:], strict=False)}
-
-
 def _packed(bucket_of: np.ndarray, head: tuple[int, int], columns: dict[str, Callable[[np.ndarray], bytes]], arrow: pa.Schema) -> pa.RecordBatch:
     """One row for each bucket: each column is made from the numbers of the entries that go there."""
-    order, places = _by_bucket(bucket_of)
+    order, places = by_bucket(bucket_of)
     rows: dict[str, list] = {"bucket": list(places), "part": [head[0]] * len(places), "batch": [head[1]] * len(places)}
     for name in ("one", "two", "ids", "shape", "body"):
         rows[name] = [columns[name](order[s:e]) if name in columns else None for s, e in places.values()]
@@ -331,7 +317,7 @@ def _packed(bucket_of: np.ndarray, head: tuple[int, int], columns: dict[str, Cal
 
 def _unpacked(bucket_of: np.ndarray, found: list[dict], dtype: type) -> np.ndarray:
     """Answers of the buckets, in the order of the entries that were sent."""
-    order, places = _by_bucket(bucket_of)
+    order, places = by_bucket(bucket_of)
     out = np.zeros(len(bucket_of), dtype)
     for x in found:
         s, e = places[x["bucket"]]
@@ -363,7 +349,7 @@ def _anchor_counts(hot_units: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def _ranked(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     """The messages in order of reading, and the rank of each entry: by id, then as read."""
-    group = group.sort_values(["part", "batch"])
+    group = group.assign(task=group["part"] // SPREAD).sort_values(["task", "batch"])
     ids = _joined(group, "ids", np.int64)
     rank = np.empty(len(ids), np.int64)
     rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
@@ -384,16 +370,6 @@ def _sort_windows(group: pd.DataFrame) -> pd.DataFrame:
     return _answers(group, status, group["one"].map(len).to_numpy() // 8)
 
 
-def _by_block(blocks: DataFrame, *statuses: DataFrame) -> DataFrame:
-    """Blocks with the answers to their entries; only answers are shuffled."""
-    for k, s in enumerate(statuses):
-        own = s.groupBy("part").agg(F.collect_list(F.struct("batch", "bucket", "status")).alias("found"))
-        blocks = blocks.join(own.hint("shuffle_hash"), "part", "left").withColumn(
-            f"status{k}", F.coalesce(F.transform(F.filter("found", lambda x: x["batch"] == F.col("batch")), lambda x: F.struct(x["bucket"].alias("bucket"), x["status"].alias("status"))), F.array().cast("array<struct<bucket:int,status:binary>>"))
-        ).drop("found")
-    return blocks
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary): one row per input row, texts as UTF-8 bytes.
 
@@ -410,6 +386,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_buckets = max(1, -(-total // BUCKET_ENTRIES))
     entry, status = StructType.fromDDL(_ENTRY_SCHEMA), StructType.fromDDL(_STATUS_SCHEMA)
     entry_arrow = to_arrow_schema(entry)
+    answer = lambda b, found, name: with_answers(b, found, name, "bucket", "status")
     pick = lambda values: lambda own: values[own].tobytes()
 
     def each(fn: Callable[[Block, pa.RecordBatch, int], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -448,7 +425,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = {"one": pick(x.anchor[u]), "ids": pick(ids), "shape": pick(shape), "body": lambda own: x.bodies(u[own]).tobytes()}
         return _packed(_bucket_of(x.anchor[u], n_buckets), head(b, k), columns, entry_arrow)
 
-    with_counts = _by_block(blocks, counted).select(*base, "status0")
+    with_counts = answer(blocks, counted, "status0").select(*base, "status0")
     units = save(with_counts.mapInArrow(each(send_units), entry).groupBy("bucket").applyInPandas(_sort_units, status), "unit-status")
 
     def send_windows(x: Block, b: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
@@ -488,7 +465,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = [[None if i == _NO_ID else i for i in ids.tolist()], x.sizes, [[{"start": s, "end": e} for s, e in r[0]] for r in rows], [r[1] for r in rows]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_arrow, strict=True)], schema=out_arrow)
 
-    answered = _by_block(blocks, counted, units, windows).select(*base[2:], "status0", "status1", "status2")
+    answered = answer(answer(answer(blocks, counted, "status0"), units, "status1"), windows, "status2").select(*base[2:], "status0", "status1", "status2")
     return answered.mapInArrow(each(cut), out)
 
 
