@@ -2,7 +2,7 @@
 
 Each text is normalised and cut where a rolling hash of its content says so.
 A chunk is named by two independent digests and its length. The table of
-chunks keeps each name once and verifies that short identifiers stand for one name each; a
+chunks keeps each name once and verifies that a 128-bit identifier stands for one name; a
 document is then only its ordered list of identifiers, and texts are equal when their lists
 are. The texts themselves are read once and never shuffled.
 """
@@ -22,6 +22,8 @@ from parley.plans.scratch import save
 
 #: Bytes: no cut before MIN_CHUNK, one is forced at MAX_CHUNK, about MEAN_CHUNK apart between.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 2048, 8192, 65536
+#: Bytes of a chunk's identifier.
+ID_BYTES = 16
 _SPAN = 32
 
 
@@ -75,13 +77,32 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_batches(id_text(docs, id_col, text_col), batch, "doc_id long, text_sha256 string, recipe array<binary>")
 
 
-def verified_chunks(found: DataFrame) -> DataFrame:
-    """(chunk, uses, verified): each chunk name once; ``verified`` is false where one sha256 stands for two contents."""
+def chunk_table(found: DataFrame) -> DataFrame:
+    """(chunk, uses, id, verified): each chunk once, and its identifier, ID_BYTES of its name.
+
+    ``verified`` is false where an identifier stands for two names.
+    """
     each = found.select(F.explode("recipe").alias("chunk")).groupBy("chunk").agg(F.count("*").alias("uses"))
-    by_sha = each.groupBy(F.substring("chunk", 1, 32).alias("sha")).agg(
-        F.collect_list(F.struct("chunk", "uses")).alias("same"), (F.count("*") == 1).alias("verified")
-    )
-    return by_sha.select(F.explode("same").alias("s"), "verified").select("s.chunk", "s.uses", "verified")
+    by_id = each.groupBy(identifier(F.col("chunk")).alias("id")).agg(F.collect_list(F.struct("chunk", "uses")).alias("same"), (F.count("*") == 1).alias("verified"))
+    return by_id.select(F.explode("same").alias("s"), "id", "verified").select("s.chunk", "s.uses", "id", "verified")
+
+
+def identifier(chunk: Column) -> Column:
+    return F.substring(chunk, 1, ID_BYTES)
+
+
+def with_identifiers(found: DataFrame) -> DataFrame:
+    """``found`` with ``ids``, the ordered identifiers of each recipe's chunks.
+
+    Names are gathered in the table of chunks, which verifies identifiers: one that stands for two names is
+    not used, and those chunks go by their whole names. Of 10^10 chunks, any two share one with a probability of 10^-19.
+    """
+    chunks = found.select(F.explode("recipe").alias("chunk")).distinct()
+    shared = chunks.groupBy(identifier(F.col("chunk")).alias("id")).agg(F.count("*").alias("names")).where("names > 1")
+    # one row: the identifiers that are not unique, as good as always none
+    bad = shared.agg(F.collect_list("id").alias("bad"))
+    ids = F.transform("recipe", lambda c: F.when(F.array_contains("bad", identifier(c)), c).otherwise(identifier(c)))
+    return found.crossJoin(F.broadcast(bad)).withColumn("ids", ids).drop("bad")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,27 +111,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty, and empty texts are equal to one another. Of equal
     texts the row with the largest id stays; if rows repeat an id, all rows with that id
     are marked kept. A null id is smaller than any other: it stays only where its
-    group has no other id (keep_id is then null). Other columns are not read.
+    group has no other id (keep_id is then null). Texts of any length are cut whole; an empty table gives an empty
+    result. Other columns, whatever their names, are not read.
     """
     found = save(recipes(docs, id_col, text_col), "recipes")
-    each = save(found.withColumn("ids", identifiers(found)).select("doc_id", "text_sha256", "ids"), "identifier-lists")
+    each = save(with_identifiers(found).select("doc_id", "text_sha256", "ids"), "identifier-lists")
     keep = save(each.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "keepers")
     return each.join(keep, "ids").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
-def identifiers(found: DataFrame) -> Column:
-    """The ordered identifiers of each recipe's chunks.
-
-    An identifier is a 64-bit hash of the chunk's name, verified on the chunk table: no two of its names may share
-    one. Should any do, which one corpus in millions would see, the names themselves are the identifiers.
-    """
-    chunks = found.select(F.explode("recipe").alias("chunk")).distinct()
-    shared = chunks.groupBy(F.xxhash64("chunk").alias("id")).agg(F.count("*").alias("names")).where("names > 1")
-    return F.transform("recipe", lambda c: F.xxhash64(c)) if shared.isEmpty() else F.transform("recipe", lambda c: F.hex(c))
-
-
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without rows whose text equals that of a row with a larger id; all columns kept.
 

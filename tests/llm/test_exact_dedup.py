@@ -2,7 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
-from parley.llm.exact_dedup import MAX_CHUNK, chunk_names, cut_points, drop_copies, exact_groups, recipes, verified_chunks
+from parley.llm import exact_dedup
+from parley.llm.exact_dedup import MAX_CHUNK, chunk_names, chunk_table, cut_points, drop_copies, exact_groups, recipes
 
 
 def test_cuts_follow_content():
@@ -32,8 +33,17 @@ def test_groups(odd_docs, odd_texts, empty_docs):
 def test_drop_and_chunks(odd_docs):
     left = {r.doc_id for r in drop_copies(odd_docs).collect()}
     assert left == {1, 2, 5, 6, 7, 8, 9, 10, 11, None}
-    chunks = verified_chunks(recipes(odd_docs)).collect()
-    assert all(c.verified for c in chunks) and max(c.uses for c in chunks) == 4
+    chunks = chunk_table(recipes(odd_docs)).collect()
+    assert all(c.verified and len(c.id) == 16 for c in chunks) and max(c.uses for c in chunks) == 4
+
+
+def test_identifiers_that_collide(spark, monkeypatch):
+    """With one byte most identifiers stand for several names; groups stay those of equal texts."""
+    docs = spark.createDataFrame([(k, f"text {k % 400}") for k in range(900)], "doc_id long, text string")
+    want = sorted(map(tuple, exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "ID_BYTES", 1)
+    assert not all(c.verified for c in chunk_table(recipes(docs)).collect())
+    assert sorted(map(tuple, exact_groups(docs).collect())) == want and len({r[1] for r in want}) == 400
 
 
 def test_rows_that_share_an_id(spark):
