@@ -1,11 +1,16 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles.
+"""Near copies by the exact Jaccard similarity of five-word shingles: the pipeline's use of operator 3.
 
 A text is its set of shingle hashes, named by a hash of the set: texts with equal sets
-share a name and are near copies of one another. MinHash bands propose pairs of names; each proposed
-pair is verified on the sets themselves. First every name meets the least name of each of its bands, so a
-dense group is connected by about as many pairs as it has members; then all pairs of a
-band that are still in different components meet, whatever the size of the band. Only the texts of names in
-proposed pairs are read again for their sets.
+share a name and are near copies of one another. Pairs of names are proposed and each is verified on the sets themselves:
+
+1. by operator 3: SimHash fingerprints of the sets, at most two bits apart by its tables of pivot distances. Two bits
+   alone find few of the pairs at a similarity of 0.8, so that
+2. MinHash bands propose more. Every name meets the least name of each of its bands, so a
+   dense group is connected by about as many pairs as it has members.
+3. Names of bands that are still in different components meet by an exact prefix filter: sets
+   at the threshold share one of their rarest shingles, at places that leave enough behind them. No band is expanded into all its pairs.
+
+Only the texts of names in proposed pairs are read again for their sets.
 """
 
 from __future__ import annotations
@@ -15,9 +20,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm import simhash
 from parley.llm.common import id_text, map_batches, named, without_rows
 from parley.llm.components import components
 from parley.plans.scratch import save
@@ -68,7 +74,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def names(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, place, name, size, bands), one row per input row: ``place`` is a hash of the text as it is; an empty set has no bands."""
+    """(doc_id, place, name, size, fp, bands), one row per input row: ``place`` is a hash of the text as it is; an empty set has no bands."""
 
     def batch(b: pa.RecordBatch) -> dict[str, list]:
         sets = _shingle_sets(b, shingle)
@@ -77,11 +83,12 @@ def names(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_
             "place": b.column("place"),
             "name": _set_names(sets),
             "size": [len(s) for s in sets],
+            "fp": np.array([simhash.fingerprint_of(s) for s in sets], np.uint64).view(np.int64),
             "bands": [band_keys(s).view(np.int64) if len(s) else [] for s in sets],
         }
 
     rows = id_text(docs, id_col, text_col).withColumn("place", F.xxhash64("text"))
-    return map_batches(rows, batch, "doc_id long, place long, name long, size int, bands array<long>")
+    return map_batches(rows, batch, "doc_id long, place long, name long, size int, fp long, bands array<long>")
 
 
 def _shingle_sets(b: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
@@ -116,14 +123,38 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), batch, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of a band that are in different components, were not tested yet and are not too different in size."""
-    rooted = save(members.join(roots, F.col("name") == F.col("node"), "left").select("band", "star", "name", "size", F.coalesce("root", "name").alias("root")), "near-rooted")
-    bands = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
-    rows = save(rooted.where("name <> star").join(bands, "band", "left_semi").drop("star"), "near-open")
-    other = rows.select("band", *(F.col(c).alias(f"{c}_2") for c in ("name", "size", "root")))
-    fits = F.least("size", "size_2") / F.greatest("size", "size_2") >= similarity
-    return rows.join(other, "band").where((F.col("name") < F.col("name_2")) & (F.col("root") != F.col("root_2")) & fits).select(F.col("name").alias("a"), F.col("name_2").alias("b")).distinct()
+def _fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): names whose fingerprints are within operator 3's two bits, enough to connect them: each with the least of its fingerprint, and those of linked fingerprints."""
+    least = save(distinct.groupBy("fp").agg(F.min("name").alias("a"), F.max("name").alias("last")), "near-fingerprints")
+    same = distinct.join(least.where("a < last"), "fp").where("name <> a").select("a", F.col("name").alias("b"))
+    links = save(simhash.links(least.select("fp")), "near-fingerprint-links").withColumnsRenamed({"a": "x", "b": "y"})
+    ends = [least.select(F.col("fp").alias(x), F.col("a").alias(name)) for x, name in (("x", "a"), ("y", "b"))]
+    return same.unionAll(links.join(ends[0], "x").join(ends[1], "y").select("a", "b"))
+
+
+def _prefix_pairs(open_sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): names with different roots whose sets (name, root, grams) may be similar enough; none that is, is left out.
+
+    Sets at the threshold share a shingle among the first n - ceil(s n) + 1 of each in any fixed order. From rare to frequent the
+    order leaves few such pairs; the places of the shared shingle must also leave an overlap of s / (1 + s) of both.
+    """
+
+    def batch(b: pa.RecordBatch) -> dict[str, list]:
+        grams = [np.frombuffer(g, np.int64) for g in b.column("grams").to_pylist()]
+        return {"name": b.column("name"), "root": b.column("root"), "size": [len(g) for g in grams], "grams": grams}
+
+    rows = save(map_batches(open_sets.select("name", "root", "grams"), batch, "name long, root long, size int, grams array<long>"), "near-open")
+    tokens = rows.select("name", "root", "size", F.explode("grams").alias("gram"))
+    known = save(tokens.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "near-grams")
+    order = Window.partitionBy("name").orderBy("n", "gram")
+    # those of one set alone come first; they meet nothing but count in the places of the others
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("name"))
+    kept = tokens.join(known, "gram").withColumn("place", F.row_number().over(order) + alone)
+    keys = save(kept.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select("gram", "name", "root", "size", "place"), "near-keys")
+    other = keys.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("name", "root", "size", "place")))
+    overlap = 1 + F.least(F.col("size") - F.col("place"), F.col("size_2") - F.col("place_2"))
+    fits = overlap >= (F.col("size") + F.col("size_2")) * (similarity / (1 + similarity)) - 1e-9
+    return keys.join(other, "gram").where((F.col("name") < F.col("name_2")) & (F.col("root") != F.col("root_2")) & fits).select(F.col("name").alias("a"), F.col("name_2").alias("b")).distinct()
 
 
 def near_groups(
@@ -132,22 +163,31 @@ def near_groups(
     """(doc_id, place, component_id), one row per input row.
 
     Texts whose shingle sets have a Jaccard similarity of ``similarity`` or more are linked; a component's id is its
-    smallest document id. Null texts count as empty; texts without words are equal to one another. A null id is carried along.
+    smallest document id. Null texts count as empty; texts without words are equal to one another. A null id is carried along; repeated rows
+    share their component. Texts of any length count whole; an empty table gives an empty result. Other columns, whatever their names, are not read.
     """
     found = save(names(docs, shingle, id_col, text_col), "near-names")
-    bands = found.select("name", "size", F.explode("bands").alias("band"))
+    distinct = save(found.select("name", "fp", "bands").dropDuplicates(["name"]), "near-distinct")
+    bands = distinct.select("name", F.explode("bands").alias("band"))
     stars = save(bands.groupBy("band").agg(F.min("name").alias("star"), F.max("name").alias("last")).where("star < last").select("band", "star"), "near-stars")
     members = save(bands.join(stars, "band").distinct(), "near-members")
-    wanted = members.select("name").distinct()
+    banded = members.where("name <> star").select(F.col("star").alias("a"), F.col("name").alias("b"))
+    pairs = save(_fingerprint_pairs(distinct.select("name", "fp")).unionAll(banded).distinct(), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
     places = save(found.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("place").alias("place")).select("place"), "near-places")
     sets = save(_sets(docs, places, shingle, text_col), "near-sets")
-    linked = save(alike(members.where("name <> star").select(F.col("star").alias("a"), F.col("name").alias("b")).distinct(), sets, similarity), "near-links")
+    linked = save(alike(pairs, sets, similarity), "near-links")
     roots = save(components(linked), "near-roots")
-    more = save(alike(save(_open_pairs(members, roots, similarity), "near-pairs"), sets, similarity), "near-links")
+    of_name = roots.select(F.col("node").alias("name"), "root")
+    rooted = members.join(of_name, "name", "left").select("band", "name", F.coalesce("root", "name").alias("root"))
+    left = save(rooted, "near-rooted")
+    split = left.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
+    unsettled = save(left.join(split, "band", "left_semi").select("name", "root").distinct(), "near-unsettled")
+    more = save(alike(save(_prefix_pairs(sets.join(unsettled, "name"), similarity), "near-pairs"), sets, similarity), "near-links")
     if not more.isEmpty():
-        roots = components(save(linked.unionAll(more), "near-links"))
-    distinct = found.groupBy("name").agg(F.min("doc_id").alias("first_id"))
-    with_root = save(distinct.join(roots, F.col("name") == F.col("node"), "left").select("name", "first_id", F.coalesce("root", "name").alias("root")), "near-roots")
+        roots = save(components(save(linked.unionAll(more), "near-links")), "near-roots")
+    firsts = found.groupBy("name").agg(F.min("doc_id").alias("first_id"))
+    with_root = save(firsts.join(roots, F.col("name") == F.col("node"), "left").select("name", "first_id", F.coalesce("root", "name").alias("root")), "near-roots")
     least = save(with_root.groupBy("root").agg(F.min("first_id").alias("component_id")), "near-ids")
     labels = save(with_root.join(least, "root").select("name", "component_id"), "near-labels")
     return found.select("doc_id", "place", "name").join(labels, "name").select("doc_id", "place", "component_id")

@@ -44,7 +44,11 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], np.uint64)
+    return fingerprint_of(np.array([digest(g, SEED) for g in grams], np.uint64))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if over half of them have it."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -163,7 +167,8 @@ def near_groups(
     Documents whose fingerprints differ in ``most_bits`` bits or fewer are linked; a
     component's id is its smallest document id. Null texts count as empty; texts without words have
     fingerprint 0 and are linked like any other. A null id is carried along, and a
-    component of null ids only has a null id. Repeated rows share their component.
+    component of null ids only has a null id. Repeated rows share their component. Texts of any length are hashed whole;
+    an empty table gives an empty result. Other columns, whatever their names, are not read.
     """
     found = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = save(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")

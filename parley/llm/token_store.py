@@ -25,7 +25,7 @@ from parley.llm.common import id_text, prepare
 from parley.plans.scratch import new_path
 
 END_ID = 1
-STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
+STRIPE_BYTES, INDEX_ROWS, FILES_A_SPLIT = 16 << 20, 1000, 2
 _SCHEMA = "part int, seq long, doc_id long, local_start long, n_tokens int, ids array<int>"
 
 
@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     """Encode whole texts and write ``path/data`` (ORC) and ``path/manifest`` in ascending order of id.
 
     Each document ends with ``END_ID``. Null texts count as empty (just the end id). Null ids come first;
-    rows that share an id are ordered by a hash of their texts, then as read. An empty table gives empty files.
+    rows that share an id are ordered by a 64-bit hash of their texts, then as read. Texts of any length are encoded whole. An empty table gives empty files.
     Other columns are not read.
     """
     spark = docs.sparkSession
@@ -78,9 +78,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
             seq, at = seq + n, at + int(sizes.sum())
 
-    ordered = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(run, struct)
+    # as many files as the input has splits, which follow its bytes; the last key divides rows that are equal otherwise
+    ordered = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).withColumn("as_read", F.monotonically_increasing_id())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), FILES_A_SPLIT * ordered.rdd.getNumPartitions())
+    keys = ["doc_id", "tie", "as_read"]
+    rows = ordered.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(run, struct)
     (
         rows.write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -95,13 +97,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     totals.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids); bounds on the id prune files, stripes and row groups."""
+def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None, ids: list[int] | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids); bounds on the id prune files, stripes and row groups by their least and largest ids.
+
+    Given ``ids`` only those documents are read: row groups whose Bloom filter knows none of them are skipped. Ids that are not stored give no row.
+    """
     rows = spark.read.schema(_SCHEMA).orc(f"{path}/data")
     if first_id is not None:
         rows = rows.where(F.col("doc_id") >= first_id)
     if last_id is not None:
         rows = rows.where(F.col("doc_id") <= last_id)
+    if ids is not None:
+        rows = rows.where(F.col("doc_id").isin(ids))
     manifest = spark.read.schema("part int, tokens long, documents long, first long").parquet(f"{path}/manifest").select("part", "first")
     # one manifest row for each file of the store: far smaller than any broadcast limit
     return rows.join(F.broadcast(manifest), "part").select(

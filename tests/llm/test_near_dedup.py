@@ -56,6 +56,15 @@ def test_groups_are_those_of_brute_force(spark):
     assert 30 <= len(set(want.values())) < 90
 
 
+def test_a_template_with_many_fillings(spark):
+    """Many pairs below the threshold that share bands: they stay apart, and those above it meet."""
+    rng = random.Random(9)
+    base = sentence(rng, 120)
+    texts = [edited(rng, base, rng.randint(0, 9)) for _ in range(150)]
+    rows = list(enumerate(texts + [edited(rng, texts[k], 1) for k in range(0, 150, 15)]))
+    assert {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_components(rows)
+
+
 @pytest.mark.parametrize("stage", [dict(STAGES)["near_dedup"]])
 def test_stage_drops_copies_with_several_edited_words(spark, stage):
     rng = random.Random(6)
