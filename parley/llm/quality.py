@@ -1,15 +1,17 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled good; everything else is unlabelled. A small
-network minimises the non-negative unbiased risk with logistic loss, so its output estimates the
-probability of a good text. The class prior is the share of good labels among
-training labels. Fitting uses bounded samples (``POSITIVES``, ``UNLABELLED``);
-scoring covers every row and shuffles nothing.
+Trusted positives are labelled good; everything else is unlabelled, and no label but good is ever read. A model
+minimises the non-negative unbiased risk with logistic loss, so its output estimates the
+probability of a good text: a small network on shares of characters, marks, repeats and lengths, and a linear part on hashed
+words and pairs of words. The class prior is estimated from positives and unlabelled rows alone (``estimate_prior``).
+Fitting uses bounded samples (``POSITIVES``, ``UNLABELLED``); scoring covers every row and shuffles nothing.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Callable
 from operator import eq
 
 import numpy as np
@@ -19,13 +21,18 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import id_crc, id_text, map_batches, named, prepare
 
-#: Rows that fitting takes at most: labelled positives, and unlabelled rows. Chosen by a hash of the id.
+#: Rows that fitting takes at most: labelled positives, and unlabelled rows. Chosen by a hash of id and text.
 POSITIVES, UNLABELLED = 4096, 8192
-HELD_OUT_OF, THRESHOLD, HIDDEN, STEPS = 5, 0.3, 16, 600
+HELD_OUT_OF, THRESHOLD, HIDDEN, STEPS = 5, 0.3, 16, 400
 _MARKS = "!#$%&*|.,\"'=@/:;<>()[]{}-_+~^`?\\"
 _MARK_CODES = np.array([ord(c) for c in _MARKS])
 _SCALE = 1e-3
-N_FEATURES = 12 + len(_MARKS)
+DENSE = 12 + len(_MARKS)
+#: Buckets of hashed words, and of pairs of words.
+LEXICAL = 128
+N_FEATURES = DENSE + 2 * LEXICAL
+#: Weight of the squared weights in the risk: of the network, and of the linear part.
+DECAY, LEXICAL_DECAY = 1e-4, 1e-2
 
 
 def features(text: str) -> np.ndarray:
@@ -51,86 +58,143 @@ def features(text: str) -> np.ndarray:
         1 / n,
         math.log1p(n) / 10,
     ]
-    return np.log(_SCALE + np.concatenate([shares, counts[_MARK_CODES] / n]))
+    return np.concatenate([np.log(_SCALE + np.concatenate([shares, counts[_MARK_CODES] / n])), lexical(text)])
+
+
+def lexical(text: str) -> np.ndarray:
+    """Square roots of the shares of hashed words, and of hashed pairs of neighbouring words."""
+    h = np.array([zlib.crc32(w) for w in text.encode().lower().split()], np.uint32)
+    pairs = h[:-1] * np.uint32(0x9E3779B1) ^ h[1:]
+    parts = [np.bincount((x * np.uint32(0x85EBCA6B)) >> np.uint32(25), minlength=LEXICAL) / max(1, len(x)) for x in (h, pairs)]
+    return np.sqrt(np.concatenate(parts))
 
 
 class PuModel:
-    """Standardised features, one hidden layer, a logistic output."""
+    """Standardised features; one hidden layer on the first ``dense`` of them, a linear part on the others; a logistic output."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, dense: int, seed: int) -> None:
+        self.mean, self.scale, self.dense = mean, scale, dense
+        rng = np.random.default_rng(seed)
+        self.weights = [rng.normal(0, 1 / np.sqrt(dense), (dense, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(()), np.zeros(len(mean) - dense)]
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: list[np.ndarray]) -> None:
-        self.mean, self.scale, self.weights = mean, scale, weights
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale
+
+    def _outputs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w1, b1, w2, b2, linear = self.weights
+        h = np.tanh(x[:, : self.dense] @ w1 + b1)
+        return h, h @ w2 + b2 + x[:, self.dense :] @ linear
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        w1, b1, w2, b2 = self.weights
-        z = np.tanh((x - self.mean) / self.scale @ w1 + b1) @ w2 + b2
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return _logistic(self._outputs(self.standard(x))[1])
+
+    def descend(self, x: np.ndarray, slope: Callable[[np.ndarray], np.ndarray], steps: int) -> None:
+        """Adam on all of standardised ``x``; ``slope`` gives the risk's derivative by each row's output."""
+        w = [np.asarray(a, np.float32) for a in self.weights]
+        x = x.astype(np.float32)
+        first, second = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
+        wide = np.ascontiguousarray(x[:, self.dense :])
+        deep = np.ascontiguousarray(x[:, : self.dense])
+        for step in range(1, steps + 1):
+            h = np.tanh(deep @ w[0] + w[1])
+            g = slope(h @ w[2] + w[3] + wide @ w[4]).astype(np.float32)
+            back = np.outer(g, w[2]) * (1 - h * h)
+            grads = [deep.T @ back + DECAY * w[0], back.sum(0), h.T @ g + DECAY * w[2], g.sum(), wide.T @ g + LEXICAL_DECAY * w[4]]
+            rate = 0.02 * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for a, d in enumerate(grads):
+                first[a], second[a] = 0.9 * first[a] + 0.1 * d, 0.999 * second[a] + 0.001 * d * d
+                w[a] = (w[a] - rate * first[a] / (np.sqrt(second[a]) + 1e-8)).astype(np.float32)
+        self.weights = [a.astype(np.float64) for a in w]
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _new_model(positive: np.ndarray, unlabelled: np.ndarray, seed: int) -> tuple[PuModel, np.ndarray]:
+    model = PuModel(unlabelled.mean(0), unlabelled.std(0) + 1e-2, min(DENSE, unlabelled.shape[1]), seed)
+    return model, model.standard(np.vstack([positive, unlabelled]))
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7, steps: int = STEPS) -> PuModel:
-    """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) by Adam on the full sample."""
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-2
-    rng = np.random.default_rng(seed)
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    x = np.vstack([p, u])
-    k = len(p)
-    w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(())]
-    first, second = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    for step in range(1, steps + 1):
-        h = np.tanh(x @ w[0] + w[1])
-        z = h @ w[2] + w[3]
-        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        risk_negative = np.logaddexp(0, z[k:]).mean() - prior * np.logaddexp(0, z[:k]).mean()
-        g = np.empty(len(z))
-        if risk_negative >= 0:
+    """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) on the full sample."""
+    model, x = _new_model(positive, unlabelled, seed)
+    k, n = len(positive), len(unlabelled)
+
+    def slope(z: np.ndarray) -> np.ndarray:
+        s, g = _logistic(z), np.empty(len(z))
+        if np.logaddexp(0, z[k:]).mean() >= prior * np.logaddexp(0, z[:k]).mean():
             g[:k] = prior / k * (s[:k] - 1) - prior / k * s[:k]
-            g[k:] = s[k:] / (len(z) - k)
+            g[k:] = s[k:] / n
         else:  # step back up the negative part, as the non-negative estimator prescribes
             g[:k] = prior / k * s[:k]
-            g[k:] = -s[k:] / (len(z) - k)
-        back = np.outer(g, w[2]) * (1 - h * h)
-        grads = [x.T @ back + 1e-4 * w[0], back.sum(0), h.T @ g + 1e-4 * w[2], g.sum()]
-        for a, (m, v, d) in enumerate(zip(first, second, grads, strict=True)):
-            first[a], second[a] = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
-            rate = 0.02 * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            w[a] = w[a] - rate * first[a] / (np.sqrt(second[a]) + 1e-8)
-    return PuModel(mean, scale, w)
+            g[k:] = -s[k:] / n
+        return g
 
+    model.descend(x, slope, steps)
+    return model
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7, steps: int = STEPS // 4) -> float:
+    """The share of good texts among the unlabelled, from these two samples alone.
+
+    Half of each trains a classifier of positive against unlabelled. On the other half, above any cut of its
+    score, the share of the unlabelled is at least the prior times the share of positives; the cut with the least
+    upper confidence bound of their ratio gives the estimate.
+    """
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    model, x = _new_model(positive[::2], unlabelled[::2], seed)
+    k, n = len(positive[::2]), len(unlabelled[::2])
+
+    def slope(z: np.ndarray) -> np.ndarray:
+        s = _logistic(z)
+        return np.concatenate([(s[:k] - 1) / k, s[k:] / n])
+
+    model.descend(x, slope, steps)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    cuts = np.quantile(p, np.linspace(0.002, 0.9, 250))
+    above_p, above_u = (1 - np.searchsorted(v, cuts) / len(v) for v in (p, u))
+    slack = math.sqrt(math.log(40) / 2 / len(u)) + math.sqrt(math.log(40) / 2 / len(p))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def _sample(rows: DataFrame, most: int) -> np.ndarray:
+    """Features of ``most`` rows (doc_id, text) at most, those with the least hashes."""
 
-def _features_of(rows: DataFrame) -> np.ndarray:
     def batch(b: pa.RecordBatch) -> dict[str, list]:
-        return {"f": [features(t) for t in b.column("text").to_pylist()]}
+        return {"first": b.column("first"), "second": b.column("second"), "f": [features(t).astype(np.float32) for t in b.column("text").to_pylist()]}
 
-    found = map_batches(rows, batch, "f array<double>").toArrow().column("f").combine_chunks()
-    return np.asarray(found.values).reshape(-1, N_FEATURES)
+    keyed = rows.select(F.xxhash64(F.lit(3), "doc_id").alias("first"), F.xxhash64("text").alias("second"), "text")
+    found = map_batches(keyed, batch, "first long, second long, f array<float>").orderBy("first", "second").limit(most).toArrow().column("f").combine_chunks()
+    return np.asarray(found.values).astype(np.float64).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> PuModel | None:
     """Fit on rows whose crc32(id) mod 5 is not 0; None without a trusted positive there."""
-    fold = id_crc(F.col("doc_id")) % HELD_OUT_OF != 0
-    known = (
-        labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & fold)
-        .groupBy("doc_id").agg(F.min("label").alias("label"))
+    fold = F.col("doc_id").isNotNull() & (id_crc(F.col("doc_id")) % HELD_OUT_OF != 0)
+    rows = id_text(docs, id_col, text_col).where(fold)
+    good = (
+        labels.select(named(id_col).cast("long").alias("doc_id"), (named(label_col).cast("int") == 1).alias("good"))
+        .where(fold & F.col("good").isNotNull()).groupBy("doc_id").agg(F.every("good").alias("good")).where("good").select("doc_id")
+    )
+    pick = lambda ids, salt, most: ids.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(most).distinct()
+    # at most POSITIVES and UNLABELLED ids to join, and as many rows to collect
+    p, u = (
+        _sample(rows.join(F.broadcast(pick(ids, salt, most)), "doc_id"), most)
+        for ids, salt, most in ((good, 1, POSITIVES), (rows.select("doc_id"), 2, UNLABELLED))
     )
-    rows = id_text(docs, id_col, text_col)
-    tally = known.agg(F.count("*"), F.sum("label")).first()
-    if not tally[0] or not tally[1]:
-        return None
-    prior = min(max(tally[1] / tally[0], 0.01), 0.99)
-    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull() & fold)
-    pick = lambda df, salt, most: df.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").select("doc_id").limit(most)
-    chosen = [pick(known.where("label = 1"), 1, POSITIVES), pick(ids, 2, UNLABELLED)]
-    # at most POSITIVES and UNLABELLED ids
-    p, u = (_features_of(rows.join(F.broadcast(c.distinct()), "doc_id").select("text")) for c in chosen)
-    return fit_pu(p, u, prior) if len(p) and len(u) else None
+    return fit_pu(p, u, estimate_prior(p, u)) if len(p) and len(u) else None
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row; see ``train`` for what is learnt from.
 
     Scores read the text only. A null text counts as empty and gets a score; a null id counts as held out;
-    labels that are null, or 0 in one of several rows of an id, are not positive. Without any positive
-    every score is 0.5. Repeated rows score alike; empty tables give empty results.
+    labels that are null, or other than 1 in one of several rows of an id, are not positive. Without any positive
+    every score is 0.5. Repeated rows score alike; texts of any length count whole; empty tables give empty results.
+    Other columns, whatever their names, are not read.
     """
     model = train(docs, labels, id_col, text_col, label_col)
 
@@ -144,7 +208,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without rows that score under the threshold; all columns are kept and nothing is shuffled."""
+    """``docs`` without rows that score under the threshold; all columns are kept and nothing is shuffled.
+
+    Null texts are scored as empty ones; of repeated rows all stay or all go; without any positive label every row stays.
+    """
     prepare(docs.sparkSession)
     model = train(docs, labels, id_col, text_col)
     if model is None:

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from parley.llm.quality import features, fit_pu, keep_good, score_quality
+from parley.llm.quality import LEXICAL, estimate_prior, features, fit_pu, keep_good, lexical, score_quality
 
 from .conftest import sentence
 
@@ -55,3 +55,34 @@ def test_risk_stays_unbiased():
     good, bad = rng.normal(1.5, 1, (400, 3)), rng.normal(-1.5, 1, (200, 3))
     model = fit_pu(good[:200], np.vstack([good[200:], bad]), 0.5)
     assert model.score(good).mean() > 0.85 and model.score(bad).mean() < 0.15
+
+
+def test_prior_needs_no_negatives():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.85):
+        n = int(4000 * share)
+        unlabelled = np.vstack([rng.normal(1.5, 1, (n, 3)), rng.normal(-1.5, 1, (4000 - n, 3))])
+        assert abs(estimate_prior(rng.normal(1.5, 1, (2000, 3)), rng.permutation(unlabelled)) - share) < 0.06
+
+
+def test_only_good_labels_are_read(spark):
+    """Rows labelled bad are unlabelled to the model: leaving their labels out changes nothing."""
+    rows = corpus(300)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    every = [(k, q, 0) for k, _, q in rows]
+    a, b = (score_quality(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).orderBy("doc_id").collect() for x in (every, [r for r in every if r[1]]))
+    assert [r.score for r in a] == [r.score for r in b]
+
+
+def test_rows_that_share_an_id(spark):
+    rows = corpus(200)
+    docs = spark.createDataFrame([(k % 50, t, "x") for k, t, _ in rows] * 3, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    got = score_quality(docs, labels).collect()
+    assert len(got) == 600 and all(0 <= r.score <= 1 for r in got)
+    assert keep_good(docs, labels).columns == docs.columns
+
+
+def test_lexical_features_see_words_and_their_order():
+    assert (lexical("one two three") != lexical("three two one")).any() and (lexical("one two")[:LEXICAL] == lexical("two one")[:LEXICAL]).all()
+    assert (lexical("A b") == lexical("a\tB")).all() and lexical("").sum() == 0
