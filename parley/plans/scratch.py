@@ -20,12 +20,17 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a temporary folder if driver and executors are one process, as in tests.
+
+    Elsewhere every executor would write to a disk of its own, so that the setting is required.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the whole cluster shares (master {master})")
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="parley-")
     return _OWN[app]
