@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 
@@ -110,7 +109,3 @@ def ranking(chrf_: Column, rouge: Column, length_ratio: Column, copied: Column)
     """One number for a reply; higher is better."""
     penalty = F.abs(F.log(F.greatest(F.lit(0.05), F.least(F.lit(20.0), length_ratio))))
     return chrf_ + ROUGE_WEIGHT * rouge - LENGTH_WEIGHT * penalty - copied.cast("double")
-
-
-def ranking_value(c: float, r: float, ratio: float, copied: bool) -> float:
-    return c + ROUGE_WEIGHT * r - LENGTH_WEIGHT * abs(math.log(max(0.05, min(20.0, ratio)))) - copied

@@ -45,7 +45,7 @@ def split_chrono(examples: DataFrame, session: list[str], sec: str = "sec", trai
     Fewer than ten sessions still get one each for valid and test where there are three.
     """
     units = examples.groupBy(*session).agg(F.min(sec).alias("at"))
-    ranked = _ranked(units, ["at", *session])
+    ranked = ranked_rows(units, ["at", *session])
     n = F.col("units")
     a = F.when(n >= 10, F.bround(n * train)).when(n >= 3, n - 2).otherwise(F.greatest(n - 1, F.lit(1)))
     b = F.when(n >= 10, F.bround(n * (train + valid))).when(n >= 3, n - 1).otherwise(n)
@@ -53,7 +53,7 @@ def split_chrono(examples: DataFrame, session: list[str], sec: str = "sec", trai
     return examples.join(ranked.select(*session, split.alias("split")), session)
 
 
-def _ranked(units: DataFrame, order: list[str]) -> DataFrame:
+def ranked_rows(units: DataFrame, order: list[str]) -> DataFrame:
     """rank from 1 in a global order, and units, their number; sorted in slices, so no task sees them all."""
     at = order[0]
     sliced = units.withColumn("_slice", F.floor(F.col(at) / F.lit(7 * 86400)))
@@ -113,8 +113,10 @@ def cap_low_signal_share(examples: DataFrame, share: float, reply: str = "reply"
     room = rich.count()
     allowed = int(share * room / (1 - share)) if share < 1 else None
     low = rows.where("_low")
-    kept = low if allowed is None else low.orderBy(F.desc(order[0]), F.desc(order[1])).limit(allowed)
-    return rich.unionByName(kept).drop("_low")
+    if allowed is None:
+        return rows.drop("_low")
+    newest = ranked_rows(low.withColumns({"_at": -F.col(order[0]), "_tie": -F.col(order[1])}), ["_at", "_tie"])
+    return rich.unionByName(newest.where(F.col("rank") <= allowed).select(*rich.columns)).drop("_low")
 
 
 def recency_weight(age_days: Column, half_life: float = HALF_LIFE_DAYS) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,22 +28,44 @@ def _spans(tokens: Column, low: int, high: int) -> Column:
     return F.concat(*(of_length(k) for k in range(low, high + 1)))
 
 
+#: Hashes of frequent phrases up to this many are broadcast (16 bytes each); beyond, the join shuffles.
+BROADCAST_HASHES = 1_000_000
+
+
 def phrase_counts(messages: DataFrame, text: str = "body", low: int = 2, high: int = MAX_N, min_count: int = 1) -> DataFrame:
-    """(phrase, n): n-grams that neither start nor end with an edge word and have no one-letter word."""
+    """(phrase, n): n-grams that neither start nor end with an edge word and have no one-letter word.
+
+    With a ``min_count`` phrases are counted by a 64-bit hash first, and only those whose hash is frequent are spelled out and
+    counted as text, which makes the result exact.
+    """
     words = messages.select(voice_tokens(F.col(text)).alias("toks"))  # a column of its own: it is used many times
+    if min_count > 1:
+        words = save(words, "phrase-words")
     # a row for each word with those that follow it, then a row for each phrase that begins there
     shifted = [F.slice("toks", k, F.greatest(F.size("toks") - k + 1, F.lit(0))) for k in range(1, high + 1)]
-    rows = words.where(F.size("toks") > 0).select(F.inline(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted, 1)))))
+    rows = words.where(F.size("toks") >= low).select(F.inline(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted, 1)))))
     w = [F.col(c) for c in rows.columns]
-    inner = lambda c: F.length(c) >= 2
-    found = []
-    for k in range(low, high + 1):
-        fits = w[k - 1].isNotNull() & ~w[k - 1].isin(*PHRASE_EDGES)
-        for c in w[:k]:
-            fits = fits & inner(c)
-        found.append(F.when(fits, F.concat_ws(" ", *w[:k])))
-    kept = rows.where(~w[0].isin(*PHRASE_EDGES)).select(F.explode(F.array_compact(F.array(*found))).alias("phrase"))
-    counts = kept.groupBy("phrase").agg(F.count("*").alias("n"))
+    rows = rows.where(~w[0].isin(*PHRASE_EDGES) & (F.length(w[0]) >= 2))
+
+    def each(made: Callable[[int], Column]) -> Column:
+        found, inner = [], F.lit(True)
+        for k in range(2, high + 1):
+            inner = inner & w[k - 1].isNotNull() & (F.length(w[k - 1]) >= 2)
+            if k >= low:
+                found.append(F.when(inner & ~w[k - 1].isin(*PHRASE_EDGES), made(k)))
+        return F.array_compact(F.array(*found))
+
+    spelled = lambda k: F.concat_ws(" ", *w[:k])
+    if min_count <= 1:
+        return rows.select(F.explode(each(spelled)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    hashed = lambda k: F.xxhash64(*w[:k])
+    often = rows.select(F.explode(each(hashed)).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    often = save(often.select("h"), "phrase-hashes")
+    if often.count() <= BROADCAST_HASHES:
+        often = F.broadcast(often)
+    of_length = rows.select(*w, F.explode(each(lambda k: F.struct(hashed(k).alias("h"), F.lit(k).alias("k")))).alias("c")).select(*w, "c.h", "c.k")
+    phrase = F.concat_ws(" ", F.slice(F.array(*w), F.lit(1), F.col("k")))
+    counts = of_length.join(often, "h", "left_semi").select(phrase.alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= min_count)
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import scores as S
 from parley.functions import text as T
 from parley.operators import phrases
+from parley.operators.curation import ranked_rows
 
 BOOTSTRAP, MIN_DELTA, MIN_P = 1000, 0.02, 0.95
+#: Cumulative Poisson(1) probabilities of 0 to 9: a draw in [0, 1) counts as many times as it reaches.
+_POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10))
 
 
 def scored(rows: DataFrame, pred: str = "pred", gold: str = "gold", prompt: str = "prompt") -> DataFrame:
@@ -33,10 +38,9 @@ def text_stats(c: Column) -> dict[str, Column]:
     }
 
 
-def upper_median(c: Column | str) -> Column:
-    """The element at n // 2 of the sorted values."""
-    xs = F.sort_array(F.collect_list(c))
-    return F.try_element_at(xs, (F.floor(F.size(xs) / 2) + 1).cast("int"))
+def upper_median(value: str) -> Column:
+    """The element at n // 2 of the sorted values of an SQL expression: from above, the first that half of them reach."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def style_features(rows: DataFrame, text: str) -> DataFrame:
@@ -46,11 +50,11 @@ def style_features(rows: DataFrame, text: str) -> DataFrame:
     count = lambda p: F.sum(F.length(F.regexp_replace(t, p, "")))
     share = lambda c: F.avg(c.cast("double"))
     return rows.agg(
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY char_length({text}))").cast("int").alias("lower_median_chars"), upper_median(F.char_length(t)).alias("median_chars"),
+        upper_median(f"char_length(`{text}`)").cast("int").alias("median_chars"),
         F.avg(F.size(T.split_bubbles(t))).alias("bubbles"), F.coalesce(count(r"[^\p{Ll}]") / F.nullif(count(r"[^\p{L}]"), F.lit(0)), F.lit(0.0)).alias("lower_frac"),
         share(t.rlike(r"^\p{Lu}")).alias("caps_start"), share(t.rlike(r"[.!?]$")).alias("ends_punct"), F.avg(T.emoji_runs(t)).alias("emoji_per_reply"),
         share(F.char_length(t) <= 12).alias("short_frac"), share(F.col("_spam")).alias("degenerate"),
-    ).drop("lower_median_chars")
+    )
 
 
 def initiative(rows: DataFrame, text: str, incoming: str) -> DataFrame:
@@ -117,8 +121,7 @@ def bootstrap(rows: DataFrame, value: str, key: str, rounds: int = BOOTSTRAP, se
     """
     draws = rows.select(F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), F.col(key).alias("k"))
     u = F.pmod(F.xxhash64(F.lit(seed), "round", "k"), F.lit(1_000_003)) / 1_000_003
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    times = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
+    times = sum(((u >= c).cast("int") for c in _POISSON), F.lit(0))
     means = draws.withColumn("t", times).groupBy("round").agg((F.sum(F.col("v") * F.col("t")) / F.nullif(F.sum("t"), F.lit(0))).alias("m"))
     limits = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return rows.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(limits))
@@ -129,7 +132,7 @@ def paired_win_rate(rows: DataFrame, a: str, b: str, key: str, rounds: int = BOO
     diff = rows.withColumn("_d", F.col(a) - F.col(b))
     draws = diff.select("_d", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), F.col(key).alias("k"))
     u = F.pmod(F.xxhash64(F.lit(seed), "round", "k"), F.lit(1_000_003)) / 1_000_003
-    times = sum(((u >= c).cast("int") for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)), F.lit(0))
+    times = sum(((u >= c).cast("int") for c in _POISSON), F.lit(0))
     sums = draws.withColumn("t", times).groupBy("round").agg(F.sum(F.col("_d") * F.col("t")).alias("s"))
     return sums.agg(F.avg(F.when(F.col("s") > 0, 1.0).when(F.col("s") == 0, 0.5).otherwise(0.0)).alias("p"))
 
@@ -142,9 +145,8 @@ def pick_checkpoint(rows: DataFrame, incumbent: str) -> DataFrame:
 
 
 def probes(rows: DataFrame, gold: str = "gold", key: str = "id") -> DataFrame:
-    """(id, kind, text): each context with its gold reply, another context's, spam and a constant; the swap is half the rows away."""
-    w = Window.orderBy(key)  # a small evaluation set
-    ranked = rows.withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    """(id, kind, text): each context with its gold reply, another context's, spam and a constant; the swap is half the rows away in order of the key (a number)."""
+    ranked = ranked_rows(rows, [key]).withColumns({"_k": F.col("rank") - 1, "_n": F.col("units")})
     ranked = ranked.withColumn("_to", F.pmod(F.col("_k") + F.floor(F.col("_n") / 2), F.col("_n")))
     other = ranked.select(F.col("_k").alias("_to"), F.col(gold).alias("swapped"))
     out = ranked.join(other, "_to").withColumns({"spam": F.repeat(F.concat(F.col(gold), F.lit(" ")), F.lit(8)), "generic": F.lit("ok")})
@@ -155,3 +157,40 @@ def promote(runs: DataFrame) -> DataFrame:
     """(setting, step, distance): among settings tried at two steps or more (else all), the one that reaches the least distance, at its best step."""
     steps = runs.groupBy("setting").agg(F.countDistinct("step").alias("steps"), F.min_by(F.struct("step", "distance"), F.struct("distance", "step")).alias("b"))
     return steps.orderBy((F.col("steps") < 2).cast("int"), "b.distance", "setting").limit(1).select("setting", "b.step", "b.distance")
+
+
+def bench_rates(rows: DataFrame, text: str = "pred", ratio: str = "len_ratio") -> DataFrame:
+    """One row: shares of replies with a placeholder, without text, too short and too long, the upper median of length ratios, and variety."""
+    share = lambda c: F.avg(c.cast("double"))
+    t = T.text_or_empty(F.col(text))
+    rates = rows.agg(
+        share(F.contains(t, F.lit("[")) & F.contains(t, F.lit("]"))).alias("placeholder_rate"), share(t == "").alias("blank_rate"),
+        upper_median(f"`{ratio}`").alias("len_ratio_median"), share(F.col(ratio) < 0.5).alias("too_short_rate"), share(F.col(ratio) > 2.0).alias("too_long_rate"),
+        (F.countDistinct(text) / F.count("*")).alias("unique_share"),
+    )
+    return rates.crossJoin(F.broadcast(modal_share(rows, text).select(F.col("share").alias("top1_share")))).crossJoin(F.broadcast(distinct_ngrams(rows, text).withColumnRenamed("distinct", "distinct_2")))
+
+
+def relevance(rows: DataFrame, text: str = "pred", incoming: str = "prompt", key: str = "id") -> DataFrame:
+    """One row: by how much replies resemble their own incoming message more than the next row's; the last row's next is the first."""
+    ranked = ranked_rows(rows, [key])
+    after = ranked.select((F.pmod(F.col("rank") - 2, F.col("units")) + 1).alias("rank"), F.col(incoming).alias("_next"))
+    both = ranked.join(after, "rank")
+    return both.agg((F.avg(S.chrf(text, incoming)) - F.avg(S.chrf(text, "_next"))).alias("relevance"))
+
+
+def metric_accuracy(scored_probes: DataFrame, metric: str, key: str = "id", higher: bool = True) -> DataFrame:
+    """(kind, wins, mean): how often the true reply beats each kind of bad one by a metric, and the mean of these shares."""
+    good = scored_probes.where("kind = 'gold'").select(key, F.col(metric).alias("_gold"))
+    bad = scored_probes.where("kind <> 'gold'").join(good, key).where(F.col(metric).isNotNull() & F.col("_gold").isNotNull())
+    beats = F.col("_gold") > F.col(metric) if higher else F.col("_gold") < F.col(metric)
+    wins = bad.groupBy("kind").agg(F.avg(beats.cast("double")).alias("wins"))
+    return wins.crossJoin(F.broadcast(wins.agg(F.avg("wins").alias("mean"))))
+
+
+def comparable_runs(log: DataFrame, runs: DataFrame, data_hash: str, split: str = "valid") -> DataFrame:
+    """(adapter, setting, step, distance): scores on one dataset, by decoding setting; a score without a step is of the run's last (``runs``: adapter, iters)."""
+    rows = log.where((F.col("data_hash") == data_hash) & (F.col("split") == split)).join(runs.select("adapter", "iters"), "adapter", "left")
+    rows = rows.withColumn("step", F.coalesce(F.nullif("step", F.lit(0)), "iters")).where(F.col("step") > 0)
+    setting = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("temp", "repetition_penalty", "retrieve_k")))
+    return rows.withColumn("setting", setting).groupBy("adapter", "setting", "step").agg(F.max_by("distance", "ts").alias("distance"))

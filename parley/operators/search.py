@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions.stem import stem
 from parley.functions.text import escape_html
 from parley.plans.scratch import arrow_batches, save
+from parley.sources.catalog import unavailable_reason
 
 K1, B, LIMIT = 1.2, 0.75, 300
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -53,28 +53,54 @@ class Index:
         return n or 0, avg or 1.0
 
 
-def tokens(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",)) -> DataFrame:
-    """(doc_id, pos, raw): words in order; columns are far apart, so that no phrase reaches across."""
+def token_lists(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",)) -> DataFrame:
+    """(doc_id, words array<struct<pos, raw>>): words in order; columns are far apart, so that no phrase reaches across."""
 
     def numbered(k: int, column: str) -> Column:
         words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(_TOKEN), F.lit(0))
         return F.transform(words, lambda w, i: F.struct((i + k * 100_000_000).alias("pos"), w.alias("raw")))
 
     parts = [numbered(k, c) for k, c in enumerate(columns)]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.inline(F.concat(*parts)))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.concat(*parts).alias("words"))
+
+
+def tokens(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",)) -> DataFrame:
+    """(doc_id, pos, raw): a row for each word."""
+    return token_lists(docs, doc_id, columns).select("doc_id", F.inline("words"))
+
 
+def build_index(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",), stemming: bool = True, root: str | None = None) -> Index:
+    """Write the postings, in order of term so that a lookup reads few row groups, and the lengths; under ``root`` if it is given.
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",), stemming: bool = True) -> Index:
-    """Write the postings and lengths, which every query reads; stemming and folding run on distinct words only."""
-    words = tokens(docs, doc_id, columns)
+    Texts are cut into words once; stemming and folding run on distinct words only.
+    """
+    lists = save(token_lists(docs, doc_id, columns), "tokens")
+    words = lists.select("doc_id", F.inline("words"))
     if stemming:
         terms = words.select("raw").distinct().withColumn("term", _analysed("raw"))
         words = words.join(terms, "raw")
     else:
         words = words.withColumnRenamed("raw", "term")
     postings = words.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
-    lengths = docs.select(F.col(doc_id).alias("doc_id"), sum((F.size(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(_TOKEN), F.lit(0))) for c in columns), F.lit(0)).alias("dl"))
-    return Index(save(postings, "postings"), save(lengths, "lengths"), stemming)
+    ordered = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    lengths = lists.select("doc_id", F.size("words").alias("dl"))
+    if root is None:
+        return Index(save(ordered, "postings"), save(lengths, "lengths"), stemming)
+    ordered.write.mode("overwrite").parquet(f"{root}/postings")
+    lengths.write.mode("overwrite").parquet(f"{root}/lengths")
+    return _read_index(docs.sparkSession, root, stemming)
+
+
+def _read_index(spark: SparkSession, root: str, stemming: bool) -> Index:
+    return Index(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/lengths"), stemming)
+
+
+def stored_index(docs: DataFrame, root: str, version: str, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",), stemming: bool = True) -> Index:
+    """The index of one version of ``docs``: built under ``root`` the first time, then read by every query. Lengths are written last, so an index without them is built again."""
+    place = f"{root}/{version}-{'-'.join(columns)}-{'stems' if stemming else 'words'}"
+    if unavailable_reason(docs.sparkSession, f"{place}/lengths") is None:
+        return _read_index(docs.sparkSession, place, stemming)
+    return build_index(docs, doc_id, columns, stemming, place)
 
 
 @dataclass(frozen=True)
@@ -141,9 +167,11 @@ def search(index: Index, text: str, limit: int = LIMIT, among: DataFrame | None
     if not parts:
         return index.lengths.where("1 = 0").select("doc_id", F.lit(0.0).alias("score")), False
     top = lambda every: _among(match(index, parts, every), among).orderBy(F.desc("score"), "doc_id").limit(limit + 1)
-    found = top(True)
-    if len(parts) > 1 and found.isEmpty():
-        relaxed = top(False)
+    if len(parts) == 1:
+        return top(True), False
+    found = save(top(True), "found")  # limit + 1 rows, looked at twice
+    if found.isEmpty():
+        relaxed = save(top(False), "found")
         return relaxed, not relaxed.isEmpty()
     return found, False
 
@@ -166,7 +194,3 @@ def snippet(text: Column, needles: list[str], width: int = 220, lead: int = 50,
         shown = F.regexp_replace(shown, "(?iu)(" + "|".join(escaped) + ")", "<mark>$1</mark>")
     more = lambda c: F.when(c, "…").otherwise("")
     return F.concat(more(start > 1), shown, more(start + width <= F.char_length(text)))
-
-
-def idf(n: int, df: int) -> float:
-    return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)

@@ -16,6 +16,7 @@ KINDS = [
     (2003, "😂", "Laughed at"),
     (2004, "‼️", "Emphasized"),
     (2005, "❓", "Questioned"),
+    (2007, "🏷️", "Reacted with a sticker to"),
 ]
 
 
@@ -32,6 +33,19 @@ def target_of(guid: Column) -> Column:
     return F.substring_index(guid, "/", -1)
 
 
+def target_after_first(guid: Column) -> Column:
+    """What follows the first slash, which is how counts over all tapbacks name a target; all of it without a slash."""
+    return F.regexp_replace(guid, "^[^/]*/", "")
+
+
+def verb(kind: Column, emoji: Column) -> Column:
+    """What a tapback does, in words."""
+    out = F.when((kind == CUSTOM) & emoji.isNotNull() & (emoji != ""), "Reacted")
+    for code, _, says in KINDS:
+        out = out.when(kind == code, F.lit(says))
+    return out.otherwise("Reacted")
+
+
 def shown(kind: Column, emoji: Column) -> Column:
     """The emoji of a tapback, removal codes included."""
     out = F.when((kind % 1000 == CUSTOM % 1000) & emoji.isNotNull() & (emoji != ""), emoji)
@@ -45,20 +59,30 @@ def labels(spark: SparkSession) -> DataFrame:
 
 
 def live_tapbacks(tapbacks: DataFrame, reactor: str = "reactor") -> DataFrame:
-    """(target, reactor, kind, ts, id): the last event of each (target, reactor), unless it takes the tapback away."""
-    last = F.max_by(F.struct("kind", "ts", "id"), F.struct("ts", "id"))
+    """(target, reactor, kind, emoji, ts, id): the last event of each (target, reactor), unless it takes the tapback away."""
+    emoji = F.col("emoji") if "emoji" in tapbacks.columns else F.lit(None).cast("string").alias("emoji")
+    last = F.max_by(F.struct("kind", emoji, "ts", "id"), F.struct("ts", "id"))
     rows = tapbacks.where(is_tapback(F.col("kind"))).groupBy(target_of(F.col("assoc_guid")).alias("target"), reactor).agg(last.alias("x"))
     return rows.select("target", reactor, "x.*").where(F.col("kind") < REMOVE_KIND)
 
 
 def tapback_chips(live: DataFrame, most: int = 3) -> DataFrame:
     """(target, emojis, n): the first different emojis on each message in order of time, and how many tapbacks it has."""
-    each = live.withColumn("sign", shown(F.col("kind"), F.lit(None).cast("string")))
+    each = live.withColumn("sign", shown(F.col("kind"), F.col("emoji")))
     first = each.groupBy("target", "sign").agg(F.min(F.struct("ts", "id")).alias("at"), F.count("*").alias("n"))
     got = first.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("at", "sign"))).alias("s"), F.sum("n").alias("n"))
     return got.select("target", F.slice(F.transform("s", lambda x: x["sign"]), 1, most).alias("emojis"), "n")
 
 
+def tapback_list(live: DataFrame, people: DataFrame | None = None, me: Column | None = None) -> DataFrame:
+    """(target, tapbacks array<struct<emoji, verb, who>>) in order of time. ``people`` has reactor and name; ``me`` tells which reactors are me."""
+    rows = live.join(people, "reactor", "left") if people is not None else live.withColumn("name", F.lit(None).cast("string"))
+    who = F.coalesce("name", F.col("reactor").cast("string"), F.lit("Unknown"))
+    who = who if me is None else F.when(me, "You").otherwise(who)
+    each = F.struct("ts", "id", F.struct(shown(F.col("kind"), F.col("emoji")).alias("emoji"), verb(F.col("kind"), F.col("emoji")).alias("verb"), who.alias("who")).alias("x"))
+    return rows.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(each)), lambda e: e["x"]).alias("tapbacks"))
+
+
 def reaction_stats(live: DataFrame, messages: DataFrame, person: str = "person", min_messages: int = MIN_MESSAGES, people: int = PEOPLE) -> DataFrame:
     """Per person of one-to-one threads: tapbacks got on my messages and given on theirs, and their rates.
 

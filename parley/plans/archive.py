@@ -199,7 +199,7 @@ def time_breaks(spark, sf):
 
 
 _LIVE = """CTE o AS (SELECT *, regexp_extract(assoc_guid, '[^/]*$') AS target, row_number() OVER (PARTITION BY regexp_extract(assoc_guid, '[^/]*$'), reactor ORDER BY ts DESC, id DESC) AS rn FROM fx_tap),
-    live AS (SELECT target, reactor, kind, ts, id FROM o WHERE rn = 1 AND kind < 3000)"""
+    live AS (SELECT target, reactor, kind, emoji, ts, id FROM o WHERE rn = 1 AND kind < 3000)"""
 
 
 @query(f"{_LIVE} SELECT * FROM live", "fx_tap")
@@ -231,13 +231,28 @@ def top_tapbacks(spark, sf):
     return tapbacks.top_tokens(_direct_reactions(spark, sf))
 
 
-@query(f"""{_LIVE}, e AS (SELECT target, CASE kind WHEN 2000 THEN '❤️' WHEN 2001 THEN '👍' WHEN 2002 THEN '👎' WHEN 2003 THEN '😂' WHEN 2004 THEN '‼️' WHEN 2005 THEN '❓' ELSE '👍' END AS sign, ts, id FROM live),
+@query(f"""{_LIVE}, e AS (SELECT target, CASE WHEN kind = 2006 THEN emoji ELSE CASE kind WHEN 2000 THEN '❤️' WHEN 2001 THEN '👍' WHEN 2002 THEN '👎' WHEN 2003 THEN '😂' WHEN 2004 THEN '‼️' WHEN 2005 THEN '❓' ELSE '👍' END END AS sign, ts, id FROM live),
     f AS (SELECT target, sign, min(ROW(ts, id)) AS att, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY att) AS rn, sum(n) OVER (PARTITION BY target) AS total FROM f)
     SELECT target, string_agg(sign, '' ORDER BY rn) FILTER (rn <= 3) AS emojis, max(total)::BIGINT AS n FROM r GROUP BY target""", "fx_tap")
 def tapback_chips(spark, sf):
     return tapbacks.tapback_chips(tapbacks.live_tapbacks(c.event_tapbacks(spark, sf))).withColumn("emojis", F.array_join("emojis", ""))
 
 
+@query(f"""{_LIVE}, w AS (SELECT target, ts, id, CASE WHEN kind = 2006 THEN emoji ELSE ['❤️', '👍', '👎', '😂', '‼️', '❓'][kind - 1999] END || CASE WHEN kind = 2006 THEN 'Reacted' ELSE ['Loved', 'Liked', 'Disliked', 'Laughed at', 'Emphasized', 'Questioned'][kind - 1999] END
+    || CASE WHEN reactor % 2 = 0 THEN 'You' ELSE coalesce(s_name, CAST(reactor AS VARCHAR)) END AS x FROM live LEFT JOIN supplier ON s_suppkey = reactor) SELECT target, string_agg(x, '|' ORDER BY ts, id) AS tapbacks FROM w GROUP BY target""", "fx_tap")
+def tapback_list(spark, sf):
+    people = c.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("reactor"), F.col("s_name").alias("name"))
+    found = tapbacks.tapback_list(tapbacks.live_tapbacks(c.event_tapbacks(spark, sf)), people, F.col("reactor") % 2 == 0)
+    return found.select("target", F.array_join(F.transform("tapbacks", lambda x: F.concat(x["emoji"], x["verb"], x["who"])), "|").alias("tapbacks"))
+
+
+@query("SELECT id, CASE WHEN instr(g, '/') > 0 THEN substr(g, instr(g, '/') + 1) ELSE g END AS target FROM (SELECT id, CASE WHEN id % 3 = 0 THEN replace(assoc_guid, '/', '') ELSE assoc_guid || '/x' END AS g FROM fx_tap)", "fx_tap")
+def tapback_targets(spark, sf):
+    t = c.event_tapbacks(spark, sf)
+    guid = F.when(F.col("id") % 3 == 0, F.replace("assoc_guid", F.lit("/"), F.lit(""))).otherwise(F.concat("assoc_guid", F.lit("/x")))
+    return t.select("id", tapbacks.target_after_first(guid).alias("target"))
+
+
 @query("SELECT chat_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM fx_msg_ev GROUP BY chat_id", "fx_msg_ev")
 def thread_list(spark, sf):
     return threads.thread_list(c.event_messages(spark, sf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import scores as S
+from parley.functions import text as T
 from parley.operators import curation, retrieval, scoring, turns
 from parley.plans.register import Registry
 from parley.plans.scratch import save
@@ -14,6 +15,10 @@ registered = Registry()
 query = registered.query
 QUERIES, ORACLE = registered.queries, registered.oracle
 
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
 _TURNS = """CTE b AS (SELECT * FROM fx_turn WHERE trim(text) <> ''), f AS (SELECT *, CASE WHEN lag(role) OVER w = role AND sec - lag(sec) OVER w <= 1800 THEN 0 ELSE 1 END AS fresh FROM b WINDOW w AS (PARTITION BY chat_id ORDER BY msg_no)),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY chat_id ORDER BY msg_no)::BIGINT AS turn_no FROM f),
     t AS (SELECT chat_id, turn_no, min(role) AS role, string_agg(text, '※' ORDER BY msg_no) AS content, arg_max(sec, msg_no) AS sec, max(msg_no) AS msg_no FROM n GROUP BY chat_id, turn_no),
@@ -94,7 +99,12 @@ def low_signal_share(spark, sf):
     return curation.low_signal_share(c.conversation_turns(spark, sf), "text")
 
 
-@query()
+_LOW = rf"""trim(text) = '' OR lower(trim(text)) IN ({_quoted(a for a in T.ACKS if a.isascii())}) OR trim(regexp_replace(lower(trim(text)), '[^\w\s]+', '', 'g')) IN ({_quoted(a for a in T.ACKS if a.isascii())})
+    OR (len(regexp_split_to_array(trim(text), '\s+')) <= 2 AND length(trim(text)) <= 12)"""
+
+
+@query(f"""CTE l AS (SELECT *, {_LOW} AS low FROM fx_turn), r AS (SELECT count(*) FILTER (NOT low) AS room FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY low ORDER BY sec DESC, msg_no DESC) AS rn FROM l)
+    SELECT chat_id, msg_no FROM k, r WHERE NOT low OR rn <= floor(0.2::DOUBLE * room / (1 - 0.2::DOUBLE))""", "fx_turn")
 def low_signal_capped(spark, sf):
     t = c.conversation_turns(spark, sf).withColumn("reply", F.col("text"))
     return curation.cap_low_signal_share(t, 0.2).select("chat_id", "msg_no")
@@ -124,12 +134,6 @@ def first_chat(spark, sf):
     return curation.first_chat(m, rank).select("msg_id", "chat_id")
 
 
-@query("""SELECT count(*) FILTER (is_from_me = 1) AS sent, count(*) FILTER (is_from_me = 0) AS received, count(*) FILTER (is_from_me = 1) AS sent_text, 0::BIGINT AS attachment_only, min(ts) AS first_ts, max(ts) AS last_ts FROM fx_msg_ev""", "fx_msg_ev")
-def dataset_profile(spark, sf):
-    m = c.event_messages(spark, sf).withColumns({"text": F.col("id").cast("string"), "has_attachment": F.lit(0)})
-    return curation.profile(m)
-
-
 def _pairs(spark, sf):
     ex = _examples(spark, sf)
     return ex.select((F.col("chat_id") * 1000 + F.col("turn_no")).alias("id"), "query", "reply", F.lit("").alias("peer"), "sec")
@@ -160,7 +164,10 @@ def _predictions(spark, sf):
     )
 
 
-@query()
+@query(f"""{_TURNS}, p AS (SELECT chat_id * 1000 + turn_no AS id, lower(pc) AS pred, lower(content) AS gold FROM x), r AS (SELECT unnest(range(1, 7)) AS n),
+    u AS (SELECT id, n, 0 AS side, unnest(list_transform(range(1, greatest(1, length(pred) - n + 1) + 1), lambda i: substr(pred, i, n))) AS g FROM p, r UNION ALL SELECT id, n, 1, unnest(list_transform(range(1, greatest(1, length(gold) - n + 1) + 1), lambda i: substr(gold, i, n))) FROM p, r),
+    k AS (SELECT id, n, g, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM u GROUP BY ALL), sc AS (SELECT id, n, sum(least(a, b)) / sum(a)::DOUBLE AS p, sum(least(a, b)) / sum(b)::DOUBLE AS r FROM k GROUP BY ALL),
+    sf AS (SELECT id, sum(p) / 6 AS p, sum(r) / 6 AS r FROM sc GROUP BY id) SELECT id, CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS chrf FROM sf""", "fx_turn")
 def chrf(spark, sf):
     return _predictions(spark, sf).select("id", S.chrf("pred", "gold").alias("chrf"))
 
@@ -204,10 +211,12 @@ def degenerate(spark, sf):
     return t.select("chat_id", "msg_no", S.degenerate("text").alias("spam"), S.trimmed(F.repeat("text", F.lit(4))).alias("trimmed"))
 
 
-@query(f"""{_TURNS}, y AS (SELECT least(turn_no, 5) AS turn, (chat_id % 3)::INT AS depth, length(content) AS v FROM x)
+@query(f"""{_TURNS}, j AS (SELECT x.chat_id, x.turn_no AS t, s.turn_no, s.role FROM x JOIN s ON s.chat_id = x.chat_id AND s.session_no = x.session_no AND s.turn_no BETWEEN x.turn_no - 9 AND x.turn_no - 1),
+    u AS (SELECT *, min(CASE WHEN role = 'user' THEN turn_no END) OVER (PARTITION BY chat_id, t) AS lead FROM j), d AS (SELECT *, lag(role) OVER (PARTITION BY chat_id, t ORDER BY turn_no) AS before FROM u WHERE turn_no >= lead),
+    e AS (SELECT chat_id, t, (1 + count(*) FILTER (before IS NULL OR before <> role))::INT AS depth FROM d GROUP BY ALL), y AS (SELECT least(turn_no, 5) AS turn, depth, length(content) AS v FROM x JOIN e ON e.chat_id = x.chat_id AND e.t = x.turn_no)
     SELECT coalesce(turn, -1) AS turn, coalesce(depth, -1) AS depth, count(*) AS n, avg(v) AS mean FROM y GROUP BY GROUPING SETS ((turn), (depth), ())""", "fx_turn")
 def summarize_by_turn_depth(spark, sf):
-    rows = _predictions(spark, sf).withColumns({"depth": F.floor(F.col("id") / 1000).cast("int") % 3, "v": F.char_length("gold")})
+    rows = _predictions(spark, sf).withColumn("v", F.char_length("gold"))
     return scoring.by_turn_and_depth(rows, "v").withColumns({k: F.coalesce(k, F.lit(-1)) for k in ("turn", "depth")})
 
 
@@ -216,9 +225,9 @@ def by_recipient(spark, sf):
     return scoring.by_recipient(_predictions(spark, sf).withColumn("score", F.char_length("gold")))
 
 
-@query("CTE g AS (SELECT left(text, 2) AS t, count(*) AS n FROM fx_turn GROUP BY 1) SELECT arg_min(t, ROW(-n, t)) AS text, max(n) / sum(n)::DOUBLE AS share FROM g", "fx_turn")
+@query("CTE g AS (SELECT text AS t, count(*) AS n FROM fx_turn GROUP BY 1) SELECT arg_min(t, ROW(-n, t)) AS text, max(n) / sum(n)::DOUBLE AS share FROM g", "fx_turn")
 def modal_share(spark, sf):
-    return scoring.modal_share(c.conversation_turns(spark, sf).withColumn("pred", F.left("text", F.lit(2))))
+    return scoring.modal_share(c.conversation_turns(spark, sf).withColumn("pred", F.col("text")))
 
 
 @query(r"""CTE w AS (SELECT chat_id, msg_no, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM fx_turn), t AS (SELECT chat_id, msg_no, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM w),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import archive, datasets, operations, texts
+from parley.plans import archive, datasets, operations, texts, training
 
-MODULES = (archive, texts, datasets, operations)
+MODULES = (archive, texts, datasets, operations, training)
 
 
 def queries() -> dict:

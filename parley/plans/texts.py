@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as T
 from parley.operators import phrases, search
 from parley.plans.register import Registry
+from parley.plans.scratch import shared_dir
 from parley.sources import catalog as c
 
 registered = Registry()
@@ -74,8 +75,14 @@ def _score(hits: str, every: bool, parts: int, limit: int) -> str:
     SELECT doc_id, score FROM s WHERE k >= {parts if every else 1} ORDER BY score DESC, doc_id LIMIT {limit}"""
 
 
+def _index(spark, sf, columns, stemming):
+    """One index for each version of the documents, which all searches share."""
+    version = c.version(c.table(spark, sf, "documents"))
+    return search.stored_index(c.document_messages(spark, sf), f"{shared_dir(spark)}/parley/index", version, columns=columns, stemming=stemming)
+
+
 def _plain(spark, sf):
-    return search.build_index(c.document_messages(spark, sf), stemming=False)
+    return _index(spark, sf, ("body",), False)
 
 
 _WORDS = "h AS (SELECT 0 AS part, doc_id, count(*) AS tf FROM tk WHERE term LIKE 'inonth%' GROUP BY doc_id UNION ALL SELECT 1, doc_id, count(*) FROM tk WHERE term LIKE 'with%' GROUP BY doc_id)"
@@ -115,7 +122,7 @@ def bm25_topk(spark, sf):
 
 @query()
 def search_stemmed(spark, sf):
-    return search.search(search.build_index(c.document_messages(spark, sf), columns=("body", "sender")), "ratings éch")[0]
+    return search.search(_index(spark, sf, ("body", "sender"), True), "ratings éch")[0]
 
 
 @query("""CTE f AS (SELECT doc_id, body, instr(lower(body), 'with') AS place FROM fx_doc WHERE contains(lower(body), 'with')), s AS (SELECT doc_id, body, greatest(place - 50, 1) AS st FROM f)

@@ -36,6 +36,13 @@ def snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def version(df: DataFrame) -> str:
+    """A name for the files that ``df`` reads: it changes with their names, sizes and times of change. No data is read."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, total = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", F.unix_micros("file_modification_time")).cast("decimal(38,0)"))).first()
+    return f"{n}-{abs(int(total or 0)):x}"
+
+
 def optional(df: DataFrame, name: str, kind: str, default: object) -> DataFrame:
     """Add a column that older stores lack; fill its nulls otherwise."""
     value = F.coalesce(F.col(name), F.lit(default).cast(kind)) if name in df.columns else F.lit(default).cast(kind)
@@ -54,13 +61,14 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_tapbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ts, reactor, kind, assoc_guid: one in four takes a tapback away again."""
+    """id, ts, reactor, kind, emoji, assoc_guid: one in four takes a tapback away again; some show an emoji of their own."""
     i = F.col("event_id")
     return (
         table(spark, sf_dir, "events").where("event_type = 'error'")
         .select(
             i.alias("id"), "ts", F.col("user_id").alias("reactor"),
-            F.when(i % 4 == 0, 3000 + i % 6).otherwise(2000 + i % 6).alias("kind"),
+            F.when(i % 4 == 0, 3000 + i % 7).otherwise(2000 + i % 7).alias("kind"),
+            F.when(i % 7 == 6, F.when(i % 2 == 0, "🎉").otherwise("🙏")).alias("emoji"),
             F.concat(F.lit("p:"), (i % 3).cast("string"), F.lit("/g"), (i - i % 500).cast("string")).alias("assoc_guid"),
         )
     )
@@ -110,6 +118,27 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def archive_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ts, chat_id, handle, is_from_me, text, kind, is_unsent, has_attachment: conversations as an archive keeps them.
+
+    Some messages are unsent, artifacts, tapbacks or attachments without text, and each twentieth is in two chats.
+    """
+    t = conversation_turns(spark, sf_dir)
+    i, n = F.col("chat_id") * 1000 + F.col("msg_no"), F.col("chat_id") * 7 + F.col("msg_no")
+    text = F.when(n % 41 == 3, None).when(n % 53 == 5, "Loved “that”").otherwise(F.col("text"))
+    rows = t.select(
+        i.alias("id"), F.timestamp_seconds("sec").alias("ts"), "chat_id", (F.col("chat_id") % 50).alias("handle"), (F.col("role") == "assistant").cast("int").alias("is_from_me"),
+        text.alias("text"), F.when(n % 61 == 7, 2001).alias("kind"), (n % 67 == 9).cast("int").alias("is_unsent"), (n % 2 == 1).cast("int").alias("has_attachment"),
+    )
+    return rows.unionByName(rows.where("id % 20 = 0").withColumn("chat_id", F.col("chat_id") + 1))
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chat_id, handle: one other person, but two in each seventh chat."""
+    chats = conversation_turns(spark, sf_dir).select("chat_id").distinct()
+    return chats.select("chat_id", F.explode(F.when(F.col("chat_id") % 7 == 0, F.array(F.col("chat_id") % 50, F.lit(99).cast("long"))).otherwise(F.array(F.col("chat_id") % 50))).alias("handle"))
+
+
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, body, sender, chat."""
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.col("source").alias("sender"), F.col("lang").alias("chat"))
@@ -120,7 +149,8 @@ VIEWS = {
     "fx_msg_ev": """SELECT event_id AS id, ts, user_id AS handle, user_id AS chat_id,
         CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS is_from_me FROM events WHERE event_type <> 'error'""",
     "fx_tap": """SELECT event_id AS id, ts, user_id AS reactor,
-        CASE WHEN event_id % 4 = 0 THEN 3000 + event_id % 6 ELSE 2000 + event_id % 6 END AS kind,
+        CASE WHEN event_id % 4 = 0 THEN 3000 + event_id % 7 ELSE 2000 + event_id % 7 END AS kind,
+        CASE WHEN event_id % 7 = 6 THEN CASE WHEN event_id % 2 = 0 THEN '🎉' ELSE '🙏' END END AS emoji,
         concat('p:', CAST(event_id % 3 AS VARCHAR), '/g', CAST(event_id - event_id % 500 AS VARCHAR)) AS assoc_guid
         FROM events WHERE event_type = 'error'""",
     "fx_msg_ord": """SELECT o_orderkey AS id, o_orderdate AS ts, o_custkey AS handle, c_nationkey AS person,
@@ -136,6 +166,11 @@ VIEWS = {
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "fx_turn": """SELECT conv_id AS chat_id, turn AS msg_no, role, text,
         conv_id * 86400 + turn * 600 + CASE WHEN turn >= 4 THEN 46800 ELSE 0 END AS sec FROM conversations WHERE role <> 'system'""",
+    "fx_arc": """SELECT id, ts, unnest(CASE WHEN id % 20 = 0 THEN [chat_id, chat_id + 1] ELSE [chat_id] END) AS chat_id, handle, is_from_me, text, kind, is_unsent, has_attachment FROM (SELECT conv_id * 1000 + turn AS id,
+        make_timestamp((conv_id * 86400 + turn * 600 + CASE WHEN turn >= 4 THEN 46800 ELSE 0 END) * 1000000) AS ts, conv_id AS chat_id, conv_id % 50 AS handle, CAST(role = 'assistant' AS INT) AS is_from_me,
+        CASE WHEN (conv_id * 7 + turn) % 41 = 3 THEN NULL WHEN (conv_id * 7 + turn) % 53 = 5 THEN 'Loved “that”' ELSE text END AS text,
+        CASE WHEN (conv_id * 7 + turn) % 61 = 7 THEN 2001 END AS kind, CAST((conv_id * 7 + turn) % 67 = 9 AS INT) AS is_unsent, CAST((conv_id * 7 + turn) % 2 = 1 AS INT) AS has_attachment FROM conversations WHERE role <> 'system')""",
+    "fx_arc_member": "SELECT chat_id, unnest(CASE WHEN chat_id % 7 = 0 THEN [chat_id % 50, 99] ELSE [chat_id % 50] END) AS handle FROM (SELECT DISTINCT conv_id AS chat_id FROM conversations WHERE role <> 'system')",
     "fx_doc": "SELECT doc_id, text AS body, source AS sender, lang AS chat FROM documents",
 }
 
