@@ -138,23 +138,27 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7, steps: int = STEPS // 4) -> float:
     """The share of good texts among the unlabelled, from these two samples alone.
 
-    Half of each trains a classifier of positive against unlabelled. On the other half, above any cut of its
-    score, the share of the unlabelled is at least the prior times the share of positives; the cut with the least
-    upper confidence bound of their ratio gives the estimate.
+    Each half of both trains a classifier of positive against unlabelled, which scores the other half by the
+    share of positives below. Above any cut of that score, the share of the unlabelled is at least the prior times the share of
+    positives; the cut with the least upper confidence bound of their ratio gives the estimate.
     """
     if min(len(positive), len(unlabelled)) < 20:
         return 0.5
-    model, x = _new_model(positive[::2], unlabelled[::2], seed)
-    k, n = len(positive[::2]), len(unlabelled[::2])
-
-    def slope(z: np.ndarray) -> np.ndarray:
-        s = _logistic(z)
-        return np.concatenate([(s[:k] - 1) / k, s[k:] / n])
-
-    model.descend(x, slope, steps)
-    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
-    cuts = np.quantile(p, np.linspace(0.002, 0.9, 250))
-    above_p, above_u = (1 - np.searchsorted(v, cuts) / len(v) for v in (p, u))
+    p, u = np.empty(len(positive)), np.empty(len(unlabelled))
+    for half in (0, 1):
+        model, x = _new_model(positive[half::2], unlabelled[half::2], seed)
+        k, n = len(positive[half::2]), len(unlabelled[half::2])
+
+        def slope(z: np.ndarray, k: int = k, n: int = n) -> np.ndarray:
+            s = _logistic(z)
+            return np.concatenate([(s[:k] - 1) / k, s[k:] / n])
+
+        model.descend(x, slope, steps)
+        own = np.sort(model.score(positive[1 - half :: 2]))
+        for to, rows in ((p, positive), (u, unlabelled)):
+            to[1 - half :: 2] = np.searchsorted(own, model.score(rows[1 - half :: 2])) / len(own)
+    cuts = np.linspace(0.002, 0.9, 250)
+    above_p, above_u = (1 - np.searchsorted(np.sort(v), cuts) / len(v) for v in (p, u))
     slack = math.sqrt(math.log(40) / 2 / len(u)) + math.sqrt(math.log(40) / 2 / len(p))
     best = int(np.argmin((above_u + slack) / above_p))
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
@@ -185,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         _sample(rows.join(F.broadcast(pick(ids, salt, most)), "doc_id"), most)
         for ids, salt, most in ((good, 1, POSITIVES), (rows.select("doc_id"), 2, UNLABELLED))
     )
-    return fit_pu(p, u, estimate_prior(p, u)) if len(p) and len(u) else None
+    # hashed words let small samples be told apart by chance, so that the prior is estimated without them
+    return fit_pu(p, u, estimate_prior(p[:, :DENSE], u[:, :DENSE])) if len(p) and len(u) else None
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
