@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, decontamination, exact_dedup, lm, pii, quality, repeats, sharding, simhash, token_store
+from parley.llm import bpe, decontamination, exact_dedup, lm, pii, quality, repeats, sharding, simhash, token_store, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,12 +55,39 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_lm_score, op3_simhash, op4_repeats, op5_exact_dedup, op6_bpe, op7_sharding, op8_token_store, op9_quality, op10_decontamination)
-}
+    for f in (
+        op1_pii, op2_lm_score, op3_simhash, op4_repeats, op5_exact_dedup, op6_bpe, op7_sharding, op8_token_store, op9_quality, op10_decontamination,
+        op13_vector_codes,
+    )
+}
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Product codes by full scans: nearest is the least of 256 * squared distance + index."""
+    steps = ["""WITH k AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+        parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM k, range(4) t(p)),
+        b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 256)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x,
+            min(256 * (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT + e) AS best FROM parts JOIN b{r} USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT p, best % 256 AS e, i, floor(sum(x[i]) / count(*)) AS m FROM a{r}, generate_series(1, len(x)) g(i) GROUP BY p, best % 256, i),
+        b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM b{r} LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS m FROM s{r} GROUP BY p, e) USING (p, e))""")
+    return ",\n".join(steps) + f""",
+        f AS (SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(m::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS sha FROM (SELECT p, e, unnest(c) AS m, generate_subscripts(c, 1) AS i FROM b{rounds}))
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM f JOIN k USING (vec_id), h"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
