@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, decontamination, exact_dedup, lm, pii, quality, repeats, sharding, simhash, token_store, vector_codes
+from parley.llm import bpe, decontamination, exact_dedup, hard_negatives, jaccard_join, lm, pii, quality, repeats, sharding, simhash, token_store, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -63,15 +71,15 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pii, op2_lm_score, op3_simhash, op4_repeats, op5_exact_dedup, op6_bpe, op7_sharding, op8_token_store, op9_quality, op10_decontamination,
-        op13_vector_codes,
+        op11_jaccard_join, op12_hard_negatives, op13_vector_codes,
     )
 }
 
 def _codes_sql(rounds: int = 4) -> str:
     """Product codes by full scans: nearest is the least of 256 * squared distance + index."""
     steps = ["""WITH k AS MATERIALIZED (
-            SELECT vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
-            WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
         parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM k, range(4) t(p)),
         b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 256)"""]
     for r in range(rounds + 1):
@@ -87,6 +95,33 @@ def _codes_sql(rounds: int = 4) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        d AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+        k AS MATERIALIZED (SELECT min(doc_id) AS node, s, len(s) AS n FROM d WHERE len(s) > 0 GROUP BY s),
+        t AS MATERIALIZED (SELECT node, n, unnest(s) AS g FROM k),
+        e AS MATERIALIZED (
+            SELECT x.node AS a, y.node AS b FROM t x JOIN t y ON x.g = y.g AND x.node <> y.node AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+            GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+        r AS (SELECT node AS a, node AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+        SELECT doc_id, len(d.s) AS n_shingles, coalesce(root, doc_id) AS component_id FROM d LEFT JOIN k ON d.s = k.s LEFT JOIN c ON c.a = k.node
+    """,
+    "op12_hard_negatives": """
+        WITH k AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+            FROM k a JOIN k r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id,
+            positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+    """,
     "op13_vector_codes": _codes_sql(),
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

@@ -17,6 +17,8 @@ COLUMNS = {
     "op7_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op8_token_store": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op11_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+    "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op13_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
     "op10_decontamination": ["doc_id", "item_id", "edits", "start", "end"],
 }
