@@ -1,4 +1,4 @@
-"""Sessions, tapbacks and training logs over unbounded input."""
+"""Sessions and tapbacks over unbounded input."""
 
 from __future__ import annotations
 
