@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import turns as X
-from parley.plans.scratch import arrow_batches
+from parley.operators.ordered import running, sliced
+from parley.operators.tapbacks import not_tapback
+from parley.plans.scratch import arrow_batches, save
 
 TRAIN, VALID = 0.80, 0.10
 MAX_COPIES, MAX_SHORT_COPIES = 4, 2
 HALF_LIFE_DAYS, FLOOR, LEAST_KEPT = 365.0, 0.15, 8
 CHUNK, SKIPPED = 80, 10
+#: Sessions whose sizes one task deals.
+DEAL_SESSIONS = 1_000_000
 _DENSE = 1_000_000
 
 
@@ -47,56 +53,88 @@ def split_chrono(examples: DataFrame, session: list[str], sec: str = "sec", trai
     units = examples.groupBy(*session).agg(F.min(sec).alias("at"))
     ranked = ranked_rows(units, ["at", *session])
     n = F.col("units")
-    a = F.when(n >= 10, F.bround(n * train)).when(n >= 3, n - 2).otherwise(F.greatest(n - 1, F.lit(1)))
-    b = F.when(n >= 10, F.bround(n * (train + valid))).when(n >= 3, n - 1).otherwise(n)
+    test, held = F.greatest(F.lit(1), F.bround(n * F.lit(1 - train - valid))), F.greatest(F.lit(1), F.bround(n * F.lit(valid)))
+    a = F.when(n >= 10, F.greatest(F.lit(1), n - held - test)).when(n >= 3, n - 2).otherwise(F.greatest(n - 1, F.lit(1)))
+    b = F.when(n >= 10, n - test).when(n >= 3, n - 1).otherwise(n)
     split = F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "valid").otherwise("test")
     return examples.join(ranked.select(*session, split.alias("split")), session)
 
 
 def ranked_rows(units: DataFrame, order: list[str]) -> DataFrame:
-    """rank from 1 in a global order, and units, their number; sorted in slices, so no task sees them all."""
-    at = order[0]
-    sliced = units.withColumn("_slice", F.floor(F.col(at) / F.lit(7 * 86400)))
-    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each week
+    """rank from 1 in a global order, and units, their number; cut into ranges of about equal size, so no task sees them all."""
+    rows = sliced(units, [], order)
+    sizes = rows.groupBy("_slice").agg(F.count("*").alias("_n"))  # a row for each range
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "units": F.sum("_n").over(Window.partitionBy(F.lit(1)))})
     inner = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    return sliced.withColumn("_inner", inner).join(sizes, "_slice").withColumn("rank", F.col("_before") + F.col("_inner")).drop("_slice", "_n", "_before", "_inner")
+    return rows.withColumn("_inner", inner).join(F.broadcast(sizes), "_slice").withColumn("rank", F.col("_before") + F.col("_inner")).drop("_slice", "_n", "_before", "_inner")
 
 
 def chunks(examples: DataFrame, size: int = CHUNK) -> DataFrame:
     """Add chunk and in_chunk: rows of a chat's session in chunks of ``size``, by time."""
-    w = Window.partitionBy("chat_id", "session_no").orderBy("sec", "msg_no")
-    k = F.row_number().over(w) - 1
-    return examples.withColumns({"chunk": F.floor(k / size).cast("int"), "in_chunk": (k % size).cast("int")})
+    keys, order = ["chat_id", "session_no"], ["sec", "msg_no"]
+    rows = running(sliced(examples, keys, order), keys, order, F.lit(1), "_k").drop("_slice")
+    k = F.col("_k") - 1
+    return rows.withColumns({"chunk": F.floor(k / size).cast("long"), "in_chunk": (k % size).cast("int")}).drop("_k")
 
 
-def split_stratified(examples: DataFrame, train: float = TRAIN, valid: float = VALID) -> DataFrame:
-    """Add split: chunks are dealt one by one, in order of a hash, to the split furthest below its quota.
+def deal(sizes: Iterator[int], have: dict[str, int], want: dict[str, float]) -> Iterator[str]:
+    """The split of each chunk: the one that lacks the largest part of its quota, train before valid before test; ``have`` is brought up to date."""
+    for n in sizes:
+        name = max(want, key=lambda s: (want[s] - have[s]) / max(1.0, want[s]))
+        have[name] += n
+        yield name
 
-    Ties go to train, then valid, then test. The first rows of a chunk whose previous chunk is in another split are
-    dropped, as their context is there. Each deal depends on those before, so one task folds over the
-    list of chunks (a number each, not their rows).
-    """
-    rows = chunks(examples)
-    units = rows.groupBy("chat_id", "session_no", "chunk").agg(F.count("*").alias("n"))
-    want = {"train": train, "valid": valid, "test": 1 - train - valid}
-
-    def deal(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["h", "chat_id", "session_no", "chunk"])
-        total, have, out = int(g["n"].sum()), dict.fromkeys(want, 0), []
-        for n in g["n"]:
-            name = max(want, key=lambda s: want[s] * total - have[s])
-            have[name] += int(n)
-            out.append(name)
-        return g.assign(split=out)[["chat_id", "session_no", "chunk", "split"]]
 
+def split_stratified(examples: DataFrame, train: float = TRAIN, valid: float = VALID, at_once: int = DEAL_SESSIONS) -> DataFrame:
+    """Add split: sessions are cut into chunks, and those, oldest first, dealt to the split furthest below its quota of rows.
+
+    So the held-out rows are spread over the whole history. The first rows of a chunk whose previous chunk is in another split are dropped, as
+    their context is there. Fewer than ten sessions are split by time. Each deal depends on those before: it runs over the sizes of sessions,
+    ``at_once`` of them in a task, and what each split has got so far (three numbers) goes on to the next task.
+    """
+    keys = ["chat_id", "session_no"]
+    sessions = examples.groupBy(*keys).agg(F.min("sec").alias("at"), F.count("*").alias("n"))
+    ranked = save(ranked_rows(sessions, ["at", *keys]).select("rank", F.col("chat_id").cast("long"), F.col("session_no").cast("long"), "n"), "ranked-sessions")
+    many, total = ranked.agg(F.count("*"), F.sum("n")).first()
+    if many < 10:
+        return split_chrono(examples, keys, train=train, valid=valid)
+    want = {"train": train * total, "valid": valid * total, "test": max(0.0, 1 - train - valid) * total}
+    have, dealt = dict.fromkeys(want, 0), None
     arrow_batches(examples.sparkSession)
-    dealt = units.withColumn("h", F.xxhash64("chat_id", "session_no", "chunk")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(deal, "chat_id long, session_no long, chunk int, split string")
-    previous = F.lag("split").over(Window.partitionBy("chat_id", "session_no").orderBy("chunk"))
-    dealt = dealt.withColumn("previous", previous)
+    for first in range(1, many + 1, at_once):
+        part = ranked.where(F.col("rank").between(first, first + at_once - 1)).coalesce(1).sortWithinPartitions("rank")
+        done = save(part.mapInPandas(_dealer(dict(have), want), "chat_id long, session_no long, chunk long, split string, previous string, k long, train long, valid long, test long"), "dealt")
+        have = done.orderBy(F.desc("k")).select(*have).first().asDict()
+        dealt = done if dealt is None else dealt.unionByName(done)
     cut = (F.col("in_chunk") < SKIPPED) & (F.col("previous") != F.col("split"))
-    return rows.join(dealt, ["chat_id", "session_no", "chunk"]).where(F.coalesce(~cut, F.lit(True))).drop("previous", "in_chunk")
+    rows = chunks(examples).join(dealt.drop("k", *want), [*keys, "chunk"])
+    return rows.where(F.coalesce(~cut, F.lit(True))).drop("previous", "in_chunk")
+
+
+def _dealer(have: dict[str, int], want: dict[str, float], size: int = CHUNK) -> Callable:
+    """A function that deals the chunks of sessions (rank, chat_id, session_no, n) and tells what each split has got after each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k, out = 0, []
+        for b in batches:
+            for chat, session, n in b[["chat_id", "session_no", "n"]].itertuples(index=False):
+                before = None
+                sizes = (min(size, n - s) for s in range(0, n, size))
+                for chunk, name in enumerate(deal(sizes, have, want)):
+                    k += 1
+                    out.append((chat, session, chunk, name, before, k, *have.values()))
+                    before = name
+                    if len(out) >= 50_000:
+                        yield pd.DataFrame(out, columns=_DEALT)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=_DEALT)
+
+    return run
+
+
+_DEALT = ["chat_id", "session_no", "chunk", "split", "previous", "k", "train", "valid", "test"]
 
 
 def cap_duplicates(examples: DataFrame, reply: str = "reply", order: tuple[str, str] = ("sec", "msg_no"), most: int = MAX_COPIES, most_short: int = MAX_SHORT_COPIES) -> DataFrame:
@@ -170,11 +208,20 @@ def first_chat(messages: DataFrame, chat_rank: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def profile(messages: DataFrame) -> DataFrame:
-    """One row about a dataset's messages (is_from_me, text, has_attachment, ts)."""
+def profile(messages: DataFrame, members: DataFrame, voice: Column | None = None, handles: Sequence | None = None) -> DataFrame:
+    """One row about what a dataset could be made of; no text leaves it.
+
+    ``messages``: id, kind, is_from_me, text, ts and what ``voice``, the messages that are learnt from, reads (default: mine). Tapbacks do not count,
+    and a message in several chats counts once. Received messages count if they have text; those of the voice without text are attachments.
+    Chats (``members``: chat_id, handle) with one other person are direct ones; with ``handles``, only chats of these people count.
+    """
+    rows = messages.where(not_tapback(F.col("kind"))).dropDuplicates(["id"])
+    voice = F.col("is_from_me") == 1 if voice is None else voice
     blank = T.strip(T.text_or_empty(F.col("text"))) == ""
-    sent = F.col("is_from_me") == 1
-    return messages.agg(
-        F.count_if(sent).alias("sent"), F.count_if(~sent).alias("received"), F.count_if(sent & ~blank).alias("sent_text"),
-        F.count_if(blank & (F.col("has_attachment") == 1)).alias("attachment_only"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    told = rows.agg(
+        F.count_if(voice).alias("sent"), F.count_if(voice & ~blank).alias("sent_text"), F.count_if(~voice & ~blank).alias("received_text"),
+        F.count_if(voice & blank).alias("attachment_only"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
+    chats = members if handles is None else members.join(members.where(F.col("handle").isin(*handles)).select("chat_id").distinct(), "chat_id", "left_semi")
+    sizes = chats.groupBy("chat_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") == 1).alias("direct_chats"), F.count_if(F.col("n") > 1).alias("group_chats"))
+    return told.crossJoin(F.broadcast(sizes))  # one row each

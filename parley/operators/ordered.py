@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.plans.scratch import save
+
 SLICE_SECONDS = 7 * 86400
 
 
@@ -41,3 +43,31 @@ def with_previous(df: DataFrame, key: str, columns: list[str], ts: str = "ts", t
 def with_next(df: DataFrame, key: str, columns: list[str], ts: str = "ts", tie: str = "id", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Add next_<column>: values of the row after; null at the end."""
     return _beside(df, key, micros(ts), tie, columns, slice_seconds, False)
+
+
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_slice``, for keys whose order has no time to cut by: rows in order of (keys, order), cut into ranges of about equal size.
+
+    The table is written, as the ranges of a plan that runs twice need not be the same. A key with a third of all rows spans a third of the slices.
+    """
+    return save(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def previous(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Add prev_<column> of the row before within ``keys``, to rows with a ``_slice`` that grows with the order."""
+    value = F.struct(*columns)
+    near = F.lag(value).over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    edges = rows.groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_edge"))
+    edges = edges.select(*keys, "_slice", F.lag("_edge").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_far"))
+    joined = rows.withColumn("_near", near).join(edges, [*keys, "_slice"]).withColumn("_near", F.coalesce("_near", "_far"))
+    return joined.withColumns({f"prev_{c}": F.col(f"_near.{c}") for c in columns}).drop("_near", "_far")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``value`` up to and with each row: sums within a slice plus the totals of the slices before."""
+    valued = rows.withColumn("_value", value)
+    inner = F.sum("_value").over(Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = valued.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*keys, "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+    return valued.withColumn(name, inner).join(totals, [*keys, "_slice"]).withColumn(name, F.col(name) + F.col("_before")).drop("_value", "_before")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators import sessions
+
 PAGE, HALF = 150, 75
 Cursor = tuple[datetime.datetime, int]
 
@@ -39,6 +41,35 @@ def page(rows: DataFrame, ts: str = "ts", tie: str = "id", after_: Cursor | None
     return rows.orderBy(*up).limit(limit)
 
 
+def page_with_context(
+    rows: DataFrame, ts: str = "ts", tie: str = "id", sender: str = "is_from_me", after_: Cursor | None = None, before_: Cursor | None = None,
+    start: datetime.datetime | None = None, from_end: bool = False, limit: int = PAGE, break_seconds: int = sessions.BREAK_SECONDS,
+) -> DataFrame:
+    """``page`` of one thread with the display flags of ``sessions.message_groups``, as they are in the whole thread.
+
+    A page knows one row on each side: the row across its cursor, found by a seek from the cursor, and the row that one more than
+    ``limit`` brings at the other end. So the first row of a page opens no new day or group that the page before has begun, and its last
+    row closes none that goes on. No window runs over the thread, only over these ``limit + 2`` rows at most.
+    """
+    up, down = [F.col(ts), F.col(tie)], [F.col(ts).desc(), F.col(tie).desc()]
+    back = after_ is None and (before_ is not None or (start is None and from_end))
+    if after_ is not None:
+        own, across = rows.where(after(ts, tie, after_)), rows.where(before(ts, tie, after_, inclusive=True))
+    elif before_ is not None:
+        own, across = rows.where(before(ts, tie, before_)), rows.where(after(ts, tie, before_, inclusive=True))
+    elif start is not None:
+        own, across = rows.where(F.col(ts) >= F.lit(start)), rows.where(F.col(ts) < F.lit(start))
+    else:
+        own, across = rows, None
+    place = Window.orderBy(*(down if back else up))  # over limit + 1 rows
+    near = own.orderBy(*(down if back else up)).limit(limit + 1).withColumn("_own", F.row_number().over(place) <= limit)
+    if across is not None:
+        near = near.unionByName(across.orderBy(*(up if back else down)).limit(1).withColumn("_own", F.lit(False)))
+    order = Window.orderBy(*up)
+    beside = {f"{side}_{name}": f(c).over(order) for side, f in (("prev", F.lag), ("next", F.lead)) for name, c in (("ts", ts), (sender, sender))}
+    return sessions.group_flags(near.withColumns(beside), sender, break_seconds).where("_own").drop("_own").orderBy(*up)
+
+
 def around(rows: DataFrame, cursor: Cursor, half: int = HALF, ts: str = "ts", tie: str = "id") -> DataFrame:
     """``half`` rows up to and including the cursor, and as many after it."""
     left = rows.where(before(ts, tie, cursor, inclusive=True)).orderBy(F.desc(ts), F.desc(tie)).limit(half)

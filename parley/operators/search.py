@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions.stem import stem
 from parley.functions.text import escape_html
 from parley.plans.scratch import arrow_batches, save
-from parley.sources.catalog import unavailable_reason
+from parley.sources import publish
 
 K1, B, LIMIT = 1.2, 0.75, 300
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -86,21 +86,31 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...
     lengths = lists.select("doc_id", F.size("words").alias("dl"))
     if root is None:
         return Index(save(ordered, "postings"), save(lengths, "lengths"), stemming)
-    ordered.write.mode("overwrite").parquet(f"{root}/postings")
-    lengths.write.mode("overwrite").parquet(f"{root}/lengths")
-    return _read_index(docs.sparkSession, root, stemming)
+    write_segment(ordered, lengths, root)
+    return read_segments(docs.sparkSession, [root], stemming)
 
 
-def _read_index(spark: SparkSession, root: str, stemming: bool) -> Index:
-    return Index(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/lengths"), stemming)
+def write_segment(postings: DataFrame, lengths: DataFrame, root: str) -> None:
+    postings.write.parquet(f"{root}/postings")
+    lengths.write.parquet(f"{root}/lengths")
+
+
+def read_segments(spark: SparkSession, roots: list[str], stemming: bool) -> Index:
+    """One index over the postings of several folders, each in order of term."""
+    return Index(spark.read.parquet(*(f"{r}/postings" for r in roots)), spark.read.parquet(*(f"{r}/lengths" for r in roots)), stemming)
 
 
 def stored_index(docs: DataFrame, root: str, version: str, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",), stemming: bool = True) -> Index:
-    """The index of one version of ``docs``: built under ``root`` the first time, then read by every query. Lengths are written last, so an index without them is built again."""
-    place = f"{root}/{version}-{'-'.join(columns)}-{'stems' if stemming else 'words'}"
-    if unavailable_reason(docs.sparkSession, f"{place}/lengths") is None:
-        return _read_index(docs.sparkSession, place, stemming)
-    return build_index(docs, doc_id, columns, stemming, place)
+    """The index of one version of ``docs``: built under ``root`` the first time, then read by every query."""
+    spark = docs.sparkSession
+    place = f"{root}/{'-'.join(columns)}-{'stems' if stemming else 'words'}"
+    found = publish.newest(spark, place)
+    built = found[1] if found else {}
+    if version not in built:
+        built = {**built, version: publish.new_folder(place)}
+        build_index(docs, doc_id, columns, stemming, built[version])
+        publish.commit(spark, place, (found[0] if found else 0) + 1, built)
+    return read_segments(spark, [built[version]], stemming)
 
 
 @dataclass(frozen=True)

@@ -83,9 +83,8 @@ def latency_segments(medians: DataFrame, key: str = "handle") -> DataFrame:
     return medians.withColumn("segment", F.sum(jump).over(w))
 
 
-def message_groups(events: DataFrame, key: str = "chat_id", sender: str = "is_from_me", break_seconds: int = BREAK_SECONDS) -> DataFrame:
-    """Display flags: new_day, time_break (a pause of the break or more), group_start and group_end (a change of day, pause or sender)."""
-    rows = with_next(with_previous(events, key, ["ts", sender]), key, ["ts", sender])
+def group_flags(rows: DataFrame, sender: str = "is_from_me", break_seconds: int = BREAK_SECONDS) -> DataFrame:
+    """Display flags from prev_ and next_ columns of ts and sender, which are dropped."""
     day = lambda c: F.to_date(c)
     new_day = F.col("prev_ts").isNull() | (day("prev_ts") != day("ts"))
     pause = F.coalesce(micros("ts") - micros("prev_ts") >= break_seconds * _US, F.lit(False))
@@ -96,6 +95,11 @@ def message_groups(events: DataFrame, key: str = "chat_id", sender: str = "is_fr
     ).drop("prev_ts", "next_ts", f"prev_{sender}", f"next_{sender}")
 
 
+def message_groups(events: DataFrame, key: str = "chat_id", sender: str = "is_from_me", break_seconds: int = BREAK_SECONDS) -> DataFrame:
+    """Display flags: new_day, time_break (a pause of the break or more), group_start and group_end (a change of day, pause or sender)."""
+    return group_flags(with_next(with_previous(events, key, ["ts", sender]), key, ["ts", sender]), sender, break_seconds)
+
+
 def time_breaks(events: DataFrame, key: str = "chat_id", break_seconds: int = BREAK_SECONDS) -> DataFrame:
     return message_groups(events, key, break_seconds=break_seconds).groupBy(key).agg(
         F.count_if("time_break").alias("breaks"), F.count_if("group_start").alias("groups"), F.count_if("new_day").alias("days")

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators.ordered import previous, running, sliced
 
 TURN_GAP_SECONDS, SESSION_GAP_SECONDS, CONTEXT_TURNS, MAX_TOKENS = 30 * 60, 12 * 3600, 10, 768
+#: Turns of a chat in one slice: no task sorts more of a chat at once.
+SLICE_TURNS = 10_000
 
 
 def collapse_turns(bubbles: DataFrame, gap_seconds: int = TURN_GAP_SECONDS, by: Sequence[str] = ("role",)) -> DataFrame:
@@ -18,22 +21,28 @@ def collapse_turns(bubbles: DataFrame, gap_seconds: int = TURN_GAP_SECONDS, by:
     Blank bubbles are skipped. A missing time does not part bubbles. A turn has the
     time and number of its last bubble.
     """
-    w = Window.partitionBy("chat_id").orderBy("msg_no")
+    chat, order = ["chat_id"], ["msg_no"]
+    rows = sliced(bubbles.where(T.strip(T.text_or_empty(F.col("text"))) != ""), chat, order)
+    rows = previous(rows, chat, order, list(dict.fromkeys(["msg_no", "sec", *by])))
     same = F.lit(True)
     for c in by:
-        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
-    near = F.coalesce(F.col("sec") - F.lag("sec").over(w) <= gap_seconds, F.lit(True))
-    rows = bubbles.where(T.strip(T.text_or_empty(F.col("text"))) != "").withColumn("fresh", (F.lag("msg_no").over(w).isNull() | ~(same & near)).cast("int"))
-    rows = rows.withColumn("turn_no", F.sum("fresh").over(w))
+        same = same & F.col(f"prev_{c}").eqNullSafe(F.col(c))
+    near = F.coalesce(F.col("sec") - F.col("prev_sec") <= gap_seconds, F.lit(True))
+    rows = running(rows, chat, order, (F.col("prev_msg_no").isNull() | ~(same & near)).cast("int"), "turn_no")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("msg_no", F.col("text").alias("t")))), lambda x: x["t"])
     return rows.groupBy("chat_id", "turn_no").agg(F.first("role").alias("role"), F.array_join(parts, T.BUBBLE).alias("content"), F.max_by("sec", "msg_no").alias("sec"), F.max("msg_no").alias("msg_no"))
 
 
 def sessionize(turns: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
     """Add session_no: a pause of more than the gap between turns' (last) times starts a new session."""
-    w = Window.partitionBy("chat_id").orderBy("turn_no")
-    fresh = F.coalesce((F.col("sec") - F.lag("sec").over(w) > gap_seconds).cast("int"), F.lit(0))
-    return turns.withColumn("session_no", F.sum(fresh).over(w) + 1)
+    chat, order = ["chat_id"], ["turn_no"]
+    rows = previous(turns.withColumn("_slice", _slice()), chat, order, ["sec"])
+    fresh = F.coalesce((F.col("sec") - F.col("prev_sec") > gap_seconds).cast("int"), F.lit(0))
+    return running(rows, chat, order, fresh, "session_no").withColumn("session_no", F.col("session_no") + 1).drop("prev_sec", "_slice")
+
+
+def _slice() -> Column:
+    return F.floor(F.col("turn_no") / SLICE_TURNS)
 
 
 def merge_roles(messages: Column) -> Column:
@@ -61,8 +70,14 @@ def is_alternating(messages: Column) -> Column:
 
 
 def _windows(sessions: DataFrame, turns: int) -> DataFrame:
-    w = Window.partitionBy("chat_id", "session_no").orderBy("turn_no").rowsBetween(1 - turns, 0)
-    return sessions.withColumn("window", F.collect_list(F.struct("role", "content")).over(w))
+    """Add window, a turn and the ``turns - 1`` before it in its session.
+
+    Turns are numbered one by one, so the last of a slice are all that the next one needs: they are copied there, and no window is longer than a slice.
+    """
+    late = F.pmod("turn_no", F.lit(SLICE_TURNS)) >= SLICE_TURNS - turns + 1
+    copied = sessions.withColumn("_at", F.explode(F.when(late, F.array(_slice(), _slice() + 1)).otherwise(F.array(_slice()))))
+    w = Window.partitionBy("chat_id", "session_no", "_at").orderBy("turn_no").rowsBetween(1 - turns, 0)
+    return copied.withColumn("window", F.collect_list(F.struct("role", "content")).over(w)).where(F.col("_at") == _slice()).drop("_at")
 
 
 def context_windows(sessions: DataFrame, turns: int = CONTEXT_TURNS) -> DataFrame:
@@ -80,8 +95,8 @@ def context_windows(sessions: DataFrame, turns: int = CONTEXT_TURNS) -> DataFram
 
 def laddered_windows(sessions: DataFrame, turns: int = CONTEXT_TURNS, ladder: Sequence[int] = (1, 3, 5)) -> DataFrame:
     """As ``context_windows``, and for each reply a second, shallower context whose depth steps through the ladder; equal ones once."""
-    w = Window.partitionBy("chat_id", "session_no").orderBy("turn_no")
-    own = sessions.where("role = 'assistant'").withColumn("k", F.row_number().over(w) - 1).select("chat_id", "session_no", "turn_no", "k")
+    own = sessions.where("role = 'assistant'").select("chat_id", "session_no", "turn_no", _slice().alias("_slice"))
+    own = running(own, ["chat_id", "session_no"], ["turn_no"], F.lit(1), "k").withColumn("k", F.col("k") - 1).drop("_slice")
     full = context_windows(sessions, turns).join(own, ["chat_id", "session_no", "turn_no"])
     steps = F.array(*(F.lit(x + 1) for x in ladder))
     depth = F.try_element_at(steps, (F.col("k") % len(ladder) + 1).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import phrases
 from parley.plans.scratch import save
-from parley.sources.catalog import snapshot
+from parley.sources.publish import publish
 
 PERSON_MESSAGES, YEAR_MESSAGES, PEOPLE = 80, 200, 12
 
@@ -48,6 +49,7 @@ def build(messages: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
 
 
 def current(messages: DataFrame, root: str, stop: Sequence[str] = ()) -> DataFrame:
-    """The build for the newest message, made once under ``root`` and read from then on; a newer message makes a new one."""
+    """The build for the newest message and these stop words, made once under ``root`` and read from then on; a newer message makes a new one."""
     newest = messages.agg(F.max("id")).first()[0]
-    return snapshot(build(messages, stop), root, str(newest))
+    words = hashlib.sha256("\n".join(sorted(stop)).encode()).hexdigest()[:16]
+    return publish(messages.sparkSession, root, f"{newest}-{words}", lambda: build(messages, stop))

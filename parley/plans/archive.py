@@ -330,6 +330,22 @@ def page_around(spark, sf):
     return paging.around(rows, at, 5)
 
 
+_FLAGS = f"""{_GROUPS}, {_THREAD.removeprefix('CTE ').replace('fx_msg_ev WHERE', 'z WHERE')} SELECT {_COLS}, new_day, time_break, group_start, group_end FROM o, c WHERE"""
+
+
+@query(f"{_FLAGS} rn > k AND rn <= k + 15", "fx_msg_ev")
+def page_context_after(spark, sf):
+    """A page with its display flags, which are those of the whole thread."""
+    rows, at = _thread(spark, sf)
+    return paging.page_with_context(rows, after_=at, limit=15)
+
+
+@query(f"{_FLAGS} rn < k AND rn >= k - 15", "fx_msg_ev")
+def page_context_before(spark, sf):
+    rows, at = _thread(spark, sf)
+    return paging.page_with_context(rows, before_=at, limit=15)
+
+
 @query(f"{_THREAD} SELECT k > 1 AS earlier, (SELECT count(*) FROM o) > k AS later FROM c", "fx_msg_ev")
 def has_neighbor(spark, sf):
     rows, at = _thread(spark, sf)

@@ -72,7 +72,7 @@ def alternating(spark, sf):
 
 
 @query(f"""{_TURNS}, u AS (SELECT chat_id, session_no, min(sec) AS ats FROM x GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY ats, chat_id, session_no) AS rn, count(*) OVER () AS n FROM u)
-    SELECT x.chat_id, x.session_no, turn_no, CASE WHEN rn <= round_even(n * 0.8, 0) THEN 'train' WHEN rn <= round_even(n * 0.9, 0) THEN 'valid' ELSE 'test' END AS split FROM x JOIN r USING (chat_id, session_no)""", "fx_turn")
+    SELECT x.chat_id, x.session_no, turn_no, CASE WHEN rn <= n - greatest(1, round_even(n * 0.1::DOUBLE, 0)) - greatest(1, round_even(n * (1 - 0.8::DOUBLE - 0.1::DOUBLE), 0)) THEN 'train' WHEN rn <= n - greatest(1, round_even(n * (1 - 0.8::DOUBLE - 0.1::DOUBLE), 0)) THEN 'valid' ELSE 'test' END AS split FROM x JOIN r USING (chat_id, session_no)""", "fx_turn")
 def split_chrono(spark, sf):
     return curation.split_chrono(_examples(spark, sf), ["chat_id", "session_no"]).select("chat_id", "session_no", "turn_no", "split")
 

@@ -10,6 +10,7 @@ from parley.plans.scratch import new_path
 from parley.sources import catalog as c
 from parley.sources import contacts, jsonl
 from parley.streaming import index as stream_index
+from parley.streaming import logs
 
 registered = Registry()
 query = registered.query
@@ -23,12 +24,35 @@ def training_log_parse(spark, sf):
     return runs.parse_log(e.select(F.col("user_id").alias("run"), line.alias("line"))).select("iter", "run", "train_loss")
 
 
-@query()
+#: The fold over a run's evaluations: the best moves on a drop of 0.01, six stale ones stop the run.
+_STOP = """WITH e AS (SELECT user_id AS run, event_id AS iter, value AS loss FROM events WHERE value IS NOT NULL),
+    l AS (SELECT run, list({'best': loss, 'best_iter': iter, 'stale': 0, 'n': 1, 'stop': NULL::BIGINT} ORDER BY iter) AS xs FROM e GROUP BY run),
+    f AS (SELECT run, list_reduce(xs, lambda s, x: CASE WHEN s.stop IS NOT NULL THEN s
+        WHEN s.best - x.best >= 0.01 THEN {'best': x.best, 'best_iter': x.best_iter, 'stale': 0, 'n': s.n + 1, 'stop': NULL::BIGINT}
+        ELSE {'best': s.best, 'best_iter': s.best_iter, 'stale': s.stale + 1, 'n': s.n + 1, 'stop': CASE WHEN s.stale + 1 >= 6 AND s.n + 1 >= 3 THEN x.best_iter END} END) AS s FROM l)"""
+
+
+@query(f"{_STOP} SELECT run, s.best AS best, s.best_iter AS best_iter, s.stop AS stop_iter FROM f")
 def early_stop(spark, sf):
     e = c.table(spark, sf, "events").where("value IS NOT NULL")
     return runs.early_stop(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("iter"), F.col("value").alias("loss")))
 
 
+@query(f"{_STOP.replace('value AS loss', 'round(value, 3) AS loss')} SELECT run::VARCHAR AS run, 'stop' AS event, s.best AS best, s.best_iter AS best_iter, s.stop AS at_iter FROM f WHERE s.stop IS NOT NULL")
+def early_stop_live(spark, sf):
+    """The same decisions made by a stream over log lines, which come in three pieces with a restart after each."""
+    e = c.table(spark, sf, "events").where("value IS NOT NULL")
+    line = F.concat(F.lit("Iter "), F.col("event_id").cast("string"), F.lit(": Val loss "), F.format_string("%.3f", F.round("value", 3)))
+    lines = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("n"), line.alias("line"))
+    third = e.agg(F.max("event_id")).first()[0] // 3 + 1
+    source, target = new_path(spark, "log-in"), new_path(spark, "log-events")
+    for k in range(3):
+        lines.where(F.floor(F.col("n") / third) == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lines.schema).parquet(source)
+        logs.follow(stream, target, f"{target}-checkpoint").awaitTermination()
+    return spark.read.parquet(target)
+
+
 @query("""WITH e AS (SELECT user_id AS run, event_type AS phase, ts, event_id FROM events), n AS (SELECT run, phase, epoch_us(lead(ts) OVER (PARTITION BY run ORDER BY ts, event_id)) - epoch_us(ts) AS took FROM e)
     SELECT run, phase, sum(coalesce(took, 0)) / 1000000.0::DOUBLE AS seconds FROM n GROUP BY ALL""")
 def phase_times(spark, sf):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from parley.functions import text as T
 from parley.operators import phrases, search
 from parley.plans.register import Registry
-from parley.plans.scratch import shared_dir
+from parley.plans.scratch import new_path, shared_dir
 from parley.sources import catalog as c
+from parley.streaming import segments
 
 registered = Registry()
 query = registered.query
@@ -99,6 +100,19 @@ def search_and(spark, sf):
     return search.search(_plain(spark, sf), "inonth with")[0]
 
 
+@query(_score(_WORDS, True, 2, 301), "fx_doc")
+def search_incremental(spark, sf):
+    """``search_and`` on an index that a stream fed in three increments, with a restart after each."""
+    docs = c.document_messages(spark, sf).select("doc_id", "body", F.lit(None).cast("int").alias("kind"))
+    source, root = new_path(spark, "search-in"), new_path(spark, "search-segments")
+    store = segments.Store(spark, root, stemming=False)
+    third = docs.agg(F.max("doc_id")).first()[0] // 3 + 1
+    for k in range(3):
+        docs.where(F.floor(F.col("doc_id") / third) == k).write.mode("append").parquet(source)
+        segments.stream_index(spark.readStream.schema(docs.schema).parquet(source), store, f"{root}-checkpoint").awaitTermination()
+    return search.search(store.index(), "inonth with")[0]
+
+
 @query(_score(_WORDS.replace("'with%'", "'zzzz%'"), False, 2, 301), "fx_doc")
 def search_or(spark, sf):
     return search.search(_plain(spark, sf), "inonth zzzz")[0]

@@ -118,7 +118,20 @@ def voice_people(spark, sf):
     return voice.person_words(c.document_messages(spark, sf).withColumnRenamed("sender", "handle"), _STOP, least=5)
 
 
-@query("SELECT count(*) FILTER (is_from_me = 1) AS sent, count(*) FILTER (is_from_me = 0) AS received, count(*) FILTER (is_from_me = 1 AND trim(coalesce(text, '')) <> '') AS sent_text, count(*) FILTER (trim(coalesce(text, '')) = '' AND has_attachment = 1) AS attachment_only, epoch(min(ts))::BIGINT AS first_sec, epoch(max(ts))::BIGINT AS last_sec FROM fx_arc", "fx_arc")
+@query("""CTE m AS (SELECT DISTINCT id, ts, is_from_me, coalesce(text, '') AS text FROM fx_arc WHERE kind IS NULL OR kind NOT BETWEEN 2000 AND 3007), n AS (SELECT chat_id, count(*) AS n FROM fx_arc_member GROUP BY chat_id)
+    SELECT count(*) FILTER (is_from_me = 1) AS sent, count(*) FILTER (is_from_me = 1 AND trim(text) <> '') AS sent_text, count(*) FILTER (is_from_me = 0 AND trim(text) <> '') AS received_text,
+      count(*) FILTER (is_from_me = 1 AND trim(text) = '') AS attachment_only, (SELECT count(*) FROM n WHERE n = 1) AS direct_chats, (SELECT count(*) FROM n WHERE n > 1) AS group_chats,
+      epoch(min(ts))::BIGINT AS first_sec, epoch(max(ts))::BIGINT AS last_sec FROM m""", "fx_arc", "fx_arc_member")
 def dataset_profile(spark, sf):
-    p = curation.profile(c.archive_messages(spark, sf))
-    return p.select("sent", "received", "sent_text", "attachment_only", F.unix_seconds("first_ts").alias("first_sec"), F.unix_seconds("last_ts").alias("last_sec"))
+    p = curation.profile(c.archive_messages(spark, sf), c.archive_members(spark, sf))
+    return p.withColumns({"first_sec": F.unix_seconds("first_ts"), "last_sec": F.unix_seconds("last_ts")}).drop("first_ts", "last_ts")
+
+
+@query("""CTE mine AS (SELECT DISTINCT chat_id FROM fx_arc_member WHERE handle IN (7, 8)), m AS (SELECT DISTINCT id, ts, is_from_me = 0 AND handle = 7 AS voice, coalesce(text, '') AS text FROM fx_arc WHERE kind IS NULL OR kind NOT BETWEEN 2000 AND 3007),
+    n AS (SELECT chat_id, count(*) AS n FROM fx_arc_member WHERE chat_id IN (SELECT chat_id FROM mine) GROUP BY chat_id)
+    SELECT count(*) FILTER (voice) AS sent, count(*) FILTER (voice AND trim(text) <> '') AS sent_text, count(*) FILTER (NOT voice AND trim(text) <> '') AS received_text,
+      count(*) FILTER (voice AND trim(text) = '') AS attachment_only, (SELECT count(*) FROM n WHERE n = 1) AS direct_chats, (SELECT count(*) FROM n WHERE n > 1) AS group_chats FROM m""", "fx_arc", "fx_arc_member")
+def person_profile(spark, sf):
+    """The audit for the voice of one person, whose handles are 7 and 8."""
+    voice = (F.col("is_from_me") == 0) & (F.col("handle") == 7)
+    return curation.profile(c.archive_messages(spark, sf), c.archive_members(spark, sf), voice, [7, 8]).drop("first_ts", "last_ts")

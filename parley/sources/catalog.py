@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.sources.publish import publish
+
 
 class SourceUnavailable(Exception):
     """A table cannot be read; the message says why."""
@@ -30,10 +32,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
-    """Write a version of a table once and read it from then on."""
-    path = f"{root}/version={version}"
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a version of a table once and read it from then on; a version that was never committed does not count."""
+    return publish(df.sparkSession, root, version, lambda: df)
 
 
 def version(df: DataFrame) -> str:

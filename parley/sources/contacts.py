@@ -2,10 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sqlite3
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import handle_key, text_or_empty
+from parley.plans.scratch import save, ship_package
+
+# The tables and columns of an address book.
+_CARDS = "SELECT Z_PK, ZFIRSTNAME, ZLASTNAME, ZNICKNAME, ZORGANIZATION, coalesce(nullif(ZTHUMBNAILIMAGEDATA, x''), ZIMAGEDATA) FROM ZABCDRECORD"
+_ADDRESSES = ("SELECT ZOWNER, ZFULLNUMBER FROM ZABCDPHONENUMBER", "SELECT ZOWNER, ZADDRESS FROM ZABCDEMAILADDRESS")
+
+_ROW = "file string, kind string, card long, first string, last string, nick string, org string, image binary, value string, error string"
+
+
+def _book_rows(file: str, content: bytes) -> Iterator[dict]:
+    """Cards and addresses of one address book, then an error if it ends in one; what was read before it counts."""
+    conn = sqlite3.connect(":memory:")
+    try:
+        conn.deserialize(content)
+        for pk, first, last, nick, org, image in conn.execute(_CARDS):
+            yield {"file": file, "kind": "card", "card": pk, "first": first, "last": last, "nick": nick, "org": org, "image": image}
+        for sql in _ADDRESSES:
+            for owner, value in conn.execute(sql):
+                if owner is not None and value:
+                    yield {"file": file, "kind": "address", "card": owner, "value": value}
+    except (sqlite3.Error, ValueError, TypeError) as e:
+        yield {"file": file, "kind": "error", "error": f"{type(e).__name__}: {e}"}
+    finally:
+        conn.close()
+
+
+def read_books(spark: SparkSession, patterns: Sequence[str], files: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cards, addresses, errors) of all address books that match the patterns, as ``directory`` takes them.
+
+    A book is read whole by one task, ``files`` at a time; a broken one is reported in errors (file, error) and the others are read all the same. A later
+    pattern's books come after those of an earlier one, and books of a pattern by name.
+    """
+    ship_package(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [part.split()[0] for part in _ROW.split(", ")]
+        for b in batches:
+            for file, content in zip(b["file"], b["content"], strict=True):
+                found = pd.DataFrame(_book_rows(file, bytes(content)), columns=columns, dtype=object)
+                if len(found):
+                    yield found
+
+    books = None
+    for k, pattern in enumerate(patterns):
+        part = spark.read.format("binaryFile").load(pattern).select(F.concat(F.lit(f"{k:06d}:"), "path").alias("file"), "content")
+        books = part if books is None else books.unionByName(part)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(files))
+    rows = save(books.mapInPandas(run, _ROW), "address-books")
+    cards = rows.where("kind = 'card'").select("card", F.col("file").alias("file_order"), "first", "last", "nick", "org", "image")
+    return cards, rows.where("kind = 'address'").select("card", F.col("file").alias("file_order"), "value"), rows.where("kind = 'error'").select("file", "error")
 
 
 def card_names(cards: DataFrame) -> DataFrame:
