@@ -1,14 +1,14 @@
 """Near copies by the exact Jaccard similarity of five-word shingles: the pipeline's use of operator 3.
 
-A text is its set of shingle hashes, named by a hash of the set: texts with equal sets
+A text is its set of shingle hashes, known by a 128-bit hash of the set: texts with equal sets
 share a name and are near copies of one another. Pairs of names are proposed and each is verified on the sets themselves:
 
 1. by operator 3: SimHash fingerprints of the sets, at most two bits apart by its tables of pivot distances. Two bits
    alone find few of the pairs at a similarity of 0.8, so that
 2. MinHash bands propose more. Every name meets the least name of each of its bands, so a
    dense group is connected by about as many pairs as it has members.
-3. Names of bands that are still in different components meet by an exact prefix filter: sets
-   at the threshold share one of their rarest shingles, at places that leave enough behind them. No band is expanded into all its pairs.
+3. Names of bands that are still in different components meet by operator 11's matrix of tokens and groups: packed by 64, so that
+   the many fillings of one template, which share bands but stay under the threshold, are neither listed nor compared pair by pair.
 
 Only the texts of names in proposed pairs are read again for their sets.
 """
@@ -20,12 +20,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm import simhash
+from parley.llm import jaccard_join, simhash
 from parley.llm.common import id_text, map_batches, named, without_rows
 from parley.llm.components import components
+from parley.llm.jaccard_join import lists, set_name, shingle_set
 from parley.plans.scratch import save
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -34,20 +35,6 @@ BANDS, BAND_ROWS = 32, 6
 _SLICE = 1 << 12
 
 
-def shingle_set(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, one without words none."""
-    words = data.lower().split()  # bytes: exactly A-Z and the six white space characters
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(g, SEED) for g in grams], np.uint64))
-
-
-def set_name(grams: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(grams.tobytes(), SEED)
-
-
 @cache
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
@@ -74,47 +61,48 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def names(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, place, name, size, fp, bands), one row per input row: ``place`` is a hash of the text as it is; an empty set has no bands."""
+    """(doc_id, place, n1, n2, size, fp, bands), one row per input row: ``place`` is a hash of the text as it is, n1 and n2 are the set's hash; an empty set has no bands."""
 
     def batch(b: pa.RecordBatch) -> dict[str, list]:
         sets = _shingle_sets(b, shingle)
+        n1, n2 = _set_names(sets)
         return {
-            "doc_id": b.column("doc_id"),
-            "place": b.column("place"),
-            "name": _set_names(sets),
-            "size": [len(s) for s in sets],
+            "doc_id": b.column("doc_id"), "place": b.column("place"), "n1": n1, "n2": n2, "size": [len(s) for s in sets],
             "fp": np.array([simhash.fingerprint_of(s) for s in sets], np.uint64).view(np.int64),
             "bands": [band_keys(s).view(np.int64) if len(s) else [] for s in sets],
-        }
+        }
 
     rows = id_text(docs, id_col, text_col).withColumn("place", F.xxhash64("text"))
-    return map_batches(rows, batch, "doc_id long, place long, name long, size int, fp long, bands array<long>")
+    return map_batches(rows, batch, "doc_id long, place long, n1 long, n2 long, size int, fp long, bands array<long>")
 
 
 def _shingle_sets(b: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
     return [shingle_set(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _set_names(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([set_name(s) for s in sets], np.uint64).view(np.int64)
+def _set_names(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    found = [set_name(s) for s in sets]
+    return [n[0] for n in found], [n[1] for n in found]
 
 
 def _sets(docs: DataFrame, places: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(name, grams) of the sets of the texts at ``places``."""
+    """(name, grams array<long>) of the sets of the texts at ``places`` (place, name, n1, n2)."""
 
     def batch(b: pa.RecordBatch) -> dict[str, list]:
         sets = _shingle_sets(b, shingle)
-        return {"name": _set_names(sets), "grams": [s.tobytes() for s in sets]}
+        n1, n2 = _set_names(sets)
+        return {"n1": n1, "n2": n2, "grams": lists(sets)}
 
     texts = docs.select(F.coalesce(named(text_col), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
-    return map_batches(texts.join(places, "place", "left_semi").select("text"), batch, "name long, grams binary").dropDuplicates(["name"])
+    found = map_batches(texts.join(places.select("place").distinct(), "place", "left_semi").select("text"), batch, "n1 long, n2 long, grams array<long>")
+    return found.join(places.select("name", "n1", "n2"), ["n1", "n2"]).select("name", "grams").dropDuplicates(["name"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (name, grams) are similar enough."""
 
     def batch(b: pa.RecordBatch) -> dict[str, list]:
-        x, y = ([np.frombuffer(g, np.uint64) for g in b.column(c).to_pylist()] for c in ("x", "y"))
+        x, y = ([b.column(c)[k].values.to_numpy().view(np.uint64) for k in range(b.num_rows)] for c in ("x", "y"))
         keep = pa.array([jaccard(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
         return {"a": b.column("a").filter(keep), "b": b.column("b").filter(keep)}
 
@@ -132,29 +120,13 @@ def _fingerprint_pairs(distinct: DataFrame) -> DataFrame:
     return same.unionAll(links.join(ends[0], "x").join(ends[1], "y").select("a", "b"))
 
 
-def _prefix_pairs(open_sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): names with different roots whose sets (name, root, grams) may be similar enough; none that is, is left out.
-
-    Sets at the threshold share a shingle among the first n - ceil(s n) + 1 of each in any fixed order. From rare to frequent the
-    order leaves few such pairs; the places of the shared shingle must also leave an overlap of s / (1 + s) of both.
-    """
-
-    def batch(b: pa.RecordBatch) -> dict[str, list]:
-        grams = [np.frombuffer(g, np.int64) for g in b.column("grams").to_pylist()]
-        return {"name": b.column("name"), "root": b.column("root"), "size": [len(g) for g in grams], "grams": grams}
-
-    rows = save(map_batches(open_sets.select("name", "root", "grams"), batch, "name long, root long, size int, grams array<long>"), "near-open")
-    tokens = rows.select("name", "root", "size", F.explode("grams").alias("gram"))
-    known = save(tokens.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "near-grams")
-    order = Window.partitionBy("name").orderBy("n", "gram")
-    # those of one set alone come first; they meet nothing but count in the places of the others
-    alone = F.col("size") - F.count("*").over(Window.partitionBy("name"))
-    kept = tokens.join(known, "gram").withColumn("place", F.row_number().over(order) + alone)
-    keys = save(kept.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select("gram", "name", "root", "size", "place"), "near-keys")
-    other = keys.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("name", "root", "size", "place")))
-    overlap = 1 + F.least(F.col("size") - F.col("place"), F.col("size_2") - F.col("place_2"))
-    fits = overlap >= (F.col("size") + F.col("size_2")) * (similarity / (1 + similarity)) - 1e-9
-    return keys.join(other, "gram").where((F.col("name") < F.col("name_2")) & (F.col("root") != F.col("root_2")) & fits).select(F.col("name").alias("a"), F.col("name_2").alias("b")).distinct()
+def _connect_open(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """(node, root) with all links among ``sets`` (name, grams) beside those known."""
+    rows = save(sets.select(F.col("name").alias("node"), "grams"), "near-open")
+    tokens = rows.select("node", F.size("grams").alias("size"), F.col("grams").alias("ranked"), F.array().cast("array<bigint>").alias("rest"))
+    keys = jaccard_join.prefix_keys(tokens, percent)
+    wanted = rows.join(keys.select("node").distinct(), "node", "left_semi")
+    return jaccard_join.connected(keys, jaccard_join.least_hashes(wanted), percent, linked)
 
 
 def near_groups(
@@ -167,14 +139,15 @@ def near_groups(
     share their component. Texts of any length count whole; an empty table gives an empty result. Other columns, whatever their names, are not read.
     """
     found = save(names(docs, shingle, id_col, text_col), "near-names")
-    distinct = save(found.select("name", "fp", "bands").dropDuplicates(["name"]), "near-distinct")
+    distinct = save(found.select("n1", "n2", "fp", "bands").dropDuplicates(["n1", "n2"]).withColumn("name", F.monotonically_increasing_id()), "near-distinct")
+    found = save(found.drop("fp", "bands").join(distinct.select("n1", "n2", "name"), ["n1", "n2"]), "near-named")
     bands = distinct.select("name", F.explode("bands").alias("band"))
     stars = save(bands.groupBy("band").agg(F.min("name").alias("star"), F.max("name").alias("last")).where("star < last").select("band", "star"), "near-stars")
     members = save(bands.join(stars, "band").distinct(), "near-members")
     banded = members.where("name <> star").select(F.col("star").alias("a"), F.col("name").alias("b"))
     pairs = save(_fingerprint_pairs(distinct.select("name", "fp")).unionAll(banded).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
-    places = save(found.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("place").alias("place")).select("place"), "near-places")
+    places = save(found.join(wanted, "name", "left_semi").groupBy("name", "n1", "n2").agg(F.min("place").alias("place")), "near-places")
     sets = save(_sets(docs, places, shingle, text_col), "near-sets")
     linked = save(alike(pairs, sets, similarity), "near-links")
     roots = save(components(linked), "near-roots")
@@ -182,10 +155,9 @@ def near_groups(
     rooted = members.join(of_name, "name", "left").select("band", "name", F.coalesce("root", "name").alias("root"))
     left = save(rooted, "near-rooted")
     split = left.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
-    unsettled = save(left.join(split, "band", "left_semi").select("name", "root").distinct(), "near-unsettled")
-    more = save(alike(save(_prefix_pairs(sets.join(unsettled, "name"), similarity), "near-pairs"), sets, similarity), "near-links")
-    if not more.isEmpty():
-        roots = save(components(save(linked.unionAll(more), "near-links")), "near-roots")
+    unsettled = save(left.join(split, "band", "left_semi").select("name").distinct(), "near-unsettled")
+    if not unsettled.isEmpty():
+        roots = _connect_open(sets.join(unsettled, "name", "left_semi"), linked, round(100 * similarity))
     firsts = found.groupBy("name").agg(F.min("doc_id").alias("first_id"))
     with_root = save(firsts.join(roots, F.col("name") == F.col("node"), "left").select("name", "first_id", F.coalesce("root", "name").alias("root")), "near-roots")
     least = save(with_root.groupBy("root").agg(F.min("first_id").alias("component_id")), "near-ids")

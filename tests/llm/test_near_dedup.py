@@ -3,6 +3,7 @@ import random
 import pytest
 
 from corpus_pipeline import STAGES
+from parley.llm import jaccard_join, near_dedup
 from parley.llm.near_dedup import SIMILARITY, drop_near_copies, near_groups
 
 from .conftest import sentence
@@ -65,6 +66,39 @@ def test_a_template_with_many_fillings(spark):
     assert {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_components(rows)
 
 
+def fillings(n, seed=3):
+    """Texts of one frame of 120 words with two words changed in each: about 0.7 alike, below the threshold, unless both changes fall together."""
+    rng = random.Random(seed)
+    base = sentence(rng, 120)
+    return [(k, edited(rng, base, 2)) for k in range(n)]
+
+
+def test_fillings_of_a_template(spark):
+    rows = fillings(300)
+    assert {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_components(rows)
+
+
+def test_rows_that_meet_grow_with_the_fillings(spark, monkeypatch):
+    """Ten times as many fillings make about ten times as many rows of pairs, of names, groups and tiles together."""
+    made = []
+    monkeypatch.setattr(near_dedup, "alike", _counting(near_dedup.alike, made))
+    monkeypatch.setattr(jaccard_join, "_open", _counting(jaccard_join._open, made))
+    sizes = []
+    for n in (400, 4000):
+        made.clear()
+        near_groups(spark.createDataFrame(fillings(n), SCHEMA)).count()
+        sizes.append(sum(made))
+    assert sizes[1] < 15 * sizes[0]
+
+
+def _counting(f, made):
+    def run(pairs, *args):
+        made.append(pairs.count())
+        return f(pairs, *args)
+
+    return run
+
+
 @pytest.mark.parametrize("stage", [dict(STAGES)["near_dedup"]])
 def test_stage_drops_copies_with_several_edited_words(spark, stage):
     rng = random.Random(6)
