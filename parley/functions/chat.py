@@ -17,6 +17,12 @@ def system_prompt(name: Column, peer: Column) -> Column:
     return F.when(folded == "", base).otherwise(F.concat(base, F.lit(f" {_PEER}"), folded, F.lit(".")))
 
 
+def opener_prompt(name: str | None = None) -> str:
+    """What stands for the incoming message where the voice writes first."""
+    who = "" if not name or name == "You" else f" as {name}"
+    return f"Send a natural text{who} to continue or open this conversation."
+
+
 def peer_of(prompt: Column) -> Column:
     """The peer that a system prompt names, or the empty text."""
     return F.regexp_extract(prompt, rf"(?s){_PEER}(.+)\.$", 1)

@@ -191,11 +191,18 @@ def copied_from_prompt(reply: Column, prompt: Column) -> Column:
     return (F.char_length(t) >= COPY_CHARS) & F.contains(text_or_empty(prompt), t)
 
 
-def label_sender(content: Column, sender: Column, members: Column) -> Column:
-    """``First: text`` in groups of two or more, unless it is labelled already."""
-    first = F.split(sender, r"\s+")[0]
-    done = F.startswith(content, F.concat(first, F.lit(":")))
-    return F.when((members >= 2) & first.isNotNull() & (first != "") & ~done, F.concat(first, F.lit(": "), content)).otherwise(content)
+#: Fixed value: how a labelled message begins.
+LABELLED = r"^[^\n:]{1,24}: "
+
+
+def sender_label(name: Column) -> Column:
+    """The first word of a name, 24 characters at most; null without one."""
+    return F.nullif(F.left(F.regexp_extract(text_or_empty(name), r"\S+", 0), F.lit(24)), F.lit(""))
+
+
+def label_sender(content: Column, label: Column) -> Column:
+    """``Label: text``, unless there is no label or the text begins like a labelled one."""
+    return F.when(label.isNotNull() & ~F.regexp(content, F.lit(LABELLED)), F.concat(label, F.lit(": "), content)).otherwise(content)
 
 
 def escape_html(c: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.functions.chat import opener_prompt, peer_label, system_prompt
 from parley.operators import curation, retrieval, turns
+from parley.operators.ordered import running, sliced
 from parley.operators.tapbacks import not_tapback
 from parley.plans.scratch import save
 from parley.sources import jsonl
@@ -76,16 +78,56 @@ def admitted(messages: DataFrame, person: str | None = None) -> DataFrame:
     return rows.withColumns({"role": F.when(is_assistant(person), "assistant").otherwise("user"), "text": F.when(empty, T.MEDIA_MARK).otherwise(text)})
 
 
-def chat_turns(messages: DataFrame, members: DataFrame, person: str | None = None, groups: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(admitted messages, turns with sessions) of chats where the voice speaks; a message in several chats counts in the first of them only."""
-    rows = admitted(messages if groups else messages.join(direct_chats(members).select("chat_id"), "chat_id", "left_semi"), person)
-    once = curation.first_chat(rows.withColumn("msg_id", F.col("id")), chat_order(messages).select("chat_id", "rank")).drop("rank")
-    once = save(once.withColumns({"sec": F.unix_seconds(F.col("ts").cast("timestamp")), "msg_no": F.col("id")}), "admitted")
-    found = turns.sessionize(turns.collapse_turns(once))
+def chat_turns(
+    messages: DataFrame, members: DataFrame, person: str | None = None, groups: bool = False, names: DataFrame | None = None, labels: bool = True,
+    per_chat: int = 0, newest_first: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(admitted messages, turns with sessions) of chats where the voice speaks; a message in several chats counts in the first of them only.
+
+    ``per_chat`` reads that many of a chat's newest messages (0: all). In group chats the turns of others begin with who sends them, by ``names`` (handle, name) or
+    else by handle; those of the voice never do.
+    """
+    rows = messages if groups else messages.join(direct_chats(members).select("chat_id"), "chat_id", "left_semi")
+    if per_chat:
+        latest = Window.partitionBy("chat_id").orderBy(F.desc("ts"), F.desc("id"))
+        rows = rows.where(not_tapback(F.col("kind"))).withColumn("_k", F.row_number().over(latest)).where(F.col("_k") <= per_chat).drop("_k")
+    order = chat_order(messages, newest_first).select("chat_id", "rank")
+    sender = F.when(F.col("is_from_me") == 1, "me").otherwise(F.coalesce(F.col("handle").cast("string"), F.lit("user")))
+    once = curation.first_chat(admitted(rows, person).withColumn("msg_id", F.col("id")), order).drop("rank")
+    once = save(once.withColumns({"sec": F.unix_seconds(F.col("ts").cast("timestamp")), "msg_no": F.col("id"), "sender": sender}), "admitted")
+    found = turns.collapse_turns(once, by=("role", "sender"), by_time=("ts", "id"))
+    if groups and labels:
+        who = group_labels(members, names).select("chat_id", F.col("handle").alias("sender"), "label")
+        content = F.when(F.col("role") == "user", T.label_sender(F.col("content"), F.col("label"))).otherwise(F.col("content"))
+        found = found.join(who, ["chat_id", "sender"], "left").withColumn("content", content).drop("label")
+    found = turns.sessionize(found.drop("sender"))
     voiced = found.where("role = 'assistant'").select("chat_id").distinct()
     return once, save(found.join(voiced, "chat_id", "left_semi"), "turns")
 
 
+def group_labels(members: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(chat_id, handle string, label) of the members of chats with two or more others: the first word of their name, else of their handle."""
+    many = members.where("handle IS NOT NULL").groupBy("chat_id").agg(F.count("*").alias("_n")).where("_n >= 2").select("chat_id")
+    rows = members.where("handle IS NOT NULL").join(many, "chat_id", "left_semi").select("chat_id", F.col("handle").cast("string").alias("handle"))
+    known = _names(names, rows).join(rows.select("handle").distinct(), "handle", "left_semi")
+    return rows.join(known, "handle", "left").select("chat_id", "handle", T.sender_label(F.coalesce("name", "handle")).alias("label"))
+
+
+def _names(names: DataFrame | None, like: DataFrame) -> DataFrame:
+    """(handle string, name) with a name that is not blank."""
+    if names is None:
+        return like.select(F.col("handle").cast("string").alias("handle"), F.lit("").alias("name")).where("1 = 0")
+    return names.select(F.col("handle").cast("string").alias("handle"), T.strip(T.text_or_empty(F.col("name"))).alias("name")).where("name <> ''").dropDuplicates(["handle"])
+
+
+def peers(members: DataFrame, names: DataFrame | None = None, person: str | None = None) -> DataFrame:
+    """(chat_id, peer): whom the voice talks to in a direct chat: the name of the other, or ``this contact``; You, where another person's voice is learnt."""
+    direct = direct_chats(members).select("chat_id", F.col("handle").cast("string").alias("handle"))
+    if person is not None and person != ME:
+        return direct.select("chat_id", F.lit("You").alias("peer"))
+    return direct.join(_names(names, direct), "handle", "left").select("chat_id", peer_label(F.col("name")).alias("peer"))
+
+
 def judged(examples: DataFrame, most_tokens: int = turns.MAX_TOKENS) -> DataFrame:
     """Examples masked and fitted, with the reason why one is refused (null: kept), in this order: media, link, masked, overflow, order of roles."""
     masked = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), T.redact(m["content"]).alias("content")))
@@ -103,15 +145,35 @@ def judged(examples: DataFrame, most_tokens: int = turns.MAX_TOKENS) -> DataFram
     )
 
 
-def collect_examples(messages: DataFrame, members: DataFrame, person: str | None = None, groups: bool = False, ladder: Sequence[int] = (), openers: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(examples, counters): one example for each turn of the voice with a context in its session, and one row that says what became of all turns."""
-    once, found = chat_turns(messages, members, person, groups)
+def collect_examples(
+    messages: DataFrame, members: DataFrame, person: str | None = None, groups: bool = False, ladder: Sequence[int] = (), openers: bool = False,
+    name: str | None = None, names: DataFrame | None = None, labels: bool = True, limit: int = 0, per_chat: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """(examples, counters): one example for each turn of the voice with a context in its session, and one row that says what became of all turns.
+
+    An example begins with a system message that says whose voice it is (``name``) and, in direct chats, whom it talks to (column peer). With ``limit``, chats
+    are taken from the newest on until there are so many examples, and counters speak of these chats only.
+    """
+    once, found = chat_turns(messages, members, person, groups, names, labels, per_chat, newest_first=limit > 0)
     rows = turns.laddered_windows(found, ladder=ladder) if ladder else turns.context_windows(found)
-    alone = turns.openers(found)
+    rows = rows.withColumn("opener", F.lit(0))
+    alone = turns.openers(found, prompt=opener_prompt(name))
     if openers:
-        rows = rows.unionByName(alone.withColumn("query", F.get("messages", F.lit(0))["content"]))
-    marked = save(judged(rows), "judged")
-    kept = marked.where("reason IS NULL").drop("reason")
+        rows = rows.unionByName(alone.withColumns({"query": F.get("messages", F.lit(0))["content"], "opener": F.lit(1)}))
+    if groups:
+        rows = rows.withColumn("peer", F.lit(""))
+    else:
+        rows = rows.join(peers(members, names, person), "chat_id", "left").withColumn("peer", F.coalesce("peer", F.lit("")))
+    system = F.struct(F.lit("system").alias("role"), system_prompt(F.lit(name).cast("string"), F.col("peer")).alias("content"))
+    marked = save(judged(rows.withColumn("messages", F.concat(F.array(system), "messages"))), "judged")
+    kept = marked.where("reason IS NULL")
+    if limit:
+        used = save(_first_chats(kept, found, chat_order(messages, True), limit), "used-chats")
+        among = lambda df: df.join(used.select("chat_id"), "chat_id", "left_semi")
+        once, found, alone, marked = (among(df) for df in (once, found, alone, marked))
+        place = Window.partitionBy("chat_id").orderBy("session_no", "opener", "turn_no", F.desc(F.size("messages")))
+        kept = kept.join(used, "chat_id").withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= F.col("_room")).drop("_k", "_room")
+    kept = kept.drop("reason", "opener")
     sent = found.where("role = 'assistant'")
     voiced = once.join(found.select("chat_id").distinct(), "chat_id", "left_semi")
     skipped = [F.count_if(F.col("reason") == r).alias(f"skipped_{r}") for r in ("media", "link", "masked", "overflow", "order")]
@@ -119,7 +181,8 @@ def collect_examples(messages: DataFrame, members: DataFrame, person: str | None
         found.agg(F.countDistinct("chat_id").alias("chats"), F.countDistinct("chat_id", "session_no").alias("sessions"), F.count_if(F.col("role") == "assistant").alias("sent_turns")),
         voiced.agg(F.count_if((F.col("role") == "assistant") & (F.col("text") != T.MEDIA_MARK)).alias("sent_texts")),
         sent.join(alone.select("chat_id", "turn_no"), ["chat_id", "turn_no"], "left_semi").agg(F.count("*").alias("opener_turns")),
-        marked.agg(*skipped, F.count_if(F.col("reason").isNull()).alias("examples")),
+        marked.agg(*skipped, F.count_if(F.col("reason").isNull()).alias("contextual_turns")),
+        kept.agg(F.count("*").alias("examples")),
         members.groupBy("chat_id").agg(F.count("*").alias("n")).agg(F.count_if((F.col("n") > 1) & F.lit(not groups)).alias("skipped_groups")),
     ]
     counters = parts[0]
@@ -128,15 +191,24 @@ def collect_examples(messages: DataFrame, members: DataFrame, person: str | None
     return kept, counters
 
 
+def _first_chats(kept: DataFrame, found: DataFrame, order: DataFrame, limit: int) -> DataFrame:
+    """(chat_id, _room): chats by rank until they hold ``limit`` examples, and how many of the last one's are wanted."""
+    sizes = kept.groupBy("chat_id").agg(F.count("*").alias("n"))
+    chats = found.select("chat_id").distinct().join(sizes, "chat_id", "left").join(order.select("chat_id", "rank"), "chat_id").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = running(sliced(chats, [], ["rank", "chat_id"]), [], ["rank", "chat_id"], F.col("n"), "upto")
+    return rows.withColumn("_room", limit - (F.col("upto") - F.col("n"))).where(F.col("_room") > 0).select("chat_id", "_room")
+
+
 def export_dataset(
     messages: DataFrame, members: DataFrame, path: str | None = None, person: str | None = None, split: str = "chrono", floor: float = curation.FLOOR,
     low_signal_share: float = 1.0, shots: bool = True, ladder: Sequence[int] = (), openers: bool = False, groups: bool = False,
-) -> tuple[DataFrame, DataFrame]:
+    name: str | None = None, names: DataFrame | None = None, labels: bool = True, limit: int = 0, per_chat: int = 0,
+) -> tuple[DataFrame, DataFrame]:
     """(examples with split, report of one row). Train rows alone are capped, thinned by age, relieved of acknowledgements and given shots.
 
     With ``path`` the splits are written as JSON lines, and the report beside them.
     """
-    kept, counters = collect_examples(messages, members, person, groups, ladder, openers)
+    kept, counters = collect_examples(messages, members, person, groups, ladder, openers, name, names, labels, limit, per_chat)
     kept = save(kept.withColumn("qid", F.xxhash64("chat_id", "turn_no", F.to_json("messages"))), "examples")
     parted = save(curation.split_chrono(kept, ["chat_id", "session_no"]) if split == "chrono" else curation.split_stratified(kept).drop("chunk"), "parted")
     train = parted.where("split = 'train'")
@@ -146,7 +218,7 @@ def export_dataset(
     rich = save(curation.cap_low_signal_share(recent, low_signal_share, order=("sec", "qid")), "rich")
     final = rich
     if shots:
-        pairs = rich.select(F.col("qid").alias("id"), "query", "reply", F.lit("").alias("peer"), "sec")
+        pairs = rich.select(F.col("qid").alias("id"), "query", "reply", "peer", "sec")
         index = save(retrieval.index_rows(pairs), "shots")
         found = retrieval.retrieve(index.select(F.col("id").alias("qid"), "query", "peer", F.array("reply").alias("exclude_replies")), index)
         final = save(retrieval.with_shots(rich, found, index), "with-shots")

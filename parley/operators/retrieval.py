@@ -1,14 +1,28 @@
-"""Retrieval of similar incoming messages and their replies by token overlap."""
+"""Retrieval of similar incoming messages and their replies by token overlap.
+
+A score is the cosine of token sets times a factor between 0.5 and 1.2 for age and peer. Rows are listed by token and size, in
+order of their factor, and queries read only the heads of the lists that their k-th best score so far does not
+exclude. Lists grow from round to round for the queries that are not settled, so that a token which every message
+holds costs a few rows of its list and not all pairs of messages. Results are exact, ties included.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators.curation import recency_weight
+from parley.operators.curation import ranked_rows, recency_weight
+from parley.operators.turns import CONTEXT_TURNS, MAX_TOKENS, body_part, few_shot, fit_messages, is_alternating, system_part
+from parley.plans.scratch import save
 
 K, PEER_BOOST = 2, 1.2
+#: Rows of a list that the first round reads (the second eight times as many), and how much further each round goes.
+HEAD, GROWTH = 8, 16
+#: Rarest tokens of a query that give its first scores.
+SEEDS = 2
 
 
 def index_rows(pairs: DataFrame) -> DataFrame:
@@ -17,34 +31,120 @@ def index_rows(pairs: DataFrame) -> DataFrame:
     return rows.where("query <> '' AND reply <> ''").withColumn("toks", F.array_distinct(T.word_tokens(F.col("query"))))
 
 
+def _score(common: Column, qn: Column, rn: Column, factor: Column, boost: Column) -> Column:
+    return common / (F.sqrt(qn) * F.sqrt(rn)) * factor * boost
+
+
+class _Lists:
+    """Index rows by token and size, best factor first; a text brings only as many rows as could be among a query's best."""
+
+    def __init__(self, index: DataFrame, k: int, barred: int) -> None:
+        newest = index.agg(F.max("sec")).first()[0]
+        factor = 0.5 + 0.5 * recency_weight((F.lit(newest) - F.col("sec")) / 86400.0)
+        rows = ranked_rows(index.select("id", "query", "reply", "peer", "sec", "toks"), ["query", "id"])  # rank: what decides ties
+        self.rows = save(rows.select("id", F.col("query").alias("iq"), F.col("reply").alias("ir"), F.col("peer").alias("ip"), "toks", F.size("toks").alias("rn"), factor.alias("f"), "rank"), "retrieval-rows")
+        best = [F.desc("f"), F.col("rank")]
+        first = lambda df, n, *keys: df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("_k") <= n).drop("_k")
+        # rows of one text score alike but for factor and peer, and are left out alike but for their replies
+        self.of_peer = first(first(self.rows, k, "iq", "ir", "ip"), k * (barred + 1), "iq", "ip")
+        self.any = first(first(self.rows, k, "iq", "ir"), k * (barred + 1), "iq")
+        post = lambda df: save(df.select("id", F.explode("toks").alias("tok"), "rn", "ip", "f", "rank"), "retrieval-lists")
+        self.lists = {"any": (post(self.any), ["tok", "rn"])}
+        if not self.rows.where("ip <> ''").isEmpty():
+            self.lists["peer"] = (post(self.of_peer.where("ip <> ''")), ["tok", "rn", "ip"])
+
+    def heads(self, kind: str, n: int) -> DataFrame:
+        """The first ``n + 1`` rows of each list; the last one (``tail``) bounds what is not read."""
+        rows, keys = self.lists[kind]
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("f"), "rank"))
+        return rows.withColumn("_k", place).where(F.col("_k") <= n + 1).withColumn("tail", F.col("_k") > n).drop("_k")
+
+
+def _round(queries: DataFrame, tokens: DataFrame, lists: _Lists, n: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the heads of ``n`` rows give: the best rows (qid, score, rank, id, place), the queries that rows not read could still change, and the k-th scores.
+
+    ``tokens`` say what score a row must beat (kth, kth_rank), null if there is none yet.
+    """
+    parts = []
+    boost = F.when((F.col("qp") != "") & (F.col("qp") == F.col("ip")), PEER_BOOST).otherwise(1.0)
+    for kind in lists.lists:
+        met = tokens.join(lists.heads(kind, n), "tok")
+        if kind == "peer":
+            met = met.where(F.col("qp") == F.col("ip"))
+        # a row counts through the rarest token it shares: it has that one and those after it at most
+        most = _score(F.least("left", "rn"), F.col("qn"), F.col("rn"), F.col("f"), F.when(F.col("tail"), 1.0).otherwise(boost) if kind == "any" else boost)
+        hopeful = F.col("kth").isNull() | (most > F.col("kth")) | ((most == F.col("kth")) & (F.col("rank") <= F.col("kth_rank")))
+        parts.append(met.where(hopeful).select("qid", "id", "tail", most.alias("most"), F.col("rank").alias("at")))
+    met = save(functools.reduce(DataFrame.unionByName, parts), "retrieval-met")
+    pairs = met.where(~F.col("tail")).select("qid", "id").distinct()
+    q = queries.select("qid", "query", "qp", "qn", "barred", F.col("toks").alias("qtoks"))
+    rows = pairs.join(q, "qid").join(lists.rows, "id").where((F.col("iq") != F.col("query")) & ~F.array_contains("barred", F.col("ir")))
+    common = F.size(F.array_intersect("qtoks", "toks"))
+    scored = rows.select("qid", _score(common, F.col("qn"), F.col("rn"), F.col("f"), boost).alias("score"), "rank", "id")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "rank")
+    best = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    best = save(best, "retrieval-best")
+    last = best.where(F.col("place") == k).select("qid", F.col("score").alias("last"), F.col("rank").alias("last_rank"))
+    beaten = F.col("last").isNull() | (F.col("most") > F.col("last")) | ((F.col("most") == F.col("last")) & (F.col("at") < F.col("last_rank")))
+    open_ = met.where("tail").join(last, "qid", "left").where(beaten).select("qid").distinct()
+    return best, save(open_, "retrieval-open"), last
+
+
 def retrieve(queries: DataFrame, index: DataFrame, k: int = K) -> DataFrame:
     """(qid, id, score, place): the k most similar index rows of each query (columns qid, query, peer, and exclude_replies if there are any).
 
-    Score: cosine of token sets, times 0.5 to 1 for recency, times a boost for the same peer. The query itself
-    does not count, nor do rows with a reply in the query's array exclude_replies. The join is on tokens, so pairs without a common token never meet.
+    Score: cosine of token sets, times 0.5 to 1 for recency, times a boost for the same peer; ties go by query text, then id. The query itself
+    does not count, nor do rows with a reply in the query's array exclude_replies. Pairs without a common token score nothing. Queries that ask the same are
+    searched once.
     """
-    q = queries.withColumn("toks", F.array_distinct(T.word_tokens(F.col("query"))))
-    left = q.select("qid", F.size("toks").alias("qn"), F.explode("toks").alias("tok"))
-    right = index.select("id", F.size("toks").alias("rn"), F.explode("toks").alias("tok"))
-    common = left.join(right, "tok").groupBy("qid", "id", "qn", "rn").agg(F.count("*").alias("inter"))
-    newest = index.agg(F.max("sec").alias("newest"))
-    rows = common.join(index.select("id", F.col("query").alias("iq"), F.col("peer").alias("ip"), "sec"), "id").join(q.select("qid", "query", F.col("peer").alias("qp")), "qid").crossJoin(F.broadcast(newest))
-    rows = rows.where(F.col("iq") != T.strip(F.col("query")))
-    if "exclude_replies" in queries.columns:
-        barred = F.transform(F.coalesce("exclude_replies", F.array().cast("array<string>")), lambda r: T.strip(T.text_or_empty(r)))
-        rows = rows.join(q.select("qid", barred.alias("barred")), "qid").join(index.select("id", F.col("reply").alias("ir")), "id").where(~F.array_contains("barred", F.col("ir")))
-    recency = recency_weight((F.col("newest") - F.col("sec")) / 86400.0)
-    boost = F.when((F.col("qp") != "") & (F.col("qp") == F.col("ip")), PEER_BOOST).otherwise(1.0)
-    score = F.col("inter") / (F.sqrt("qn") * F.sqrt("rn")) * (0.5 + 0.5 * recency) * boost
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "iq", "id")
-    return rows.withColumn("score", score).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("qid", "id", "score", "place")
+    barred = F.coalesce("exclude_replies", F.array().cast("array<string>")) if "exclude_replies" in queries.columns else F.array().cast("array<string>")
+    asked = queries.select(
+        "qid", F.array_distinct(T.word_tokens(F.col("query"))).alias("toks"), T.strip(F.col("query")).alias("query"), T.strip(T.text_or_empty(F.col("peer"))).alias("qp"),
+        F.array_sort(F.array_distinct(F.transform(barred, lambda r: T.strip(T.text_or_empty(r))))).alias("barred"),
+    )
+    asked = save(asked.withColumns({"qn": F.size("toks"), "kind": F.sha2(F.to_json(F.struct("query", "qp", "barred", "toks")), 256)}), "retrieval-asked")
+    unique = save(asked.where("qn > 0").dropDuplicates(["kind"]).withColumnRenamed("qid", "_qid").withColumn("qid", F.monotonically_increasing_id()).drop("_qid"), "retrieval-queries")
+    most_barred = unique.agg(F.max(F.size("barred"))).first()[0] or 0
+    empty = queries.sparkSession.createDataFrame([], "qid long, score double, rank long, id long, place int")
+    lists = _Lists(index, k, most_barred)
+
+    uses = lists.lists["any"][0].groupBy("tok").agg(F.count("*").alias("df"))
+    known = unique.select("qid", "qp", "qn", F.explode("toks").alias("tok")).join(uses, "tok")
+    ordered = known.groupBy("qid", "qp", "qn").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ts"))
+    tokens = ordered.select("qid", "qp", "qn", F.posexplode("ts").alias("j", "t"), F.size("ts").alias("known")).select("qid", "qp", "qn", "j", F.col("t.tok").alias("tok"), (F.col("known") - F.col("j")).alias("left"))
+    tokens = save(tokens, "retrieval-tokens")
 
+    none = {"kth": F.lit(None).cast("double"), "kth_rank": F.lit(None).cast("long")}
+    _, _, last = _round(unique, tokens.where(F.col("j") < SEEDS).withColumns(none), lists, HEAD, k)
+    done, todo, n = [empty], unique, HEAD * 8
+    while True:
+        bound = last.select("qid", F.col("last").alias("kth"), F.col("last_rank").alias("kth_rank"))
+        best, left, last = _round(todo, tokens.join(todo.select("qid"), "qid", "left_semi").join(bound, "qid", "left"), lists, n, k)
+        if left.isEmpty():
+            done.append(best.select(*empty.columns))
+            break
+        done.append(best.join(left, "qid", "left_anti").select(*empty.columns))
+        todo, n = save(todo.join(left, "qid", "left_semi"), "retrieval-todo"), n * GROWTH
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    found = found.withColumnRenamed("qid", "_qid").join(unique.select(F.col("qid").alias("_qid"), "kind"), "_qid")
+    return asked.select("qid", "kind").join(found, "kind").select("qid", "id", "score", "place")
 
-def with_shots(examples: DataFrame, found: DataFrame, index: DataFrame, most: int = 768) -> DataFrame:
-    """Put retrieved pairs before each example's messages where the whole still fits (column qid joins)."""
-    from parley.operators.turns import few_shot, rendered_length
 
+def with_shots(examples: DataFrame, found: DataFrame, index: DataFrame, most: int = MAX_TOKENS, turns: int = CONTEXT_TURNS) -> DataFrame:
+    """Put retrieved pairs before each example's context (column qid joins), behind its system message.
+
+    Shots and context share ``turns``, so the oldest context goes. Where the whole does not fit with the first shot in it, the example stays as it is.
+    """
     pairs = found.join(index.select("id", "query", "reply"), "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "query", "reply"))).alias("pairs"))
     rows = examples.join(pairs, "qid", "left")
-    longer = F.concat(few_shot(F.col("pairs")), F.col("messages"))
-    return rows.withColumn("messages", F.when(F.col("pairs").isNotNull() & (rendered_length(longer) <= most), longer).otherwise(F.col("messages"))).drop("pairs")
+    shots, body = few_shot(F.col("pairs")), body_part(F.col("messages"))
+    room = F.greatest(F.lit(2), turns - F.size(shots))
+    recent = F.slice(body, -F.least(room, F.size(body)), F.least(room, F.size(body)))
+    begins = F.filter(F.sequence(F.lit(1), F.size(recent)), lambda i: F.try_element_at(recent, i)["role"] == "user")
+    recent = F.when(F.size(begins) > 0, F.slice(recent, F.try_element_at(begins, F.lit(1)), F.size(recent)))
+    rows = rows.withColumn("_longer", fit_messages(F.concat(system_part(F.col("messages")), shots, recent), most))
+    told = F.exists("_longer", lambda m: m["content"] == F.try_element_at("pairs", F.lit(1))["query"])
+    good = F.coalesce(F.col("pairs").isNotNull() & told & is_alternating(F.col("_longer")), F.lit(False))
+    return rows.withColumn("messages", F.when(good, F.col("_longer")).otherwise(F.col("messages"))).drop("pairs", "_longer")

@@ -15,13 +15,13 @@ TURN_GAP_SECONDS, SESSION_GAP_SECONDS, CONTEXT_TURNS, MAX_TOKENS = 30 * 60, 12 *
 SLICE_TURNS = 10_000
 
 
-def collapse_turns(bubbles: DataFrame, gap_seconds: int = TURN_GAP_SECONDS, by: Sequence[str] = ("role",)) -> DataFrame:
-    """(chat_id, turn_no, role, content, sec, msg_no): consecutive bubbles of one sender, at most the gap apart, as one turn.
+def collapse_turns(bubbles: DataFrame, gap_seconds: int = TURN_GAP_SECONDS, by: Sequence[str] = ("role",), by_time: Sequence[str] = ("msg_no",)) -> DataFrame:
+    """(chat_id, turn_no, role, content, sec, msg_no, and what else ``by`` names): consecutive bubbles of one sender, at most the gap apart, as one turn.
 
-    Blank bubbles are skipped. A missing time does not part bubbles. A turn has the
+    Bubbles follow one another in the order of ``by_time``. Blank ones are skipped. A missing time does not part bubbles. A turn has the
     time and number of its last bubble.
     """
-    chat, order = ["chat_id"], ["msg_no"]
+    chat, order = ["chat_id"], list(by_time)
     rows = sliced(bubbles.where(T.strip(T.text_or_empty(F.col("text"))) != ""), chat, order)
     rows = previous(rows, chat, order, list(dict.fromkeys(["msg_no", "sec", *by])))
     same = F.lit(True)
@@ -29,8 +29,10 @@ def collapse_turns(bubbles: DataFrame, gap_seconds: int = TURN_GAP_SECONDS, by:
         same = same & F.col(f"prev_{c}").eqNullSafe(F.col(c))
     near = F.coalesce(F.col("sec") - F.col("prev_sec") <= gap_seconds, F.lit(True))
     rows = running(rows, chat, order, (F.col("prev_msg_no").isNull() | ~(same & near)).cast("int"), "turn_no")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("msg_no", F.col("text").alias("t")))), lambda x: x["t"])
-    return rows.groupBy("chat_id", "turn_no").agg(F.first("role").alias("role"), F.array_join(parts, T.BUBBLE).alias("content"), F.max_by("sec", "msg_no").alias("sec"), F.max("msg_no").alias("msg_no"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("text").alias("t")))), lambda x: x["t"])
+    last = lambda c: F.max_by(c, F.struct(*order)).alias(c)
+    more = [F.first(c).alias(c) for c in by if c != "role"]
+    return rows.groupBy("chat_id", "turn_no").agg(F.first("role").alias("role"), F.array_join(parts, T.BUBBLE).alias("content"), last("sec"), last("msg_no"), *more)
 
 
 def sessionize(turns: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
@@ -63,12 +65,23 @@ def merge_roles(messages: Column) -> Column:
 
 
 def is_alternating(messages: Column) -> Column:
-    """user, assistant, user, ... and an assistant at the end."""
+    """user, assistant, user, ... and an assistant at the end; system messages do not count."""
+    messages = F.filter(messages, lambda m: m["role"] != "system")
     n = F.size(messages)
     steps = F.when(n > 1, F.forall(F.sequence(F.lit(1), n - 1), lambda i: F.get(messages, i)["role"] != F.get(messages, i - 1)["role"])).otherwise(True)
     return (n > 0) & (F.get(messages, F.lit(0))["role"] == "user") & (F.try_element_at(messages, F.lit(-1))["role"] == "assistant") & steps
 
 
+def system_part(messages: Column) -> Column:
+    """The system message that a chat begins with, as an array of one or none."""
+    return F.filter(F.slice(messages, 1, 1), lambda m: m["role"] == "system")
+
+
+def body_part(messages: Column) -> Column:
+    n = F.size(system_part(messages))
+    return F.slice(messages, n + 1, F.size(messages))
+
+
 def _windows(sessions: DataFrame, turns: int) -> DataFrame:
     """Add window, a turn and the ``turns - 1`` before it in its session.
 
@@ -120,10 +133,12 @@ def rendered_length(messages: Column) -> Column:
 
 
 def fit_messages(messages: Column, most: int = MAX_TOKENS) -> Column:
-    """Drop the oldest context until the chat fits and begins with a user; null if even the last exchange does not."""
-    n = F.size(messages)
-    starts = F.when(n >= 2, F.filter(F.sequence(F.lit(1), n - 1), lambda i: (F.try_element_at(messages, i)["role"] == "user") & (rendered_length(F.slice(messages, i, n - i + 1)) <= most)))
-    return F.when(F.size(starts) > 0, F.slice(messages, F.try_element_at(starts, F.lit(1)), n - F.try_element_at(starts, F.lit(1)) + 1))
+    """Drop the oldest context, but not a system message, until the chat fits and begins with a user; null if even the last exchange does not."""
+    system, body = system_part(messages), body_part(messages)
+    n = F.size(body)
+    rest = lambda i: F.slice(body, i, n - i + 1)
+    starts = F.when(n >= 2, F.filter(F.sequence(F.lit(1), n - 1), lambda i: (F.try_element_at(body, i)["role"] == "user") & (rendered_length(F.concat(system, rest(i))) <= most)))
+    return F.when(F.size(starts) > 0, F.concat(system, rest(F.try_element_at(starts, F.lit(1)))))
 
 
 def last_of(messages: Column, role: str) -> Column:

@@ -1,13 +1,16 @@
 """Hot chats, sequential deals, and sources: the same rows as the plain forms, without one task for all."""
 
+import math
 import random
+import re
 import sqlite3
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parley.operators import curation, ordered, turns
+from parley.operators import curation, ordered, retrieval, turns
+from parley.plans.scratch import save
 from parley.sources import contacts, sqlite
 
 
@@ -238,3 +241,58 @@ def test_many_address_books(spark, tmp_path):
     got = {r.handle_key: r.name for r in contacts.directory(cards, addresses).collect()}
     assert got == {"phone:5550100001": "Ada L", "email:ada@example.com": "Ada L", "phone:5550100002": "Bo", "phone:5550100003": "Zed", "phone:5550100004": "Di"}
     assert sorted(r.file.rsplit("/", 1)[1] for r in errors.collect()) == ["3.db", "4.db"]
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------------
+
+
+def plain_retrieval(queries, index, k=2):
+    """All pairs: (qid, place, id, score)."""
+    tokens = lambda t: set(re.findall(r"[a-z0-9']+", t.lower()))
+    newest, out = max(r[4] for r in index), []
+    for qid, text, peer, barred in queries:
+        scored = []
+        for i, query, reply, other, sec in index:
+            if query == text.strip() or reply in [b.strip() for b in barred]:
+                continue
+            q, r = tokens(text), tokens(query)
+            if q & r:
+                f = 0.5 + 0.5 * 0.5 ** ((newest - sec) / 86400.0 / 365.0)
+                scored.append((-(len(q & r) / (math.sqrt(len(q)) * math.sqrt(len(r))) * f * (1.2 if peer and peer == other else 1.0)), query, i))
+        out += [(qid, place, i, round(-s, 9)) for place, (s, _, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def archive(seed, n=260):
+    """Natural texts, one template with many fillings, one text that is a third of all, few or equal times."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(n):
+        text = rng.choice(["ok", f"your code is {rng.randrange(30)}", " ".join(rng.choice(words[: rng.choice([5, 60])]) for _ in range(rng.randint(1, 9)))])
+        rows.append((i, text, rng.choice(["yes", "no", f"r{i}"]), rng.choice(["", "a", "b"]), rng.choice([0, 10**7, rng.randrange(10**8)])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_retrieval_equals_all_pairs(spark, seed):
+    rng, rows = random.Random(seed), archive(seed)
+    queries = [(k, r[1], rng.choice(["", "a", r[3]]), rng.choice([[], [r[2]], ["yes", "no"]])) for k, r in enumerate(rows)]
+    queries += [(1000, "nothing alike zz", "a", []), (1001, " OK ", "b", []), (1002, "!?", "", [])]
+    index = retrieval.index_rows(spark.createDataFrame(rows, "id long, query string, reply string, peer string, sec long"))
+    asked = spark.createDataFrame(queries, "qid long, query string, peer string, exclude_replies array<string>")
+    got = sorted((r.qid, r.place, r.id, round(r.score, 9)) for r in retrieval.retrieve(asked, index).collect())
+    assert got == plain_retrieval(queries, rows)
+
+
+def test_a_template_brings_few_candidates(spark, monkeypatch):
+    """Fillings of one template all share three tokens: rows that meet grow with the messages, not with their pairs."""
+    sizes, met = [], []
+    monkeypatch.setattr(retrieval, "save", lambda df, name: met.append(save(df, name)) or met[-1] if name == "retrieval-met" else save(df, name))
+    for n in (200, 2000):
+        met.clear()
+        rows = [(k, f"your code is {k * 7919 % n}", f"r{k}", "", 10**6 + k) for k in range(n)]
+        index = retrieval.index_rows(spark.createDataFrame(rows, "id long, query string, reply string, peer string, sec long"))
+        assert retrieval.retrieve(index.selectExpr("id AS qid", "query", "peer"), index).count() == 2 * n
+        sizes.append(sum(m.count() for m in met))
+    assert sizes[1] < 15 * sizes[0]
