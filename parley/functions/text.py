@@ -21,6 +21,15 @@ ACKS = (
 PHRASE_EDGES = "to of a an the and is it its we as in on at be can will would could or if that this but not what when how did was were have has had me".split()
 PHRASE_LIGHT = "get got go going come make take need want".split()
 SHORT_FORMS = "im ive id ill youre thats dont doesnt didnt cant wont theyre weve youve gonna wanna gotta ur would could also us".split()
+# English function words that word statistics leave out, besides the short forms.
+FUNCTION_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y "
+    "ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
+STOP_WORDS = tuple(dict.fromkeys([*FUNCTION_WORDS, *SHORT_FORMS]))
 # Patterns of text that is no reply, and of what is masked. Order matters for masking.
 TAPBACK_QUOTE = (
     r"(?isU)^(Loved|Liked|Disliked|Laughed at|Emphasized|Questioned|Reacted(?: with \S+)?|"
@@ -39,6 +48,11 @@ MASKS = (
         r"(?:St|Street|Ave|Avenue|Rd|Road|Blvd|Boulevard|Ln|Lane|Dr|Drive|Ct|Court|Way|Hwy|Highway)\.?\b",
     ),
 )
+# Marks of a model's scaffold, links alone, codes alone, what word statistics take for links, mails and words, and emoji.
+SCAFFOLD = r"(?s)<think>.*?</think>|</?think>|<tool_call>.*?</tool_call>|</?tool_call>|<\|im_start\|>|<\|im_end\|>"
+LINK_ONLY, CODE_ONLY = r"(?iU)^https?://\S+$", r"^\d{4,8}$"
+VOICE_LINK, VOICE_MAIL, VOICE_WORD = r"https?://\S+|www\.\S+", r"\b[\w.+-]+@[\w.-]+\.\w+\b", r"[a-z][a-z']+"
+EMOJI = r"[\x{1f300}-\x{1faff}\x{2700}-\x{27bf}\x{1f1e0}-\x{1f1ff}]+"
 _PLACEHOLDER = r"\[(?:phone|email|code|password|card|address)\]"
 
 
@@ -110,7 +124,7 @@ def clip_bubbles(c: Column, most: int = MAX_BUBBLES) -> Column:
 
 def strip_scaffold(c: Column) -> Column:
     """Without template tokens and what thinking or tool tags enclose."""
-    return strip(F.regexp_replace(text_or_empty(c), r"(?s)<think>.*?</think>|</?think>|<tool_call>.*?</tool_call>|</?tool_call>|<\|im_start\|>|<\|im_end\|>", ""))
+    return strip(F.regexp_replace(text_or_empty(c), SCAFFOLD, ""))
 
 
 def is_artifact(c: Column) -> Column:
@@ -129,7 +143,7 @@ def _flat(c: Column) -> Column:
 
 
 def is_link_only(c: Column) -> Column:
-    return _flat(c).rlike(r"(?iU)^https?://\S+$")
+    return _flat(c).rlike(LINK_ONLY)
 
 
 def is_low_signal(c: Column) -> Column:
@@ -151,7 +165,7 @@ def redact(c: Column) -> Column:
         out = part
         for mask, pattern in MASKS:
             out = F.regexp_replace(out, pattern, mask)
-        return F.when(strip(part).rlike(r"^\d{4,8}$"), F.lit("[code]")).otherwise(out)
+        return F.when(strip(part).rlike(CODE_ONLY), F.lit("[code]")).otherwise(out)
 
     return F.array_join(F.transform(F.split(c, BUBBLE), one), BUBBLE)
 
@@ -167,9 +181,9 @@ def is_redaction_only(c: Column) -> Column:
 
 def voice_tokens(c: Column) -> Column:
     """Lower-case words of a to z and apostrophes, two characters at least, then without apostrophes; links and addresses do not count."""
-    t = F.regexp_replace(F.translate(F.lower(text_or_empty(c)), "’", "'"), r"https?://\S+|www\.\S+", " ")
-    t = F.regexp_replace(t, r"(?U)\b[\w.+-]+@[\w.-]+\.\w+\b", " ")
-    words = F.transform(F.regexp_extract_all(t, F.lit(r"[a-z][a-z']+"), F.lit(0)), lambda w: F.replace(w, F.lit("'"), F.lit("")))
+    t = F.regexp_replace(F.translate(F.lower(text_or_empty(c)), "’", "'"), VOICE_LINK, " ")
+    t = F.regexp_replace(t, f"(?U){VOICE_MAIL}", " ")
+    words = F.transform(F.regexp_extract_all(t, F.lit(VOICE_WORD), F.lit(0)), lambda w: F.replace(w, F.lit("'"), F.lit("")))
     return F.filter(words, lambda w: w != "")
 
 
@@ -183,7 +197,7 @@ def name_tokens(c: Column) -> Column:
 
 def emoji_runs(c: Column) -> Column:
     """Runs of emoji; a run counts once."""
-    return F.regexp_count(text_or_empty(c), F.lit(r"[\x{1f300}-\x{1faff}\x{2700}-\x{27bf}\x{1f1e0}-\x{1f1ff}]+"))
+    return F.regexp_count(text_or_empty(c), F.lit(EMOJI))
 
 
 def copied_from_prompt(reply: Column, prompt: Column) -> Column:

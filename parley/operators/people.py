@@ -37,6 +37,13 @@ def contact_stats(messages: DataFrame, handle: str = "handle", as_of: datetime.d
     return found.withColumns({"span_days": days(last, first), "gap_days": days(now, last)}).drop("as_of")
 
 
+def contact_cards(stats: DataFrame, members: DataFrame, sizes: DataFrame, handle: str = "handle") -> DataFrame:
+    """``contact_stats`` with chat_count, the chats that a handle is in (1 where none is known), and chat_id, the one to open (``best_chats``)."""
+    chats = members.groupBy("handle").agg(F.countDistinct("chat_id").alias("chat_count")).withColumnRenamed("handle", handle)
+    best = best_chats(members, sizes).select(F.col("handle").alias(handle), "chat_id")
+    return stats.join(chats, handle, "left").join(best, handle, "left").withColumn("chat_count", F.coalesce("chat_count", F.lit(1)))
+
+
 def best_chats(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """(handle, chat_id, is_dm, n): the chat to open for a handle: a one-to-one chat if there is one, then the largest, then the smallest id."""
     people = members.groupBy("chat_id").agg(F.count("*").alias("members"))

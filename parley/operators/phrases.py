@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,38 +35,45 @@ BROADCAST_HASHES = 1_000_000
 def phrase_counts(messages: DataFrame, text: str = "body", low: int = 2, high: int = MAX_N, min_count: int = 1) -> DataFrame:
     """(phrase, n): n-grams that neither start nor end with an edge word and have no one-letter word.
 
-    With a ``min_count`` phrases are counted by a 64-bit hash first, and only those whose hash is frequent are spelled out and
-    counted as text, which makes the result exact.
+    With a ``min_count`` they are counted length by length: a phrase can only be frequent if both of its halves that are one word shorter are, edge words
+    or not. So of each length only the places are kept whose two halves are in the list of frequent ones, by 64-bit hashes; what is frequent is counted as text, which
+    makes the result exact.
     """
     words = messages.select(voice_tokens(F.col(text)).alias("toks"))  # a column of its own: it is used many times
     if min_count > 1:
         words = save(words, "phrase-words")
-    # a row for each word with those that follow it, then a row for each phrase that begins there
+    # a row for each word with those that follow it
     shifted = [F.slice("toks", k, F.greatest(F.size("toks") - k + 1, F.lit(0))) for k in range(1, high + 1)]
-    rows = words.where(F.size("toks") >= low).select(F.inline(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted, 1)))))
+    rows = words.where(F.size("toks") >= min(low, 2)).select(F.inline(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted, 1)))))
     w = [F.col(c) for c in rows.columns]
-    rows = rows.where(~w[0].isin(*PHRASE_EDGES) & (F.length(w[0]) >= 2))
-
-    def each(made: Callable[[int], Column]) -> Column:
-        found, inner = [], F.lit(True)
-        for k in range(2, high + 1):
-            inner = inner & w[k - 1].isNotNull() & (F.length(w[k - 1]) >= 2)
-            if k >= low:
-                found.append(F.when(inner & ~w[k - 1].isin(*PHRASE_EDGES), made(k)))
-        return F.array_compact(F.array(*found))
-
+    long = lambda c: c.isNotNull() & (F.length(c) >= 2)
+    edges = lambda k: w[0].isin(*PHRASE_EDGES) | w[k - 1].isin(*PHRASE_EDGES)
     spelled = lambda k: F.concat_ws(" ", *w[:k])
     if min_count <= 1:
-        return rows.select(F.explode(each(spelled)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
-    hashed = lambda k: F.xxhash64(*w[:k])
-    often = rows.select(F.explode(each(hashed)).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    often = save(often.select("h"), "phrase-hashes")
-    if often.count() <= BROADCAST_HASHES:
-        often = F.broadcast(often)
-    of_length = rows.select(*w, F.explode(each(lambda k: F.struct(hashed(k).alias("h"), F.lit(k).alias("k")))).alias("c")).select(*w, "c.h", "c.k")
-    phrase = F.concat_ws(" ", F.slice(F.array(*w), F.lit(1), F.col("k")))
-    counts = of_length.join(often, "h", "left_semi").select(phrase.alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") >= min_count)
+        found, inner = [], long(w[0])
+        for k in range(2, high + 1):
+            inner = inner & long(w[k - 1])
+            if k >= low:
+                found.append(F.when(inner & ~edges(k), spelled(k)))
+        return rows.select(F.explode(F.array_compact(F.array(*found))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    alive, often, out = rows.where(long(w[0])), None, None
+    for k in range(2, high + 1):
+        alive = alive.where(long(w[k - 1]))
+        if often is not None:
+            for half in (w[: k - 1], w[1:k]):
+                alive = alive.join(often, F.xxhash64(*half) == F.col("h"), "left_semi")
+        alive = save(alive, "phrase-places")
+        often = save(alive.groupBy(F.xxhash64(*w[:k]).alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("h"), "phrase-hashes")
+        many = often.count()
+        if many <= BROADCAST_HASHES:
+            often = F.broadcast(often)
+        if k >= low:
+            each = alive.where(~edges(k)).join(often, F.xxhash64(*w[:k]) == F.col("h"), "left_semi").groupBy(spelled(k).alias("phrase")).agg(F.count("*").alias("n"))
+            each = each.where(F.col("n") >= min_count)
+            out = each if out is None else out.unionByName(each)
+        if not many:
+            break
+    return out if out is not None else rows.where("1 = 0").select(spelled(2).alias("phrase"), F.lit(0).cast("long").alias("n"))
 
 
 def frequent_phrases(counts: DataFrame, stop: Sequence[str] = (), limit: int = TOP_PHRASES, min_count: int = MIN_COUNT) -> DataFrame:

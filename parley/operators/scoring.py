@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +103,35 @@ def modal_share(rows: DataFrame, text: str = "pred") -> DataFrame:
     return each.agg(F.min_by(text, F.struct(-F.col("n"), text)).alias("text"), (F.max("n") / F.sum("n")).alias("share"))
 
 
+def recipient_summary(rows: DataFrame, value: str = "score", text: str = "pred", peer: str = "peer", least: int = 2) -> DataFrame:
+    """One row: peers, peer_score_range between the best and the worst mean of peers with ``least`` rows, and peer_mode_collapse, the share of peers whose most
+    common reply is that of all rows.
+
+    Null where fewer than two peers say something. Rows without a peer count for the most common reply only; ties go to the smaller text.
+    """
+    named = rows.where(T.text_or_empty(F.col(peer).cast("string")) != "")
+    said = T.text_or_empty(F.col(text))
+    means = by_recipient(named, value, peer, least).agg(F.count("*").alias("_known"), (F.max("mean") - F.min("mean")).alias("_range"))
+    each = named.groupBy(peer, said.alias("_t")).agg(F.count("*").alias("_n")).groupBy(peer).agg(F.min_by("_t", F.struct(-F.col("_n"), "_t")).alias("_mode"))
+    common = rows.groupBy(said.alias("_t")).agg(F.count("*").alias("_n")).agg(F.min_by("_t", F.struct(-F.col("_n"), "_t")).alias("_all"))
+    same = each.crossJoin(F.broadcast(common)).agg(F.count("*").alias("peers"), F.avg(((F.col("_mode") == F.col("_all")) & (F.col("_all") != "")).cast("double")).alias("_same"))
+    both = same.crossJoin(F.broadcast(means))  # one row each
+    enough = (F.col("peers") >= 2) & (F.col("_known") >= 2)
+    return both.select(F.when(F.col("peers") >= 2, F.col("peers")).alias("peers"), F.when(enough, F.col("_range")).alias("peer_score_range"), F.when(enough, F.col("_same")).alias("peer_mode_collapse"))
+
+
+def zip_lists(rows: DataFrame, key: str, lists: Sequence[str]) -> DataFrame:
+    """(key, place, each list's value there, error): lists of equal length side by side; lists of different lengths give one row that says so, and no values."""
+    sizes = [F.size(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))) for c in lists]
+    equal = F.lit(True)
+    for n in sizes[1:]:
+        equal = equal & (n == sizes[0])
+    told = F.concat(F.lit("lengths differ: "), F.concat_ws(", ", *(F.concat(F.lit(f"{c} "), n.cast("string")) for c, n in zip(lists, sizes, strict=True))))
+    good = rows.where(equal).select(key, F.posexplode(F.arrays_zip(*lists)).alias("place", "_z"), F.lit(None).cast("string").alias("error"))
+    bad = rows.where(~equal).select(key, F.lit(None).cast("int").alias("place"), *(F.lit(None).cast(rows.schema[c].dataType.elementType).alias(c) for c in lists), told.alias("error"))
+    return good.select(key, "place", *(F.col(f"_z.{c}").alias(c) for c in lists), "error").unionByName(bad)
+
+
 def by_turn_and_depth(rows: DataFrame, value: str, cap: int = 5) -> DataFrame:
     """(turn, depth, n, mean) over turns up to a cap, over depths, and over all: grouping sets."""
     capped = rows.withColumn("turn", F.least("turn", F.lit(cap)))

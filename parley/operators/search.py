@@ -17,6 +17,8 @@ from parley.plans.scratch import arrow_batches, save
 from parley.sources import publish
 
 K1, B, LIMIT = 1.2, 0.75, 300
+# A query is quoted phrases and loose terms, of which only these characters count; the words that join terms are no prefixes.
+QUERY_PART, TERM_NOISE, JOINERS = r'"([^"]*)"|(\S+)', r"[^\w'-]+", ("and", "or", "not", "near")
 _TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -124,7 +126,7 @@ class Part:
 def parse_query(text: str) -> tuple[list[str], list[str]]:
     """(quoted phrases, loose terms)."""
     phrases, loose = [], []
-    for quoted, term in re.findall(r'"([^"]*)"|(\S+)', text or ""):
+    for quoted, term in re.findall(QUERY_PART, text or ""):
         (loose if term else phrases).append((term or quoted).strip())
     return [p for p in phrases if p], [t for t in loose if t]
 
@@ -135,9 +137,9 @@ def parts_of(text: str, stemming: bool = True) -> list[Part]:
     split = lambda s: [analyse(w, stemming) for w in re.findall(r"[^\W_]+", s)]
     out = [Part(tuple(t), False) for p in phrases if (t := split(p))]
     for term in loose:
-        clean = re.sub(r"[^\w'-]+", "", term).strip("-'")
+        clean = re.sub(TERM_NOISE, "", term).strip("-'")
         if len(clean) >= 2 and (t := split(clean)):
-            out.append(Part(tuple(t), len(t) == 1 and clean.lower() not in ("and", "or", "not", "near")))
+            out.append(Part(tuple(t), len(t) == 1 and clean.lower() not in JOINERS))
     return out
 
 

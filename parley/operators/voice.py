@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.text import STOP_WORDS
 from parley.operators import phrases
 from parley.plans.scratch import save
 from parley.sources.publish import publish
@@ -29,7 +30,7 @@ def year_words(messages: DataFrame, stop: Sequence[str] = (), least: int = YEAR_
     return found.join(F.broadcast(enough), "year")  # a row for each year
 
 
-def build(messages: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+def build(messages: DataFrame, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(section, key, word, n, lift, place, messages) of sent messages (id, ts, handle, body): sections totals, words, phrases, people and years."""
     none = lambda kind: F.lit(None).cast(kind)
     shape = lambda df, section, **c: df.select(
@@ -48,7 +49,7 @@ def build(messages: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     return out
 
 
-def current(messages: DataFrame, root: str, stop: Sequence[str] = ()) -> DataFrame:
+def current(messages: DataFrame, root: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """The build for the newest message and these stop words, made once under ``root`` and read from then on; a newer message makes a new one."""
     newest = messages.agg(F.max("id")).first()[0]
     words = hashlib.sha256("\n".join(sorted(stop)).encode()).hexdigest()[:16]

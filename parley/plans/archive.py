@@ -35,6 +35,13 @@ def contact_stats(spark, sf):
     return people.contact_stats(c.order_messages(spark, sf))
 
 
+@query(f"""{_CONTACT}, ct AS (SELECT handle, count(DISTINCT chat_id) AS chat_count FROM fx_member GROUP BY handle), mk AS (SELECT chat_id, count(*) AS members FROM fx_member GROUP BY chat_id),
+    mo AS (SELECT m.handle, m.chat_id, row_number() OVER (PARTITION BY m.handle ORDER BY (members = 1) DESC, n DESC, m.chat_id) AS rn FROM fx_member m JOIN mk USING (chat_id) JOIN fx_chat_n USING (chat_id))
+    SELECT s.*, coalesce(chat_count, 1) AS chat_count, mo.chat_id FROM s LEFT JOIN ct USING (handle) LEFT JOIN mo ON mo.handle = s.handle AND rn = 1""", "fx_msg_ord", "fx_member", "fx_chat_n")
+def contact_cards(spark, sf):
+    return people.contact_cards(people.contact_stats(c.order_messages(spark, sf)), c.order_members(spark, sf), c.order_chat_sizes(spark, sf))
+
+
 @query(f"{_CONTACT} SELECT * FROM s WHERE span_days >= 365 AND gap_days <= 90 ORDER BY n DESC, handle LIMIT 10", "fx_msg_ord")
 def long_term(spark, sf):
     return people.long_term(people.contact_stats(c.order_messages(spark, sf)))

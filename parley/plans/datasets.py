@@ -225,6 +225,24 @@ def by_recipient(spark, sf):
     return scoring.by_recipient(_predictions(spark, sf).withColumn("score", F.char_length("gold")))
 
 
+@query("""CTE r AS (SELECT CASE WHEN chat_id % 6 > 0 THEN CAST(chat_id % 6 AS VARCHAR) END AS peer, text AS t, length(text) AS v FROM fx_turn), m AS (SELECT peer, avg(v) AS m FROM r WHERE peer IS NOT NULL GROUP BY peer HAVING count(*) >= 2),
+    n AS (SELECT peer, t, count(*) AS n FROM r WHERE peer IS NOT NULL GROUP BY ALL), e AS (SELECT peer, arg_min(t, ROW(-n, t)) AS t FROM n GROUP BY peer), g AS (SELECT arg_min(t, ROW(-n, t)) AS t FROM (SELECT t, count(*) AS n FROM r GROUP BY t))
+    SELECT (SELECT count(*) FROM e) AS peers, (SELECT max(m) - min(m) FROM m) AS peer_score_range, (SELECT avg(CASE WHEN e.t = g.t THEN 1.0::DOUBLE ELSE 0 END) FROM e, g) AS peer_mode_collapse""", "fx_turn")
+def recipient_summary(spark, sf):
+    rows = c.conversation_turns(spark, sf).select(F.when(F.col("chat_id") % 6 > 0, (F.col("chat_id") % 6).cast("string")).alias("peer"), F.col("text").alias("pred"), F.char_length("text").alias("score"))
+    return scoring.recipient_summary(rows)
+
+
+@query("""CTE l AS (SELECT chat_id, coalesce(list(text ORDER BY msg_no) FILTER (role = 'user'), []) AS asked, coalesce(list(text ORDER BY msg_no) FILTER (role = 'assistant'), []) AS said FROM fx_turn GROUP BY chat_id)
+    SELECT chat_id, (i - 1)::INT AS place, asked[i] AS asked, said[i] AS said, NULL AS error FROM l, generate_series(1, len(asked)) g(i) WHERE len(asked) = len(said)
+    UNION ALL SELECT chat_id, NULL, NULL, NULL, 'lengths differ: asked ' || len(asked) || ', said ' || len(said) FROM l WHERE len(asked) <> len(said)""", "fx_turn")
+def zipped_lists(spark, sf):
+    """Questions and answers of each chat side by side."""
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("msg_no", "text")))), lambda x: x["text"])
+    rows = c.conversation_turns(spark, sf).groupBy("chat_id").agg(of("user").alias("asked"), of("assistant").alias("said"))
+    return scoring.zip_lists(rows, "chat_id", ["asked", "said"])
+
+
 @query("CTE g AS (SELECT text AS t, count(*) AS n FROM fx_turn GROUP BY 1) SELECT arg_min(t, ROW(-n, t)) AS text, max(n) / sum(n)::DOUBLE AS share FROM g", "fx_turn")
 def modal_share(spark, sf):
     return scoring.modal_share(c.conversation_turns(spark, sf).withColumn("pred", F.col("text")))

@@ -15,9 +15,8 @@ registered = Registry()
 query = registered.query
 QUERIES, ORACLE = registered.queries, registered.oracle
 
-_LINK, _MAIL = r"https?://\S+|www\.\S+", r"\b[\w.+-]+@[\w.-]+\.\w+\b"
 # words of a text as the voice statistics take them, numbered
-_VOICE = rf"""CTE lw AS (SELECT doc_id, sender, regexp_replace(regexp_replace(replace(lower(body), '’', ''''), '{_LINK}', ' ', 'g'), '{_MAIL}', ' ', 'g') AS t FROM fx_doc),
+_VOICE = rf"""CTE lw AS (SELECT doc_id, sender, regexp_replace(regexp_replace(replace(lower(body), '’', ''''), '{T.VOICE_LINK}', ' ', 'g'), '{T.VOICE_MAIL}', ' ', 'g') AS t FROM fx_doc),
     ls AS (SELECT doc_id, sender, list_filter(list_transform(regexp_extract_all(t, '[a-z][a-z'']+'), lambda w: replace(w, '''', '')), lambda w: w <> '') AS ws FROM lw),
     v AS (SELECT doc_id, sender, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM ls)"""
 _STOP = ["the", "and", "der", "die", "und", "que"]

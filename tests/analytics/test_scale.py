@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parley.operators import curation, ordered, retrieval, turns
+from parley.operators import curation, ordered, retrieval, scoring, turns
 from parley.plans.scratch import save
 from parley.sources import contacts, sqlite
 
@@ -296,3 +296,26 @@ def test_a_template_brings_few_candidates(spark, monkeypatch):
         assert retrieval.retrieve(index.selectExpr("id AS qid", "query", "peer"), index).count() == 2 * n
         sizes.append(sum(m.count() for m in met))
     assert sizes[1] < 15 * sizes[0]
+
+
+# --- summaries --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([("a", "ok", 1.0), ("a", "ok", 3.0), ("b", "no", 4.0), ("b", "ok", 8.0), ("b", "no", 0.0), ("", "ok", 9.0)], (2, 2.0, 0.5)),
+        ([("a", "ok", 1.0), ("a", "no", 3.0), ("b", "no", 4.0)], (2, None, None)),  # only one peer has two rows
+        ([("a", "ok", 1.0), ("a", "no", 3.0), (None, "no", 4.0)], (None, None, None)),
+        ([], (None, None, None)),
+    ],
+)
+def test_recipient_summary(spark, rows, want):
+    df = spark.createDataFrame(rows, "peer string, pred string, score double")
+    assert tuple(scoring.recipient_summary(df).first()) == want
+
+
+def test_zipped_lists(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], [1, None]), (2, ["a"], [1, 2]), (3, [], []), (4, None, [])], "id long, x array<string>, y array<long>")
+    got = sorted((tuple(r) for r in scoring.zip_lists(df, "id", ["x", "y"]).collect()), key=str)
+    assert got == [(1, 0, "a", 1, None), (1, 1, "b", None, None), (2, None, None, None, "lengths differ: x 1, y 2")]

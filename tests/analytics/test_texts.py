@@ -14,13 +14,13 @@ def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
-@pytest.mark.parametrize(("text", "want"), [("482193", "[code]"), ("see you at 7", "see you at 7"), ("mail a.b@x.com※1234", "mail [email]※[code]"), ("call (555) 010-9999 now", "call [phone] now"),
-                                            ("my password: hunter2", "my [password]"), ("4111 1111 1111 1111", "[card]"), ("at 12 Hill Road today", "at [address] today")])
+@pytest.mark.parametrize(("text", "want"), [("90210", "[code]"), ("90210 apples", "90210 apples"), ("ask kim@site.org※7788", "ask [email]※[code]"), ("ring 415-555-0182 tonight", "ring [phone] tonight"),
+                                            ("the PIN is9 x", "the [password] x"), ("5500 0000 0000 0004", "[card]"), ("park by 7 Maple Lane please", "park by [address] please")])
 def test_redact(spark, text, want):
     assert one(spark, T.redact(F.lit(text))) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("Loved “hey”", True), ("loved that set", False), ("You unsent a message", True), ("Liked an image", True), ("", False)])
+@pytest.mark.parametrize(("text", "want"), [("Questioned “when?”", True), ("questioned his plan", False), ("This message was deleted", True), ("Emphasized your photo", True), (" ", False)])
 def test_artifacts(spark, text, want):
     assert one(spark, T.is_artifact(F.lit(text))) is want
 
@@ -58,15 +58,6 @@ def counts_df(spark, counts):
     return spark.createDataFrame(list(counts.items()), "phrase string, n long")
 
 
-@pytest.mark.parametrize(("counts", "stop", "want"), [
-    ({"see you later": 12, "see you": 12, "you later": 12}, (), ["see you later"]),
-    ({"thank you so much": 8, "thank you": 40}, (), ["thank you", "thank you so much"]),
-    ({"need to get": 33, "can get": 20, "pull up": 20}, ("to", "can", "up"), ["pull up"]),
-])
-def test_frequent_phrases(spark, counts, stop, want):
-    assert [r.phrase for r in phrases.frequent_phrases(counts_df(spark, counts), stop).collect()] == want
-
-
 @pytest.mark.parametrize(("counts", "limit", "want"), [
     # all but two uses of the shorter ones lie in the longest
     ({"see so much later": 7, "so much later": 9, "much later": 9}, 20, [("see so much later", 7)]),
@@ -95,8 +86,8 @@ def test_phrases_counted_by_hash_and_by_text(spark):
 
 
 def test_phrase_counts(spark):
-    got = {r.phrase for r in phrases.phrase_counts(spark.createDataFrame([("see you in the morning",)], "body string"), high=5).collect()}
-    assert "see you in the morning" in got and "see you" in got and "in the morning" not in got
+    got = {r.phrase for r in phrases.phrase_counts(spark.createDataFrame([("buy bread at noon x today",)], "body string"), high=4).collect()}
+    assert got == {"buy bread", "buy bread at noon", "bread at noon"}
 
 
 def test_search(spark):
