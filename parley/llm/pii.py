@@ -30,7 +30,8 @@ _URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?(?:
 _SECRET = re.compile(r"\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{16,})")
 _IBAN = re.compile(r"\W{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?: number| no\.?)?\W{0,3}([0-9]{6,17})(?![0-9])")
-_STREET_LEFT = re.compile(r"([0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]+){1,3}) $")
+#: Words of a street's name, and digits of a house number.
+_STREET_WORDS, _HOUSE_DIGITS = 3, 5
 
 _SCHEMES = ("http://", "https://", "ftp://")
 _CUES = {
@@ -128,13 +129,35 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                     add("account", *m.span(1))
             elif kind == "account" and (m := _ACCOUNT.match(text, stop + 1)):
                 add("account", *m.span(1))
-            elif kind == "address" and (m := _STREET_LEFT.search(text[max(0, at - 60) : at])):
-                add("address", max(0, at - 60) + m.start(1), stop + 1)
+            elif kind == "address" and (start := _street_start(text, at)) is not None:
+                add("address", start, stop + 1)
     chain.close()
     spans.sort(key=lambda s: (s[1], _RANK[s[0]]))
     return spans
 
 
+def _street_start(text: str, at: int) -> int | None:
+    """Where the house number begins that, with one to three capitalised words of any length, stands before the cue at ``at``; None without one."""
+    end = at - 1
+    if end < 0 or text[end] != " ":
+        return None
+    for _ in range(_STREET_WORDS):
+        k = end
+        while k and "a" <= text[k - 1] <= "z":
+            k -= 1
+        if k == end or k < 2 or not "A" <= text[k - 1] <= "Z" or text[k - 2] != " ":
+            return None
+        end = n = k - 2
+        if n and text[n - 1].isascii() and text[n - 1].isalpha():  # as in 12b
+            n -= 1
+        d = n
+        while d and n - d <= _HOUSE_DIGITS and "0" <= text[d - 1] <= "9":
+            d -= 1
+        if 1 <= n - d <= _HOUSE_DIGITS and not (d and text[d - 1].isalnum()):
+            return d
+    return None
+
+
 class _Dotted:
     """Four runs of digits with a dot between each make an address, if all are octets; a failing four is passed over."""
 

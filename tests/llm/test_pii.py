@@ -68,3 +68,16 @@ def test_digest(odd_docs, odd_texts, empty_docs):
 def test_redact(odd_docs):
     r = redact(odd_docs).where("doc_id = 11").first()
     assert r.text == "mail me: [email], or [phone] / [card] / [ip]."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("at 12 Hill Road.", "12 Hill Road"), ("12345 A" + "b" * 70 + " Street", "12345 A" + "b" * 70 + " Street"), ("9 Old Mill Pond Lane", "9 Old Mill Pond Lane"), ("12b Hill Avenue", "12b Hill Avenue"),
+        ("123456 Main Street", None), ("x12 Main Street", None), ("9 One Two Three Four Road", None), ("12 hill Road", None), ("12  Hill Road", None), ("Hill Road", None), ("12 Road", None), (" Road", None),
+        ("7 A" + "b" * 500_000 + " Road", "7 A" + "b" * 500_000 + " Road"),
+    ],
+)
+def test_addresses(text, want):
+    """Names of any length; a house number of five digits at most, not the end of a longer one."""
+    assert [text[s:e] for k, s, e in find_spans(text) if k == "address"] == ([want] if want else [])
