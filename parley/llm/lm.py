@@ -323,11 +323,18 @@ def _code_type(tree: Tree) -> type:
     return np.uint16 if tree.digits < MOST_DIGITS else np.uint32
 
 
+def content_order(one: np.ndarray, two: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """An order of events that depends on what they are and not on where they come from; ``two`` carries whether an event is learnt."""
+    return np.argsort(mix(one.astype(np.uint64) << np.uint64(32) | two) ^ mix(code.astype(np.uint64) + _M[1]))
+
+
 def _score_bucket(tree: Tree, group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["part", "batch"])
+    """Events are learnt in an order of their own content, whatever blocks they came in: equal ones are interchangeable, so the weights do not depend on how the table is cut into files."""
     one = np.repeat(_joined(group, "one", np.uint32), _joined(group, "runs", np.uint32))
     two, code = _joined(group, "two", np.uint16), _joined(group, "code", _code_type(tree))
-    logs = score_events(tree, one, two & ~_TRAINED, code, (two & _TRAINED) != 0, int(group["bucket"].iloc[0]))
+    order = content_order(one, two, code)
+    logs = np.empty(len(one))
+    logs[order] = score_events(tree, one[order], (two & ~_TRAINED)[order], code[order], ((two & _TRAINED) != 0)[order], int(group["bucket"].iloc[0]))
     sizes = group["two"].map(len).to_numpy() // 2
     ends = np.cumsum(sizes)
     parts = np.minimum(np.round(-logs * _PARTS), 65_535).astype(np.uint16)
@@ -343,6 +350,7 @@ class _Block:
         self.tokens = np.frombuffer(b.column("tokens")[k].as_py(), np.uint32)
         self.lengths = np.asarray(b.column("lengths")[k].values).astype(np.int64)
         self.fold = np.asarray(b.column("fold")[k].values)
+        self.ids = b.column("doc_ids")[k].values.fill_null(0).to_numpy().view(np.uint64)
         self.counts, self.salts = np.empty(len(self.hashes), np.int64), np.empty(len(self.hashes), np.uint32)
         order, places = by_bucket(_word_buckets(self.hashes, n_buckets))
         for x in b.column("answers")[k].as_py():
@@ -350,13 +358,15 @@ class _Block:
             self.counts[own], self.salts[own] = np.frombuffer(x["counts"], np.int64), np.frombuffer(x["salts"], np.uint32)
 
     def dealt(self, documents: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The block's tokens in order of bucket and of the word before, with their buckets and histories in that order. Both depend on the block alone."""
+        """The block's tokens in order of bucket and of the word before, with their buckets and histories in that order.
+
+        A frequent word's histories are dealt by document id, so that a document goes the same way in any block.
+        """
         one, two = histories(self.tokens, self.lengths, self.hashes)
         salts = np.empty(len(self.tokens), np.uint32)
         salts[1:] = self.salts[self.tokens[:-1]]
         salts[np.cumsum(self.lengths) - self.lengths] = _salts(np.array([documents]))[0]
-        n = len(self.lengths)
-        spread = np.repeat(mix(np.arange(n) + (self.part * 1_000_003 + self.batch) * 65_536) >> np.uint64(32), self.lengths) % salts
+        spread = np.repeat(mix(self.ids) >> np.uint64(32), self.lengths) % salts
         bucket = (mix(one + spread * _M[2]) >> np.uint64(33)) % np.uint64(n_buckets)
         order = np.argsort(bucket << np.uint64(32) | one, kind="stable")
         return order, bucket[order].astype(np.int64), one[order], two[order]
@@ -405,7 +415,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     word_buckets, token_buckets = max(1, -(-entries // BUCKET_ENTRIES)), max(1, -(-tokens // BUCKET_TOKENS))
     answered = with_answers(found, counted.where("part IS NOT NULL"), "answers", "bucket", "counts", "salts")
     event, event_arrow = StructType.fromDDL(_EVENT_SCHEMA), to_arrow_schema(StructType.fromDDL(_EVENT_SCHEMA))
-    base = ["part", "batch", "hashes", "tokens", "fold", "lengths", "answers"]
+    base = ["part", "batch", "hashes", "tokens", "fold", "lengths", "doc_ids", "answers"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -433,7 +443,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols = [b.column("doc_ids")[k].values, x.fold == 0, x.lengths, total((x.counts > 0).astype(np.int64)), np.full(len(x.lengths), t.tokens), total(chance), score]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    gathered = with_answers(answered, scores, "found", "bucket", "logs").select(*base, "doc_ids", "found")
+    gathered = with_answers(answered, scores, "found", "bucket", "logs").select(*base, "found")
     out = save(gathered.mapInArrow(gather, struct), "lm-scores")
     prepare(spark)
     return out

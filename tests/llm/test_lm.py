@@ -107,8 +107,9 @@ def brute_scores(rows):
     events.sort(key=lambda e: e[0])
     one, two, codes = (np.array(c, t) for c, t in zip(list(zip(*events))[:3], (np.uint32, np.uint16, np.uint32)))
     learn = np.array([not held_out(rows[e[4]][0]) for e in events])
+    order = lm.content_order(one, np.where(learn, two | lm._TRAINED, two), codes)
     model = BucketModel(tree, len(events))
-    model.learn_and_score(one, two, codes, learn, 0)
+    model.learn_and_score(one[order], two[order], codes[order], learn[order], 0)
     out = [0.0] * len(rows)
     for a, b, c, w, d in events:
         p = 1.0
@@ -196,3 +197,15 @@ def test_classes_follow_the_vocabulary():
     assert [digits_for(v) for v in (0, 24_000, 24_001, 400_000, 10**7, 10**12)] == [1, 1, 2, 3, 4, 4]
     fine = leaves(np.arange(99, dtype=np.uint32), np.arange(99))
     assert (leaves(np.arange(99, dtype=np.uint32), np.arange(99), 2) == fine >> 8).all()
+
+
+def test_scores_do_not_depend_on_files(spark, monkeypatch):
+    """The same rows in two and in seven parts, in another order, with hot words dealt to several models."""
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 4000)
+    monkeypatch.setattr(lm, "MODEL_TOKENS", 1500)
+    rng = random.Random(12)
+    rows = [(k, sentence(rng, rng.randint(0, 120))) for k in range(300)] + [(None, "no id"), (5, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({(r.doc_id, r.n_tokens): r.score for r in lm.score_corpus(d).collect()} for d in (df.repartition(2), df.orderBy("text").repartition(7)))
+    assert one.keys() == two.keys()
+    assert max(abs(one[k] - two[k]) for k in one) < 1e-6

@@ -2,6 +2,7 @@ import hashlib
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
