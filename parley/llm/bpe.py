@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -39,6 +40,12 @@ _SIGNS = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in _LATER
 _SPLIT = regex.compile(
     r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[@]]+|[\p{N}--[@]]|[[^\s\p{L}\p{N}]||[@]]+".replace("@", _SIGNS)
 )
+#: Characters of words of more than one, by the kind that a word keeps to; a quote may begin a short form and so is none.
+_KINDS = tuple(regex.compile(x.replace("@", _SIGNS)) for x in (r"(?V1)[\p{L}--[@]]+", r"(?V1)[[^\s\p{L}\p{N}]||[@]]+"))
+#: Normalised characters after a word that must be known for it to be sure: a short form is read by up to three.
+_WORD_AHEAD = 3
+#: Characters of a text that are encoded at a time.
+TEXT_PIECE = 1 << 16
 #: The same pattern for lower-case texts of these characters only, by the faster engine and with letters first.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ſ‘’“”–—]*")
 _PLAIN_SPLIT = re.compile(r"[a-zÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9À-ÖØ-öø-ſ]+")
@@ -188,10 +195,146 @@ class BpeTable:
         )
 
     def _plain(self, text: str) -> bytes:
+        return self.ids_of(self.words(text))
+
+    def ids_of(self, words: list[str]) -> bytes:
         if len(self.memory) >= REMEMBERED:
             older = dict(self.memory)
             self.memory = Memory(self.word_ids, older)
-        return b"".join(map(self.memory.__getitem__, self.words(text)))
+        return b"".join(map(self.memory.__getitem__, words))
+
+    def pieces(self, text: str, size: int | None = None) -> Iterator[bytes]:
+        """Ids of a text, piece by piece where it is longer than ``size`` characters."""
+        size = size or TEXT_PIECE
+        if len(text) <= size:
+            yield self.encode(text)
+            return
+        encoder = Encoder(self)
+        for k in range(0, len(text), size):
+            yield encoder.feed(text[k : k + size])
+        yield encoder.close()
+
+
+@cache
+def _joins_left() -> frozenset[str]:
+    """Characters that canonical composition can join to the one before or move past it."""
+    marks = {chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))}
+    seconds = set()
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(chr(int(parts[1], 16)))
+    return frozenset(marks | seconds | {chr(c) for c in range(0x1161, 0x11C3)})  # and the later parts of Hangul syllables
+
+
+class WordStream:
+    """Tokens of one word that comes in pieces: ``BpeTable.stream`` with a buffer of its own."""
+
+    def __init__(self, table: BpeTable) -> None:
+        self.table, self.held = table, b""
+
+    def feed(self, data: bytes) -> list[int]:
+        """Tokens that no later byte can change; at least one byte is always held back."""
+        self.held += data
+        sure = self.table.lookahead
+        if len(self.held) < 4 * sure:
+            return []
+        out, at = [], 0
+        for t in self.table.merge(self.table.symbols(self.held, False)):
+            if at + self.table.width(t) > len(self.held) - sure:
+                break
+            at += self.table.width(t)
+            out.append(t)
+        self.held = self.held[at:]
+        return out
+
+    def close(self) -> list[int]:
+        return self.table.merge(self.table.symbols(self.held, True))
+
+
+class Encoder:
+    """Incremental encoding: feed a text in pieces of any size, get ids as soon as they are sure.
+
+    Held back are: characters that a next one may join (``_joins_left``) or that may begin a special token; of what is normalised, the last word and
+    three characters, as a word may go on; and of a word longer than STREAM_FROM, the lookahead of the merge list. So memory does not
+    grow with the text, nor with a word.
+    """
+
+    def __init__(self, table: BpeTable) -> None:
+        self.table, self.raw, self.low, self.word = table, "", "", None
+        self.longest = max(map(len, table.special), default=0)
+
+    def feed(self, text: str) -> bytes:
+        self.raw += text
+        out = []
+        if self.table.specials:
+            *whole, self.raw = self.table.specials.split(self.raw)
+            for k, x in enumerate(whole):
+                out.append(np.array([self.table.special[x]], "<u4").tobytes() if k % 2 else self._low(x) + self._flush())
+        cut = len(self.raw) - 1
+        begun = self.raw.find("<", max(0, len(self.raw) - self.longest + 1))
+        if 0 <= begun < cut:
+            cut = begun
+        while cut > 0 and self.raw[cut] in _joins_left():
+            cut -= 1
+        if cut > 0:
+            out.append(self._low(self.raw[:cut]))
+            self.raw = self.raw[cut:]
+        return b"".join(out)
+
+    def close(self) -> bytes:
+        out = self._low(self.raw) + self._flush()
+        self.raw = ""
+        return out
+
+    def _low(self, text: str) -> bytes:
+        """Ids of the words that are sure, with this text after what is held."""
+        self.low += self.table.normaliser.normalize_str(text) if text else ""
+        sure, at, out = len(self.low) - _WORD_AHEAD, 0, []
+        if self.word is not None:  # the held text goes on a long word
+            m = _SPLIT.match(self.low) if self.word[1].fullmatch(self.low[:1]) else None
+            end = self._run(self.low, self.word[1]) if m else 0
+            if end >= sure:
+                return self._long(max(0, sure))
+            out.append(self._long(end) + self._end_word())
+            sure = len(self.low) - _WORD_AHEAD
+        words = []
+        for m in _SPLIT.finditer(self.low):
+            if m.end() >= sure:
+                break
+            at = m.end()
+            words.append(m.group())
+        out.append(self.table.ids_of(words))
+        self.low = self.low[at:].lstrip(" ")
+        if len(self.low) > STREAM_FROM + _WORD_AHEAD:  # one long word, whose kind its first character tells
+            kind = next((k for k in _KINDS if k.fullmatch(self.low[:1])), None)
+            if kind is not None and self._run(self.low, kind) > len(self.low) - _WORD_AHEAD - 1:
+                self.word = (WordStream(self.table), kind)
+                out.append(self._long(len(self.low) - _WORD_AHEAD))
+        return b"".join(out)
+
+    def _run(self, text: str, kind: regex.Pattern) -> int:
+        m = kind.match(text)
+        return m.end() if m else 0
+
+    def _long(self, n: int) -> bytes:
+        """The next ``n`` characters belong to the long word."""
+        ids = self.word[0].feed(self.low[:n].encode())
+        self.low = self.low[n:]
+        return np.array(ids, "<u4").tobytes()
+
+    def _end_word(self) -> bytes:
+        ids, self.word = self.word[0].close(), None
+        return np.array(ids, "<u4").tobytes()
+
+    def _flush(self) -> bytes:
+        """What is held ends here."""
+        out = b""
+        if self.word is not None:
+            out = self._long(self._run(self.low, self.word[1])) + self._end_word()
+        out += self.table.ids_of(_SPLIT.findall(self.low))
+        self.low = ""
+        return out
 
 
 class Decoder:
@@ -268,15 +411,11 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return map_batches(encoded, batch, "doc_id long, text string")
 
 
-#: Ids decoded at a time.
-_PIECE = 1 << 18
-
-
 def round_trip_digest(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per input row.
 
-    Null and empty texts have no tokens; repeated rows and null ids are encoded like any other; words
-    of any length are streamed; other columns are not read.
+    Null and empty texts have no tokens; repeated rows and null ids are encoded like any other; texts longer than TEXT_PIECE characters are encoded and decoded
+    piece by piece, and words of any length are streamed; other columns are not read.
     """
     path = path or default_path()
 
@@ -284,13 +423,14 @@ def round_trip_digest(docs: DataFrame, path: str | None = None, id_col: str = "d
         t = table(path)
         n, sha, decoded = [], [], []
         for text in b.column("text").to_pylist():
-            ids = t.encode(text)
-            n.append(len(ids) // 4)
-            sha.append(hashlib.sha256(ids).hexdigest())
-            d, digest = Decoder(t), hashlib.sha256()
-            for k in range(0, len(ids), 4 * _PIECE):
-                digest.update(d.feed(ids[k : k + 4 * _PIECE]).encode())
+            count, seen, d, digest = 0, hashlib.sha256(), Decoder(t), hashlib.sha256()
+            for ids in t.pieces(text):
+                count += len(ids) // 4
+                seen.update(ids)
+                digest.update(d.feed(ids).encode())
             digest.update(d.close().encode())
+            n.append(count)
+            sha.append(seen.hexdigest())
             decoded.append(digest.hexdigest())
         return {"doc_id": b.column("doc_id"), "n_tokens": n, "ids_sha256": sha, "decoded_sha256": decoded}
 

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parley.llm.bpe import BpeTable, Decoder, decode_documents, default_path, encode_documents, round_trip_digest
+from parley.llm.bpe import BpeTable, Decoder, Encoder, decode_documents, default_path, encode_documents, round_trip_digest
 from parley.llm.token_store import encoder, read_tokens, stored_digest, write_tokens
 
 
@@ -35,6 +35,23 @@ def test_same_as_library(library, table, text):
     assert np.frombuffer(encoder(default_path()).encode(text), "<u4").tolist() == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.one_of(ODD, st.text(alphabet="ab'stlre\u0301\u1100\u1161\u11a8< |endoftx>1!", max_size=400)), step=st.integers(1, 90))
+def test_text_in_pieces(table, text, step):
+    """Any cut: through letters and their accents, short forms, special tokens, words of any length."""
+    assert b"".join(table.pieces(text, step)) == table.encode(text)
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "ab'll " * 30_000 + "!" * 300_000 + "é" * 9, "漢字" * 100_000, "a<|endoftext|>" * 20_000, "e\u0301" * 100_000])
+def test_long_texts_hold_little(table, text):
+    encoder, out, held = Encoder(table), [], 0
+    for k in range(0, len(text), 4096):
+        out.append(encoder.feed(text[k : k + 4096]))
+        held = max(held, len(encoder.raw) + len(encoder.low) + (len(encoder.word[0].held) if encoder.word else 0))
+    assert b"".join([*out, encoder.close()]) == table.encode(text)
+    assert held < 4096 + 8 * table.lookahead
+
+
 @settings(max_examples=60, deadline=None)
 @given(word=st.text(alphabet="abcdeinrsthgou", min_size=1, max_size=4000), block=st.integers(1, 700))
 def test_streaming_changes_nothing(table, word, block):
