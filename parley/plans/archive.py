@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions import timing
 from parley.operators import circles, media, paging, people, sessions, tapbacks, threads
 from parley.plans.register import Registry
 from parley.sources import catalog as c
@@ -480,3 +481,26 @@ def in_subquery(spark, sf):
 def scalar_subquery(spark, sf):
     size = c.order_members(spark, sf).groupBy("chat_id").agg(F.count("*").alias("members"))
     return c.order_chat_sizes(spark, sf).join(size, "chat_id", "left").withColumn("members", F.coalesce("members", F.lit(0)))
+
+
+@query("""CTE d AS (SELECT id, CAST(ts AS DATE) AS d, (SELECT CAST(max(ts) AS DATE) FROM fx_msg_ord) AS now FROM fx_msg_ord)
+    SELECT id, (epoch_us(d::TIMESTAMP) - 978307200000000) * 1000 AS ns, d::TIMESTAMP AS midnight,
+      CASE WHEN now - d = 0 THEN 'Today' WHEN now - d = 1 THEN 'Yesterday' WHEN now - d BETWEEN 2 AND 6 THEN strftime(d, '%A') WHEN year(d) = year(now) THEN strftime(d, '%B %-d') ELSE strftime(d, '%B %-d, %Y') END AS label,
+      strftime(d, '%B %Y') AS month, strftime(d, '%b %y') AS short, d - dayofweek(d)::INT AS week FROM d""", "fx_msg_ord")
+def time_labels(spark, sf):
+    """The archive's clock there and back, and how a day is called on the newest one."""
+    rows = c.order_messages(spark, sf).select("id", F.to_date("ts").alias("d"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("d").alias("now"))))  # one row
+    ns, key = timing.to_archive_ns(F.col("d")), F.date_format("d", "yyyy-MM")
+    return rows.select(
+        "id", ns.alias("ns"), timing.from_archive_ns(ns).alias("midnight"), timing.day_label(F.col("d"), F.col("now")).alias("label"),
+        timing.month_label(key).alias("month"), timing.short_month(key).alias("short"), timing.week_start(F.col("d")).alias("week"),
+    )
+
+
+@query(f"""{_GAPS} SELECT CASE WHEN seconds < 60 THEN round_even(seconds, 0)::BIGINT || ' s' WHEN seconds < 3600 THEN round_even(seconds / 60, 0)::BIGINT || ' min' WHEN seconds < 86400 THEN round_even(seconds / 3600, 0)::BIGINT || ' h'
+      ELSE round_even(seconds / 86400, 0)::BIGINT || ' d' END AS gap, count(*) AS n FROM g GROUP BY 1""", "fx_msg_ev")
+def gap_labels(spark, sf):
+    """How often each pause before a reply comes, as it is shown."""
+    gaps = sessions.reply_gaps(c.event_messages(spark, sf))
+    return gaps.groupBy(timing.gap_label(F.col("seconds")).alias("gap")).agg(F.count("*").alias("n"))

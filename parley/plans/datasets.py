@@ -279,3 +279,17 @@ def promote_best(spark, sf):
     return scoring.promote(runs)
 
 
+
+
+@query(r"""CTE r AS (SELECT chat_id, msg_no, '<think>' || role || '</think> ' || text || ' ※' || role || '※ ※ [phone]※' || text || '※x<|im_end|>' AS t FROM fx_turn),
+    s AS (SELECT *, regexp_replace(regexp_replace(t, '<think>.*?</think>|<\|im_end\|>', '', 'gs'), '^\s+|\s+$', '', 'g') AS plain FROM r),
+    b AS (SELECT *, list_filter(list_transform(string_split(plain, '※'), lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS parts FROM s)
+    SELECT chat_id, msg_no, array_to_string(parts[1:4], '※') AS clipped, len(parts) AS bubbles, contains(plain, '[phone]') AS masked, false AS only_masks FROM b""", "fx_turn")
+def clean_replies(spark, sf):
+    """Replies as a model writes them: scaffold taken away, four bubbles at most, masks noticed."""
+    raw = F.concat(F.lit("<think>"), "role", F.lit("</think> "), "text", F.lit(" ※"), "role", F.lit("※ ※ [phone]※"), "text", F.lit("※x<|im_end|>"))
+    rows = c.conversation_turns(spark, sf).withColumn("plain", T.strip_scaffold(raw))
+    return rows.select(
+        "chat_id", "msg_no", T.clip_bubbles(F.col("plain")).alias("clipped"), F.size(T.split_bubbles(F.col("plain"))).cast("long").alias("bubbles"),
+        T.contains_redaction(F.col("plain")).alias("masked"), T.is_redaction_only(F.col("plain")).alias("only_masks"),
+    )

@@ -132,3 +132,11 @@ def test_peers_of_another_voice_and_the_report(spark):
         assert roles[0] == "system" and roles[1] == "user" and roles[-1] == "assistant" and "system" not in roles[1:]
         assert e.messages[0].content.endswith(f"{TEXTING}{e.peer}.")
     assert r.train_with_shots > 0
+
+
+def test_prompts_and_public_examples(spark):
+    rows = [(1, [("system", "s"), ("user", "a"), ("assistant", "b")]), (2, [("user", "a"), ("assistant", "b"), ("user", "c")]), (3, [("assistant", "b")]), (4, [])]
+    df = spark.createDataFrame(rows, "qid long, messages array<struct<role:string,content:string>>")
+    asked = {r.qid: [m.content for m in r.p] for r in df.select("qid", dataset.prompt_messages(df.messages).alias("p")).collect()}
+    assert asked == {1: ["s", "a"], 2: ["a", "b", "c"], 3: [], 4: []}
+    assert dataset.public_example(df.withColumn("peer", df.qid)).columns == ["messages"]
