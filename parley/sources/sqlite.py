@@ -27,7 +27,7 @@ class Range(InputPartition):
 
 
 class SqliteSource(DataSource):
-    """Options: path, table, rows (row ids in a partition, 500,000 by default)."""
+    """Options: path, table, rows (row ids in a partition, 500,000 by default), pushdown (see ``scan``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -41,7 +41,7 @@ class SqliteSource(DataSource):
         return ", ".join(["rowid bigint", *(f"`{n}` {kind(t)}" for n, t in info if n.lower() != "rowid")])
 
     def reader(self, schema: StructType) -> SqliteReader:
-        return SqliteReader(schema, dict(self.options))
+        return (PushingReader if self.options.get("pushdown") == "true" else SqliteReader)(schema, dict(self.options))
 
 
 #: Comparisons whose meaning is the same in the store for numbers, and for texts compared byte by byte.
@@ -56,17 +56,6 @@ class SqliteReader(DataSourceReader):
         self.where: list[tuple[str, list]] = []  # conditions and their values
         self.on_rows: list[tuple[str, list]] = []  # those on row ids, which narrow the ranges
 
-    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:  # noqa: N802
-        """Take what the store can evaluate; the rest is Spark's."""
-        for f in filters:
-            said = self._condition(f)
-            if said is None:
-                yield f
-                continue
-            self.where.append(said)
-            if getattr(f, "attribute", None) == ("rowid",):
-                self.on_rows.append(said)
-
     def _condition(self, f: D.Filter) -> tuple[str, list] | None:
         if isinstance(f, D.Not):
             inner = self._condition(f.child)
@@ -99,11 +88,26 @@ class SqliteReader(DataSourceReader):
             yield from conn.execute(*self._sql(columns, [rows, *self.where]))
 
 
+class PushingReader(SqliteReader):
+    """A reader for sessions in which Spark hands its filters over."""
+
+    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:  # noqa: N802
+        """Take what the store can evaluate; the rest is Spark's."""
+        for f in filters:
+            said = self._condition(f)
+            if said is None:
+                yield f
+                continue
+            self.where.append(said)
+            if getattr(f, "attribute", None) == ("rowid",):
+                self.on_rows.append(said)
+
+
 def scan(spark: SparkSession, path: str, table: str, columns: Sequence[str] | None = None, rows: int = 500_000) -> DataFrame:
     """A table of the store: only ``columns`` are read from it, in partitions of ``rows`` row ids; comparisons of a ``where`` on it go to the store."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
-    options = {"path": path, "table": table, "rows": str(rows)}
+    options = {"path": path, "table": table, "rows": str(rows), "pushdown": "true"}
     reader = spark.read.format("sqlite").options(**options)
     if columns is None:
         return reader.load()

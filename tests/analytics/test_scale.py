@@ -204,7 +204,7 @@ def test_filters_and_columns_reach_the_statement(store):
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     schema = StructType([StructField("rowid", LongType()), StructField("text", StringType())])
-    reader = sqlite.SqliteReader(schema, {"path": store, "table": "message", "rows": "50"})
+    reader = sqlite.PushingReader(schema, {"path": store, "table": "message", "rows": "50"})
     assert list(reader.pushFilters([D.EqualTo(("text",), "t3"), D.GreaterThan(("rowid",), 200), D.StringContains(("text",), "x")])) == [D.StringContains(("text",), "x")]
     assert [(p.low, p.high) for p in reader.partitions()] == [(201, 251), (251, 301)]
     rows = [r for p in reader.partitions() for r in reader.read(p)]
