@@ -106,13 +106,12 @@ def stored_index(docs: DataFrame, root: str, version: str, doc_id: str = "doc_id
     """The index of one version of ``docs``: built under ``root`` the first time, then read by every query."""
     spark = docs.sparkSession
     place = f"{root}/{'-'.join(columns)}-{'stems' if stemming else 'words'}"
-    found = publish.newest(spark, place)
-    built = found[1] if found else {}
-    if version not in built:
-        built = {**built, version: publish.new_folder(place)}
-        build_index(docs, doc_id, columns, stemming, built[version])
-        publish.commit(spark, place, (found[0] if found else 0) + 1, built)
-    return read_segments(spark, [built[version]], stemming)
+    path = publish.find(spark, place, version)
+    if path is None:
+        path = publish.new_folder(place)
+        build_index(docs, doc_id, columns, stemming, path)
+        path = publish.add(spark, place, version, path)
+    return read_segments(spark, [path], stemming)
 
 
 @dataclass(frozen=True)

@@ -58,16 +58,34 @@ def new_folder(root: str) -> str:
     return f"{root}/data/{uuid.uuid4().hex}"
 
 
+def find(spark: SparkSession, root: str, version: str) -> str | None:
+    """The folder of a version that was committed."""
+    found = newest(spark, root)
+    return found[1].get(version) if found else None
+
+
+def add(spark: SparkSession, root: str, version: str, path: str) -> str:
+    """Commit a version's folder beside the others; the folder that counts, which is another's if that writer was first."""
+    while True:
+        found = newest(spark, root)
+        number, tables = found or (0, {})
+        if version in tables:
+            return tables[version]
+        try:
+            commit(spark, root, number + 1, {**tables, version: path})
+        except Conflict:  # another version came between
+            continue
+        return path
+
+
 def publish(spark: SparkSession, root: str, version: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of one version: made and written under ``root`` if no commit names it yet, and read from there.
 
     Versions stay side by side, so readers of an older one are not disturbed.
     """
-    found = newest(spark, root)
-    tables = found[1] if found else {}
-    if version not in tables:
+    path = find(spark, root, version)
+    if path is None:
         path = new_folder(root)
         make().write.parquet(path)
-        tables = {**tables, version: path}
-        commit(spark, root, (found[0] if found else 0) + 1, tables)
-    return spark.read.parquet(tables[version])
+        path = add(spark, root, version, path)
+    return spark.read.parquet(path)

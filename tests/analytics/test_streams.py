@@ -161,3 +161,22 @@ def test_a_page_reads_by_its_cursor(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t"))
     plan = paging.page_with_context(rows, after_=(dt.datetime(2024, 1, 3), 5), limit=10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PushedFilters: [Or(") == 2 and "TakeOrderedAndProject" in plan
+
+
+def test_two_writers_of_versions(spark, tmp_path, monkeypatch):
+    """A writer that finds its number taken adds its version to what the other committed; of one version the first counts."""
+    root = str(tmp_path / "v")
+    publish.add(spark, root, "a", "folder-a")
+    plain, raced = publish.newest, []
+
+    def late(session, place):
+        if not raced:
+            raced.append(plain(session, place))
+            publish.commit(session, place, 2, {"a": "folder-a", "b": "folder-b"})
+            return raced[0]
+        return plain(session, place)
+
+    monkeypatch.setattr(publish, "newest", late)
+    assert publish.add(spark, root, "c", "folder-c") == "folder-c"
+    assert plain(spark, root) == (3, {"a": "folder-a", "b": "folder-b", "c": "folder-c"})
+    assert publish.add(spark, root, "b", "other") == "folder-b"
