@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import lm
@@ -209,3 +211,79 @@ def test_scores_do_not_depend_on_files(spark, monkeypatch):
     one, two = ({(r.doc_id, r.n_tokens): r.score for r in lm.score_corpus(d).collect()} for d in (df.repartition(2), df.orderBy("text").repartition(7)))
     assert one.keys() == two.keys()
     assert max(abs(one[k] - two[k]) for k in one) < 1e-6
+
+
+def plain_pass(model, level, node, rows, outcome):
+    """The same pass of AdaGrad as it stood before: rows by fancy indexing, sums from single precision, whole tables at once."""
+    weights = [np.zeros((1 << model.bits, 16), np.float32) for _ in rows]
+    squares = [np.full(w.shape, lm.DAMPING, np.float32) for w in weights]
+    rows, size = [r.astype(np.uint16) for r in rows], -(-len(node) // lm.STEPS)
+    for s in range(0, len(node), size):
+        cut = slice(s, s + size)
+        z = model.tree.logs[level][node[cut]]
+        for w, r in zip(weights, rows):
+            z += w[r[cut]]
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        np.negative(z, out=z)
+        z[np.arange(len(z)), outcome[cut]] += 1
+        delta = np.ascontiguousarray(z.T)
+        for w, q, r in zip(weights, squares, rows):
+            g = np.stack([np.bincount(r[cut], d, len(w)) for d in delta], 1).astype(np.float32)
+            q += g * g
+            g *= lm.RATE
+            g /= np.sqrt(q)
+            w += g
+    return weights
+
+
+def test_training_gives_what_plain_steps_give_in_less_time():
+    rng = np.random.default_rng(9)
+    tree = Tree(10**6, 40_000, np.arange(0, 65_536, 9), rng.integers(2, 50, 7282), np.ones(7282, int))
+    n = 60_000
+    one, two = (rng.zipf(1.3, n) % 9000).astype(np.uint32), rng.integers(0, 200, n).astype(np.uint16)
+    code = (rng.choice(np.flatnonzero(tree.n), n)).astype(np.uint32)
+    spent = {"plain": [], "own": []}
+    for _ in range(3):
+        model = BucketModel(tree, n)
+        level, use, node, rows, outcome = list(model._parts(one, two, code))[1]
+        for name, run in (("plain", lambda: plain_pass(model, level, node, rows, outcome)), ("own", lambda: model._train(level, node, rows, outcome))):
+            began = time.process_time()
+            found = run()
+            spent[name].append(time.process_time() - began)
+            want = found or want
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(model.weights[level], want, strict=True))
+    assert min(spent["own"]) < 0.8 * min(spent["plain"])  # about two thirds
+
+
+def test_squares_of_the_least_gradients_are_normal_numbers():
+    tree = Tree(1000, 40, np.arange(40) * 1500, np.full(40, 9), np.ones(40, int))
+    least = min(np.exp(x.min()) for x in tree.logs)
+    assert np.finfo(np.float32).tiny < least**2 < 1e-30
+
+
+def test_dictionary_of_a_block(odd_texts):
+    texts = [t or "" for t in odd_texts] + [" \t\n A\x0bb\x0c\x1c c\x85d\u00a0  e ", "\x00 \x00a", ""]
+    words, entries, lengths = lm.dictionary(pa.array(texts))
+    words, ends = words.to_pylist(), np.cumsum(lengths)
+    assert words[0] == b"" and len(set(words)) == len(words)
+    for text, e, n in zip(texts, ends, lengths, strict=True):
+        assert [words[x] for x in entries[e - n : e]] == [*text.encode().lower().split(), b""]
+    assert lm.dictionary(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_tokens_are_dealt_alike_by_either_sort(monkeypatch):
+    """Long blocks of many words for many buckets have keys of more than 64 bits."""
+    rng = np.random.default_rng(2)
+    block = lm._Block.__new__(lm._Block)
+    block.hashes, block.lengths = rng.integers(0, 1 << 32, 50).astype(np.uint32), np.array([1, 400, 1, 298])
+    block.tokens, block.ids = rng.integers(0, 50, 700).astype(np.uint32), np.arange(4, dtype=np.uint64)
+    block.salts = np.where(np.arange(50) % 7, 1, 3).astype(np.uint32)
+    order, bucket, one, two = block.dealt(4, 13)
+    assert sorted(order.tolist()) == list(range(700)) and (np.diff(bucket.astype(int)) >= 0).all()
+    before = lambda at, k: block.hashes[block.tokens[at - k]] if at - k >= starts[np.searchsorted(ends, at, "right")] else lm._START
+    ends, starts = np.cumsum(block.lengths), np.cumsum(block.lengths) - block.lengths
+    assert one.tolist() == [int(before(at, 1)) for at in order]
+    assert two.tolist() == [int(lm.mix(np.array([before(at, 2)]))[0]) >> 49 for at in order]
+    monkeypatch.setattr(lm, "KEY_BITS", 20)
+    assert all((a == b).all() for a, b in zip(block.dealt(4, 13), (order, bucket, one, two), strict=True))
