@@ -298,6 +298,22 @@ def test_a_template_brings_few_candidates(spark, monkeypatch):
     assert sizes[1] < 15 * sizes[0]
 
 
+def test_texts_of_common_words_leave_no_pairs(spark, monkeypatch):
+    """Where all texts share most of their words, what is written grows with the messages; small blocks give what one block gives."""
+    rng, met, n = random.Random(5), [], 300
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.sample(words, 25)), f"r{k % 7}", rng.choice(["", "a"]), rng.randrange(10**8)) for k in range(n)]
+    monkeypatch.setattr(retrieval, "save", lambda df, name: met.append(save(df, name)) or met[-1])
+    monkeypatch.setattr(retrieval, "ROWS", 40, raising=False)
+    monkeypatch.setattr(retrieval, "QUERIES", 50, raising=False)
+    monkeypatch.setattr(retrieval, "NEWEST", 20, raising=False)
+    index = retrieval.index_rows(spark.createDataFrame(rows, "id long, query string, reply string, peer string, sec long"))
+    asked = index.selectExpr("id AS qid", "query", "peer", "array(reply) AS exclude_replies")
+    got = sorted((r.qid, r.place, r.id, round(r.score, 9)) for r in retrieval.retrieve(asked, index).collect())
+    assert got == plain_retrieval([(k, q, p, [r]) for k, q, r, p, _ in rows], rows)
+    assert max(m.count() for m in met) <= 2 * n * 4
+
+
 # --- summaries --------------------------------------------------------------------------------------------------------
 
 
