@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from parley.functions import text as T
 from parley.operators.curation import ranked_rows, recency_weight
-from parley.operators.turns import CONTEXT_TURNS, MAX_TOKENS, body_part, few_shot, fit_messages, is_alternating, system_part
+from parley.operators.turns import CONTEXT_TURNS, MAX_TOKENS, body_part, few_shot, fit_messages, is_alternating, once, system_part
 from parley.plans.scratch import arrow_batches, save
 
 K, PEER_BOOST = 2, 1.2
@@ -33,9 +33,9 @@ COMMON, AT_ONCE, WIDE = 0.04, 32, 256
 
 
 def index_rows(pairs: DataFrame) -> DataFrame:
-    """Pairs with a query and a reply, trimmed, with their distinct tokens. Columns: id, query, reply, peer, sec."""
+    """Pairs with a query and a reply, trimmed. Columns: id, query, reply, peer, sec."""
     rows = pairs.withColumns({c: T.strip(T.text_or_empty(F.col(c))) for c in ("query", "reply", "peer")}).withColumn("sec", F.coalesce("sec", F.lit(0)))
-    return rows.where("query <> '' AND reply <> ''").withColumn("toks", F.array_distinct(T.word_tokens(F.col("query"))))
+    return rows.where("query <> '' AND reply <> ''")
 
 
 _QUERY = {"qid": "long", "text": "long", "qp": "long", "barred": "array<long>", "toks": "array<long>"}
@@ -254,12 +254,22 @@ def with_shots(examples: DataFrame, found: DataFrame, index: DataFrame, most: in
     """
     pairs = found.join(index.select("id", "query", "reply"), "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "query", "reply"))).alias("pairs"))
     rows = examples.join(pairs, "qid", "left")
-    shots, body = few_shot(F.col("pairs")), body_part(F.col("messages"))
+    longer = once(few_shot(F.col("pairs")), lambda shots: once(body_part(F.col("messages")), lambda body: fit_messages(_with_recent(shots, body, turns), most)))
+
+    def chosen(found: Column) -> Column:
+        told = F.exists(found, lambda m: m["content"] == F.try_element_at("pairs", F.lit(1))["query"])
+        return F.when(F.coalesce(told & is_alternating(found), F.lit(False)), found).otherwise(F.col("messages"))
+
+    return rows.withColumn("messages", F.when(F.col("pairs").isNotNull(), once(longer, chosen)).otherwise(F.col("messages"))).drop("pairs")
+
+
+def _with_recent(shots: Column, body: Column, turns: int) -> Column:
+    """The system message, the shots, and of the context as many last messages as there is room for, from a user's on."""
     room = F.greatest(F.lit(2), turns - F.size(shots))
-    recent = F.slice(body, -F.least(room, F.size(body)), F.least(room, F.size(body)))
-    begins = F.filter(F.sequence(F.lit(1), F.size(recent)), lambda i: F.try_element_at(recent, i)["role"] == "user")
-    recent = F.when(F.size(begins) > 0, F.slice(recent, F.try_element_at(begins, F.lit(1)), F.size(recent)))
-    rows = rows.withColumn("_longer", fit_messages(F.concat(system_part(F.col("messages")), shots, recent), most))
-    told = F.exists("_longer", lambda m: m["content"] == F.try_element_at("pairs", F.lit(1))["query"])
-    good = F.coalesce(F.col("pairs").isNotNull() & told & is_alternating(F.col("_longer")), F.lit(False))
-    return rows.withColumn("messages", F.when(good, F.col("_longer")).otherwise(F.col("messages"))).drop("pairs", "_longer")
+
+    def from_user(recent: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(recent)), lambda i: F.try_element_at(recent, i)["role"] == "user")
+        return once(begins, lambda b: F.when(F.size(b) > 0, F.slice(recent, F.try_element_at(b, F.lit(1)), F.size(recent))))
+
+    last = F.when(F.size(body) > 0, F.slice(body, -F.least(room, F.size(body)), F.least(room, F.size(body))))
+    return F.concat(system_part(F.col("messages")), shots, once(last, from_user))

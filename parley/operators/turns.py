@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,13 +132,25 @@ def rendered_length(messages: Column) -> Column:
     return F.floor((F.char_length(text) + 3) / 4)
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that it reads more than once, computed once: a column that is named several times, or in a lambda, is computed each time."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def fit_messages(messages: Column, most: int = MAX_TOKENS) -> Column:
     """Drop the oldest context, but not a system message, until the chat fits and begins with a user; null if even the last exchange does not."""
-    system, body = system_part(messages), body_part(messages)
+    return once(messages, lambda m: once(system_part(m), lambda system: once(body_part(m), lambda body: _fit(system, body, most))))
+
+
+def _fit(system: Column, body: Column, most: int) -> Column:
     n = F.size(body)
-    rest = lambda i: F.slice(body, i, n - i + 1)
-    starts = F.when(n >= 2, F.filter(F.sequence(F.lit(1), n - 1), lambda i: (F.try_element_at(body, i)["role"] == "user") & (rendered_length(F.concat(system, rest(i))) <= most)))
-    return F.when(F.size(starts) > 0, F.concat(system, rest(F.try_element_at(starts, F.lit(1)))))
+    lines = lambda a: F.transform(a, lambda m: F.coalesce(F.char_length(m["content"]) + 1, F.lit(0)))  # noqa: E731  (each with the line break behind it)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    rest = lambda a, i: F.slice(a, i, n - i + 1)
+    tokens = lambda chars: F.floor((F.greatest(chars - 1, F.lit(0)) + 3) / 4)  # noqa: E731  (as ``rendered_length``)
+    fits = lambda sizes, room, i: (F.try_element_at(body, i)["role"] == "user") & (tokens(room + total(rest(sizes, i))) <= most)
+    starts = once(lines(body), lambda sizes: once(total(lines(system)), lambda room: F.filter(F.sequence(F.lit(1), n - 1), lambda i: fits(sizes, room, i))))
+    return once(F.when(n >= 2, starts), lambda s: F.when(F.size(s) > 0, F.concat(system, rest(body, F.try_element_at(s, F.lit(1))))))
 
 
 def last_of(messages: Column, role: str) -> Column:

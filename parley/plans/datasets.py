@@ -134,8 +134,7 @@ def first_chat(spark, sf):
     return curation.first_chat(m, rank).select("msg_id", "chat_id")
 
 
-def _pairs(spark, sf):
-    ex = _examples(spark, sf)
+def _pairs(ex):
     return ex.select((F.col("chat_id") * 1000 + F.col("turn_no")).alias("id"), "query", "reply", F.lit("").alias("peer"), "sec")
 
 
@@ -144,14 +143,14 @@ def _pairs(spark, sf):
     z AS (SELECT m.qid, m.id, inter / (sqrt(qn) * sqrt(rn)) * (0.5::DOUBLE + 0.5::DOUBLE * pow(0.5::DOUBLE, ((SELECT max(sec) FROM i) - r.sec) / 86400.0::DOUBLE / 365.0::DOUBLE)) AS score, r.query FROM m JOIN i q ON q.id = m.qid JOIN i r ON r.id = m.id WHERE q.query <> r.query),
     k AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, query, id)::INT AS place FROM z) SELECT * FROM k WHERE place <= 2""", "fx_turn")
 def retrieve_topk(spark, sf):
-    index = save(retrieval.index_rows(_pairs(spark, sf)), "retrieval-index")
+    index = save(retrieval.index_rows(_pairs(_examples(spark, sf))), "retrieval-index")
     return retrieval.retrieve(index.select(F.col("id").alias("qid"), "query", "peer"), index)
 
 
 @query()
 def retrieved_shots(spark, sf):
     ex = save(_examples(spark, sf).withColumn("qid", F.col("chat_id") * 1000 + F.col("turn_no")), "examples")
-    index = save(retrieval.index_rows(_pairs(spark, sf)), "retrieval-index")
+    index = save(retrieval.index_rows(_pairs(ex)), "retrieval-index")
     found = retrieval.retrieve(index.select(F.col("id").alias("qid"), "query", "peer", F.array("reply").alias("exclude_replies")), index)
     return retrieval.with_shots(ex, found, index).select("qid", F.size("messages").alias("messages"))
 

@@ -314,6 +314,33 @@ def test_texts_of_common_words_leave_no_pairs(spark, monkeypatch):
     assert max(m.count() for m in met) <= 2 * n * 4
 
 
+def test_saved_tables_leave_no_shuffle_files(spark):
+    """What a table was made from goes when it is written, not when the driver happens to collect its garbage."""
+    import time
+
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {n for n in (blocks.apply(k).name() for k in range(blocks.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    df = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.count("*").alias("n")).repartition(3)
+    assert save(df, "groups").count() == 5000
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not {n for n in left if int(n.split("_")[1]) < max(int(x.split("_")[1]) for x in left)}, left  # the count has one of its own
+
+
+def test_shots_are_put_together_once(spark):
+    """The plan names what a chat is made of a few times, however often its parts are read."""
+    examples = spark.createDataFrame([], "qid long, messages array<struct<role:string,content:string>>")
+    found = spark.createDataFrame([], "qid long, id long, place int")
+    index = spark.createDataFrame([], "id long, query string, reply string")
+    plan = retrieval.with_shots(examples, found, index)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("messages#") < 60
+
+
 # --- summaries --------------------------------------------------------------------------------------------------------
 
 
