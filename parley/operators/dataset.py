@@ -209,21 +209,25 @@ def export_dataset(
     With ``path`` the splits are written as JSON lines, and the report beside them.
     """
     kept, counters = collect_examples(messages, members, person, groups, ladder, openers, name, names, labels, limit, per_chat)
-    kept = save(kept.withColumn("qid", F.xxhash64("chat_id", "turn_no", F.to_json("messages"))), "examples")
-    parted = save(curation.split_chrono(kept, ["chat_id", "session_no"]) if split == "chrono" else curation.split_stratified(kept).drop("chunk"), "parted")
+    kept = save(kept.withColumns({"qid": F.xxhash64("chat_id", "turn_no", F.to_json("messages")), "_row": F.monotonically_increasing_id()}), "examples")
+    # the steps that choose rows read these columns only; chats come back by row
+    narrow = kept.select("chat_id", "session_no", "turn_no", "msg_no", "sec", "qid", "reply", "_row")
+    parted = save(curation.split_chrono(narrow, ["chat_id", "session_no"]) if split == "chrono" else curation.split_stratified(narrow).drop("chunk"), "parted")
     train = parted.where("split = 'train'")
     key = ["chat_id", "turn_no", "qid"]
     capped = save(curation.cap_duplicates(train, order=("sec", "qid")), "capped")
     recent = save(curation.downsample_recency(capped, key, floor=floor), "recent")
     rich = save(curation.cap_low_signal_share(recent, low_signal_share, order=("sec", "qid")), "rich")
-    final = rich
+    whole = lambda rows: kept.join(rows.select("_row", "split"), "_row")
+    final = whole(rich)
     if shots:
-        pairs = rich.select(F.col("qid").alias("id"), "query", "reply", "peer", "sec")
-        index = save(retrieval.index_rows(pairs), "shots")
+        index = save(retrieval.index_rows(whole(rich).select(F.col("qid").alias("id"), "query", "reply", "peer", "sec")), "shots")
         found = retrieval.retrieve(index.select(F.col("id").alias("qid"), "query", "peer", F.array("reply").alias("exclude_replies")), index)
-        final = save(retrieval.with_shots(rich, found, index), "with-shots")
-    longer = final.join(rich.select("qid", F.size("messages").alias("_n")), "qid").agg(F.count_if(F.size("messages") > F.col("_n")).alias("train_with_shots"))
-    out = save(final.unionByName(parted.where("split <> 'train'").select(*final.columns)), "dataset")
+        final = retrieval.with_shots(final, found, index)
+    out = save(final.unionByName(whole(parted.where("split <> 'train'"))), "dataset")
+    sizes = kept.select("_row", F.size("messages").alias("_n"))
+    longer = out.where("split = 'train'").select("_row", F.size("messages").alias("_m")).join(sizes, "_row").agg(F.count_if(F.col("_m") > F.col("_n")).alias("train_with_shots"))
+    out = out.drop("_row")
     tally = lambda df, name: df.agg(F.count("*").alias(name))
     report = counters
     for part in (

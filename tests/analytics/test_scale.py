@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parley.operators import curation, ordered, retrieval, scoring, turns
+from parley.operators import curation, dataset, ordered, retrieval, scoring, turns
 from parley.plans.scratch import save
 from parley.sources import contacts, sqlite
 
@@ -341,6 +341,22 @@ def test_shots_are_put_together_once(spark):
     assert plan.count("messages#") < 60
 
 
+@pytest.mark.parametrize("split", ["chrono", "stratified"])
+def test_chats_of_examples_are_written_twice(spark, monkeypatch, split):
+    """As examples and as what is exported; the steps that choose rows carry none, and every row comes back whole."""
+    rows = [(10 * c + k, c * 10**6 + 60 * k, c, c, k % 2, f"text {c} {k}" + " more" * (k % 3), None, 0, 0) for c in range(40) for k in range(6)]
+    messages = spark.createDataFrame(rows, "id long, sec long, chat_id long, handle long, is_from_me int, text string, kind int, is_unsent int, has_attachment int").withColumn("ts", F.timestamp_seconds("sec"))
+    wide = []
+    for module in (dataset, curation, retrieval):
+        monkeypatch.setattr(module, "save", lambda df, name: (wide.append(name) if {"messages", "qid"} <= set(df.columns) else None, save(df, name))[1])
+    out, report = dataset.export_dataset(messages, spark.createDataFrame([(c, c) for c in range(40)], "chat_id long, handle long"), split=split, floor=1.0)
+    assert sorted(wide) == ["dataset", "examples"]
+    got, told = out.collect(), report.first()
+    assert len(got) == len({r.qid for r in got}) == told.train + told.valid + told.test and told.train > 60
+    assert all(r.messages[-1].content == r.reply and r.messages[-2].content == r.query for r in got)
+    assert told.train_with_shots == sum(len(r.messages) > 2 * ((r.turn_no + 1) // 2) + 1 for r in got if r.split == "train")
+
+
 # --- summaries --------------------------------------------------------------------------------------------------------
 
 
