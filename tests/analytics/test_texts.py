@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from parley.functions import scores as S
 from parley.functions import text as T
 from parley.functions.stem import stem
 from parley.operators import phrases, search
+from parley.plans.scratch import save
 
 
 def one(spark, column):
@@ -85,6 +87,35 @@ def test_phrases_counted_by_hash_and_by_text(spark):
     assert {(r.phrase, r.n) for r in phrases.phrase_counts(docs, min_count=3).collect()} == every and len(every) > 20
 
 
+@pytest.mark.parametrize(("bits", "parts", "k"), [(1, 1, 2), (17, 8, 6), (21, 4, 3), (21, 4, 4), (25, 2, 6), (31, 1, 6)])
+def test_forms_of_phrases(bits, parts, k):
+    """Numbers of any width come back, packed and unpacked, and a phrase's bit is in its part."""
+    rng = np.random.default_rng(bits)
+    ids = rng.integers(1, 1 << bits, 500, endpoint=False).astype(np.int32)
+    ids[:6] = (1 << bits) - 1
+    form, at = phrases.Form(bits, parts, 64), np.arange(500 - k)
+    columns = form.columns(ids, at, k)
+    assert [w.tolist() for w in form.words(columns, k)] == [ids[at + j].tolist() for j in range(k)]
+    assert 0 <= form.place(columns).min() and form.place(columns).max() < parts * 64
+    columns, n = phrases._tally(columns)
+    assert n.sum() == len(at)
+    assert all((x == y).all() for x, y in zip(phrases.unpack(phrases.pack(columns, n), len(columns)), [*columns, n], strict=True))
+
+
+def test_phrases_move_as_few_bytes(spark, monkeypatch):
+    """No table holds a row for each word, whatever the number of parts and batches, and the counts are those of plain counting."""
+    rng, seen = random.Random(9), {}
+    texts = [" ".join(rng.choice(["alpha", "beta", "the", "x", "gamma", f"w{rng.randrange(30)}w"]) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "body string")
+    every = {(r.phrase, r.n) for r in phrases.phrase_counts(docs).collect() if r.n >= 3}
+    monkeypatch.setattr(phrases, "save", lambda df, name: seen.setdefault(name, []).append(save(df, name)) or seen[name][-1])
+    monkeypatch.setattr(phrases, "BATCH_WORDS", 500, raising=False)
+    monkeypatch.setattr(phrases, "PART_PLACES", 400, raising=False)
+    got = phrases.phrase_counts(docs, min_count=3).collect()
+    assert {(r.phrase, r.n) for r in got} == every and len(got) == len(every) > 50
+    assert max(t.count() for tables in seen.values() for t in tables) < sum(len(t.split()) for t in texts) / 2
+
+
 def test_phrase_counts(spark):
     got = {r.phrase for r in phrases.phrase_counts(spark.createDataFrame([("buy bread at noon x today",)], "body string"), high=4).collect()}
     assert got == {"buy bread", "buy bread at noon", "bread at noon", "bread at noon today", "noon today"}  # a single letter is no word
