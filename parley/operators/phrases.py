@@ -268,10 +268,13 @@ def frequent_phrases(counts: DataFrame, stop: Sequence[str] = (), limit: int = T
         level = kept.where(F.col("k") == k)
         if cores is not None:
             low = lengths[0]
-            spans = level.select("phrase", "toks", F.explode(_spans(F.col("toks"), low, k - 1)).alias("s"))
-            first = spans.groupBy("phrase", F.array_join("s.span", " ").alias("core")).agg(F.min("s.at").alias("at"), F.first("toks").alias("toks"), F.first(F.size("s.span")).alias("m"))
-            wings = F.concat(F.slice("toks", 1, F.col("at") - 1), F.slice("toks", F.col("at") + F.col("m"), F.greatest(F.size("toks") - F.col("at") - F.col("m") + 1, F.lit(0))))
-            lightly = first.join(cores.select(F.col("phrase").alias("core")), "core", "left_semi").where((F.size(wings) > 0) & F.forall(wings, light))
+            outer = light(F.get("toks", F.lit(0))) | light(F.try_element_at("toks", F.lit(-1)))  # else no wing is light
+            spans = level.where(outer).select("phrase", "toks", F.explode(_spans(F.col("toks"), low, k - 1)).alias("s")).select("phrase", "toks", "s.*")
+            m = F.size("span")
+            wings = F.concat(F.slice("toks", 1, F.col("at") - 1), F.slice("toks", F.col("at") + m, F.greatest(F.size("toks") - F.col("at") - m + 1, F.lit(0))))
+            earlier = F.when(F.col("at") > 1, F.exists(F.sequence(F.lit(1), F.col("at") - 1), lambda i: F.slice("toks", i, m) == F.col("span"))).otherwise(False)
+            first = spans.where((F.size(wings) > 0) & F.forall(wings, light) & ~earlier).select("phrase", F.array_join("span", " ").alias("core"))
+            lightly = first.join(cores.select(F.col("phrase").alias("core")), "core", "left_semi").distinct()
             level = level.join(lightly.select("phrase"), "phrase", "left_anti")
         level = save(level, "phrases-cores")
         cores = level if cores is None else cores.unionByName(level)
