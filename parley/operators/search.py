@@ -5,11 +5,15 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from parley.functions.stem import stem
 from parley.functions.text import escape_html
@@ -20,6 +24,8 @@ K1, B, LIMIT = 1.2, 0.75, 300
 # A query is quoted phrases and loose terms, of which only these characters count; the words that join terms are no prefixes.
 QUERY_PART, TERM_NOISE, JOINERS = r'"([^"]*)"|(\S+)', r"[^\w'-]+", ("and", "or", "not", "near")
 _TOKEN = r"[\p{L}\p{N}]+"
+#: Bytes of words in a batch of documents whose postings are brought together.
+BATCH_BYTES = 16 << 20
 
 
 def fold(term: str) -> str:
@@ -31,16 +37,6 @@ def analyse(term: str, stemming: bool = True) -> str:
     return stem(fold(term)) if stemming else term.lower()
 
 
-def _analysed(term: str) -> Column:
-    arrow_batches(SparkSession.active())
-
-    @F.pandas_udf("string")
-    def run(terms: pd.Series) -> pd.Series:
-        return terms.map(analyse)
-
-    return run(term)
-
-
 @dataclass
 class Index:
     """postings (doc_id, term, positions, tf), lengths (doc_id, dl), and totals of the corpus."""
@@ -74,24 +70,71 @@ def tokens(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = (
 def build_index(docs: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = ("body",), stemming: bool = True, root: str | None = None) -> Index:
     """Write the postings, in order of term so that a lookup reads few row groups, and the lengths; under ``root`` if it is given.
 
-    Texts are cut into words once; stemming and folding run on distinct words only.
+    A task brings together what its batches of documents say of a term, so that neither words nor postings travel one by one. Stemming and folding
+    run on distinct words only.
     """
-    lists = save(token_lists(docs, doc_id, columns), "tokens")
-    words = lists.select("doc_id", F.inline("words"))
-    if stemming:
-        terms = words.select("raw").distinct().withColumn("term", _analysed("raw"))
-        words = words.join(terms, "raw")
-    else:
-        words = words.withColumnRenamed("raw", "term")
-    postings = words.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
-    ordered = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    lengths = lists.select("doc_id", F.size("words").alias("dl"))
+    lists = token_lists(docs, doc_id, columns)
+    lengths = save(lists.select("doc_id", F.size("words").alias("dl")), "doc-lengths")
+    arrow_batches(docs.sparkSession, 4096)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    lists = lists.select("doc_id", "words.pos", "words.raw")
+    packed = save(lists.mapInArrow(_by_term(stemming, to_arrow_type(docs.schema[doc_id].dataType)), f"term string, first {kind}, docs array<{kind}>, tfs array<int>, places array<int>"), "packed-postings")
+    dealt = packed.repartitionByRange("term", "first").select("term", "docs", "tfs", "places")
+    postings = dealt.mapInArrow(_one_by_one(to_arrow_type(docs.schema[doc_id].dataType)), f"doc_id {kind}, term string, positions array<int>, tf int")
+    n, different = lengths.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if different < n:  # rows that repeat an id are one document
+        postings = postings.groupBy("doc_id", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")).withColumn("tf", F.size("positions"))
+        postings = postings.repartitionByRange("term", "doc_id")
+    ordered = postings.sortWithinPartitions("term", "doc_id")
     if root is None:
-        return Index(save(ordered, "postings"), save(lengths, "lengths"), stemming)
+        return Index(save(ordered, "postings"), lengths, stemming)
     write_segment(ordered, lengths, root)
     return read_segments(docs.sparkSession, [root], stemming)
 
 
+def _by_term(stemming: bool, kind: pa.DataType) -> Callable:
+    """Documents to one row for each term of a batch: its documents, how often each has it, and where, all end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = functools.cache(analyse)
+        for b in batches:
+            raw = b.column("raw").flatten().dictionary_encode()
+            if not len(raw):
+                continue
+            words = raw.dictionary.to_pylist()
+            terms = pa.array([stems(w) for w in words] if stemming else words, pa.string()).dictionary_encode()
+            term = terms.indices.to_numpy()[raw.indices.to_numpy()]
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("raw")).to_numpy())
+            order = np.lexsort((doc, term))  # positions of a document are in order already
+            term, doc, places = term[order], doc[order], b.column("pos").flatten().to_numpy()[order]
+            fresh = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
+            tfs = np.diff(np.r_[fresh, len(term)]).astype(np.int32)
+            begins = np.flatnonzero(np.r_[True, term[fresh][1:] != term[fresh][:-1]])
+            cuts = np.r_[begins, len(fresh)].astype(np.int32)
+            ids = b.column("doc_id").take(pa.array(doc[fresh])).cast(kind)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (ids, pa.array(tfs))]
+            at = pa.ListArray.from_arrays(pa.array(np.r_[fresh, len(term)][cuts].astype(np.int32)), pa.array(places))
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(term[fresh[begins]])), ids.take(pa.array(begins)), *lists, at], names=["term", "first", "docs", "tfs", "places"])
+
+    return run
+
+
+def _one_by_one(kind: pa.DataType) -> Callable:
+    """The rows of ``_by_term`` to one for each document and term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tfs = b.column("tfs").flatten()
+            term = b.column("term").take(pa.array(np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("tfs")).to_numpy())))
+            ends = pa.array(np.r_[0, np.cumsum(tfs.to_numpy())].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("docs").flatten().cast(kind), term, pa.ListArray.from_arrays(ends, b.column("places").flatten()), tfs], names=["doc_id", "term", "positions", "tf"])
+
+    return run
+
+
 def write_segment(postings: DataFrame, lengths: DataFrame, root: str) -> None:
     postings.write.parquet(f"{root}/postings")
     lengths.write.parquet(f"{root}/lengths")

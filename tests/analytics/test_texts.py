@@ -116,6 +116,23 @@ def test_phrases_move_as_few_bytes(spark, monkeypatch):
     assert max(t.count() for tables in seen.values() for t in tables) < sum(len(t.split()) for t in texts) / 2
 
 
+def test_postings_travel_by_term(spark, monkeypatch):
+    """No table but the postings has a row for each posting, and rows that repeat an id are one document."""
+    rng, seen = random.Random(4), {}
+    rows = [(k, " ".join(rng.choice(["run", "running", "Été", "the", f"w{rng.randrange(9)}"]) for _ in range(rng.randrange(0, 40)))) for k in range(120)]
+    rows += [(7, "late running words"), (200, None), (201, "")]
+    monkeypatch.setattr(search, "save", lambda df, name: seen.setdefault(name, save(df, name)))
+    index = search.build_index(spark.createDataFrame(rows, "doc_id long, body string").coalesce(2))
+    want = {}
+    for d, text in rows:
+        for at, w in enumerate((text or "").lower().split()):
+            want.setdefault((d, search.analyse(w)), []).append(at)
+    got = [(r.doc_id, r.term, r.positions, r.tf) for r in index.postings.collect()]
+    assert sorted(got) == sorted((d, t, sorted(p), len(p)) for (d, t), p in want.items())
+    assert sorted((r.doc_id, r.dl) for r in index.lengths.collect()) == sorted((d, len((t or "").split())) for d, t in rows)
+    assert all(t.count() < len(got) / 2 for name, t in seen.items() if name != "postings")
+
+
 def test_phrase_counts(spark):
     got = {r.phrase for r in phrases.phrase_counts(spark.createDataFrame([("buy bread at noon x today",)], "body string"), high=4).collect()}
     assert got == {"buy bread", "buy bread at noon", "bread at noon", "bread at noon today", "noon today"}  # a single letter is no word
