@@ -133,6 +133,16 @@ def test_postings_travel_by_term(spark, monkeypatch):
     assert all(t.count() < len(got) / 2 for name, t in seen.items() if name != "postings")
 
 
+def test_spans_are_not_grouped_with_their_phrases(spark, monkeypatch):
+    """What only adds light words to a shorter phrase goes, and no plan moves the words of a phrase for each of its spans."""
+    plans = []
+    monkeypatch.setattr(phrases, "save", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(df, name))
+    counts = spark.createDataFrame([("garden gate", 90), ("the garden gate", 5), ("garden gate garden gate", 4), ("green garden gate", 4), ("go get the garden gate", 3)], "phrase string, n long")
+    got = {r.phrase for r in phrases.frequent_phrases(counts, ["the"], min_count=1).collect()}
+    assert {"garden gate", "green garden gate"} <= got and not got & {"the garden gate", "go get the garden gate"}
+    assert not any("Aggregate" in line and "toks" in line for plan in plans for line in plan.splitlines())
+
+
 def test_phrase_counts(spark):
     got = {r.phrase for r in phrases.phrase_counts(spark.createDataFrame([("buy bread at noon x today",)], "body string"), high=4).collect()}
     assert got == {"buy bread", "buy bread at noon", "bread at noon", "bread at noon today", "noon today"}  # a single letter is no word
